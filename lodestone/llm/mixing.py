@@ -84,6 +84,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, size, target, repeats, taken): what the mix takes of each document."""
+    return mix(docs)
+
+
 #: The level is found in closed form here: sources in the order of clamp / weight, the first k at their clamps.
 MIX_SQL = f"""
 sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,

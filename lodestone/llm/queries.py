@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, mixing, quality, warc
+from lodestone.llm import decontaminate, html_text, jaccard, mixing, passages, pii, quality, secrets, vectors, warc
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
+    "op2_embedding_near_dedup": vectors.query,
+    "op3_pii": pii.query,
+    "op4_html_text": html_text.query,
     "op5_quality_classifier": quality.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_warc": warc.query,
+    "op8_substring_dedup": passages.query,
     "op9_source_mixing": mixing.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
