@@ -81,11 +81,12 @@ def window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From documents with their recurring windows: phrases for the shards they own, and the stretches that other shards must see."""
     for batch in batches:
-        for doc_id, text, windows, shards, owned in zip(batch.doc_id, batch.text, batch.windows, batch.shards, batch.owned):
+        for doc_id, text, places, shards, owned in zip(batch.doc_id, batch.text, batch.places, batch.shards, batch.owned):
             data = text.encode("utf-8", "replace")
             words, hashes = split(data), grams(word_hashes(data), WINDOW).astype(np.int64)
+            windows = hashes[np.asarray(places)]
             order = np.argsort(windows)
-            windows, shards, owned = np.asarray(windows)[order], np.asarray(shards)[order], np.asarray(owned)[order]
+            windows, shards, owned = windows[order], np.asarray(shards)[order], np.asarray(owned)[order]
             k = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
             hit = np.flatnonzero(windows[k] == hashes)
             k, out = k[hit], []
@@ -154,21 +155,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = cut(docs.mapInPandas(summaries, "doc_id bigint, n_words bigint, text_hash bigint, kept_sha256 string, prints array<bigint>"))
     # a document with the words of a smaller one loses all that any window covers: everything
     firsts = known.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("text_hash", "kept_sha256").agg(F.min("doc_id").alias("first"))
-    known = known.join(firsts, ["text_hash", "kept_sha256"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
-    known = cut(known.drop("text_hash", "first"))
-    prints = known.where("not copy and doc_id is not null").select("doc_id", F.explode("prints").alias("print")).distinct()
-    shared = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
+    copies = known.select("doc_id", "n_words", "text_hash", "kept_sha256").join(firsts, ["text_hash", "kept_sha256"], "left")
+    out = cut(copies.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("text_hash", "first"))
+    # copies share their hash, so a fingerprint recurs if texts with different hashes have it
+    prints = known.where("doc_id is not null").select("doc_id", "text_hash", F.explode("prints").alias("print"))
+    shared = prints.groupBy("print").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("print")
     prints = prints.join(shared, "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+    prints = prints.join(out.where("copy").select("doc_id").distinct(), "doc_id", "left_anti")
     # only these documents can lose a word; all further steps read them from here
-    some = cut(docs.join(prints, "doc_id").dropDuplicates(["doc_id"]))
+    some = cut(docs.join(prints, "doc_id"))
     windows = cut(some.mapInPandas(window_hashes, "window bigint, doc_id bigint, place bigint"))
     recurring = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("at")).where("owner < last")
     recurring = cut(recurring.drop("last"))
     shards = F.lit(int(recurring.count() // SHARD) + 1)
     recurring = recurring.select("window", "owner", F.pmod(F.xxhash64("owner", F.floor(F.col("at") / STRETCH)), shards).alias("shard"))
     theirs = windows.join(recurring, "window").groupBy("doc_id")
-    theirs = theirs.agg(F.collect_list(F.struct("window", "shard", (F.col("owner") == F.col("doc_id")).alias("owned"))).alias("w"))
-    theirs = theirs.select("doc_id", F.col("w.window").alias("windows"), F.col("w.shard").alias("shards"), F.col("w.owned").alias("owned"))
+    theirs = theirs.agg(F.collect_list(F.struct("place", "shard", (F.col("owner") == F.col("doc_id")).alias("owned"))).alias("w"))
+    theirs = theirs.select("doc_id", F.col("w.place").alias("places"), F.col("w.shard").alias("shards"), F.col("w.owned").alias("owned"))
     rows = cut(some.drop("prints").join(theirs, "doc_id").mapInPandas(pieces, "shard bigint, phrase boolean, doc_id bigint, place bigint, n bigint, words binary"))
     # a shard that many documents need is copied, and its documents are dealt over the copies
     copies = rows.where("not phrase").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("copies"))
@@ -178,7 +181,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     runs = rows.repartition("key").sortWithinPartitions("key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, start bigint, stop bigint")
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     stripped = some.drop("prints").join(runs, "doc_id").mapInPandas(strip, "doc_id bigint, n_removed bigint, stripped_sha256 string")
-    out = known.drop("prints").join(stripped, "doc_id", "left")
+    out = out.join(stripped.dropDuplicates(["doc_id"]), "doc_id", "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(sha([]))).otherwise(F.coalesce("stripped_sha256", "kept_sha256"))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
