@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of a sieve: 4 MB on the driver and on each executor, whatever the input.
+SIEVE_BITS = 25
+
+
+def maybe_in(ids: DataFrame, key: str) -> Column:
+    """True for every row whose `key` is among those of `ids`, and for few others as long as these are some millions.
+
+    A bitmap of fixed size is gathered and broadcast, so that the exact join that follows needn't shuffle rows without a partner.
+    """
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << SIEVE_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+    words = words.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).toArrow()
+    bits = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+    return F.pandas_udf(lambda p: pd.Series((shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1) == 1), "boolean")(place)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of the undirected links, the smallest node it reaches.
 

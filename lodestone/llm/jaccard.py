@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import Sets, edges_of, in_cells, linked, whole_keys
-from lodestone.llm.common import components, cut, table
+from lodestone.llm.common import components, cut, maybe_in, table
 from lodestone.llm.wordhash import U, mix, shingles
 
 N, SIMILAR = 5, 0.8
@@ -177,8 +177,8 @@ def join(docs: DataFrame) -> DataFrame:
     groups = components(candidates(sets)).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     groups = cut(groups.join(classes, "doc"))
     weight = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("chunks"))
-    placed = groups.join(weight, "group").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    texts = docs.withColumnRenamed("doc_id", "doc").join(placed.drop("n"), "doc")
+    placed = groups.join(weight, "group").drop("n").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    texts = docs.withColumnRenamed("doc_id", "doc").where("doc is not null").where(maybe_in(groups, "doc")).join(placed, "doc")
     cells = texts.select("*", F.explode(in_cells(F.col("chunk"), F.col("chunks"))).alias("at"))
     cells = cells.select(F.xxhash64("group", "at.i", "at.j").alias("cell"), "doc", "chunk", "at.i", "at.j", "copies", "k1", "k2", "text")
     links = cut(cells.repartition("cell").sortWithinPartitions("cell", "doc").mapInPandas(exact, "doc bigint, links bigint, least bigint"))
@@ -198,5 +198,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the document with the smallest id stays."""
-    gone = join(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = cut(join(docs).where("class_id <> doc_id").select("doc_id").distinct())
+    named = docs.where("doc_id is not null").withColumn("__maybe", maybe_in(gone, "doc_id"))
+    rest = named.where("__maybe").join(gone, "doc_id", "left_anti")
+    return docs.where("doc_id is null").union(named.where("not __maybe").select(docs.columns)).union(rest.select(docs.columns))

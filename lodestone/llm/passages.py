@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import edges_of, whole_keys
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, maybe_in, table
 from lodestone.llm.wordhash import grams, mix, powers, sliding, spans, word_hashes, P
 
 WINDOW, GRAM = 50, 10
@@ -163,7 +163,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     prints = prints.join(shared, "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     prints = prints.join(out.where("copy").select("doc_id").distinct(), "doc_id", "left_anti")
     # only these documents can lose a word; all further steps read them from here
-    some = cut(docs.join(prints, "doc_id"))
+    prints = cut(prints)
+    some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, "doc_id"))
     windows = cut(some.mapInPandas(window_hashes, "window bigint, doc_id bigint, place bigint"))
     recurring = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("at")).where("owner < last")
     recurring = cut(recurring.drop("last"))
