@@ -45,7 +45,7 @@ def maybe_in(ids: DataFrame, key: str) -> Column:
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << SIEVE_BITS))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-    words = words.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).toArrow()
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
     bits = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bits)
