@@ -1,7 +1,8 @@
 """WARC archives of pages with revisit records, and an external merge of their capture index.
 
-Records are written as text rows whose line separator is the blank line that ends a WARC record, so any file system that Spark
-writes to holds them. Reading parses by Content-Length. Each archive gives a run of captures sorted by URL key and
+Records are written as text rows whose line separator is the blank line that ends a WARC record, compressed by file, so any file
+system that Spark writes to holds them. Reading inflates and parses record by record, by Content-Length; a revisit's header has
+the full payload's length. Each archive gives a run of captures sorted by URL key and
 timestamp; runs are range-partitioned by (key, timestamp, page) and each range is merged from its runs by a loser
 tree, which gives the captures of the whole collection in global order.
 
@@ -12,8 +13,11 @@ repeat a page_id with an equal payload are all the response; an empty table give
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -61,10 +65,10 @@ def write(rows: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     head = F.concat(
         F.lit("WARC/1.1"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", uuid(F.col("page_id"))), line("WARC-Date", stamp),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Page", F.col("page_id").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uuid(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uuid(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")), line("WARC-Full-Length", F.col("payload_bytes").cast("string")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF + CRLF),
     )
-    rows.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -78,27 +82,32 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + ")" + (parts.path.rstrip("/") or "/").lower() + ("?" + "&".join(sorted(parts.query.lower().split("&"))) if parts.query else "")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of every record of an archive."""
+def parse(stream: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, block) of every record of an archive, one at a time; offsets are those of the plain archive."""
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:end].decode().split(CRLF)[1:])
-        size = int(fields["Content-Length"])
-        yield at, fields, data[end + 4 : end + 4 + size]
-        at = end + 8 + size
+    while stream.readline():  # the version
+        offset, fields, size = at, {}, len("WARC/1.1\r\n")
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            name, _, value = line.decode().rstrip(CRLF).partition(": ")
+            fields[name] = value
+        block = stream.read(int(fields["Content-Length"]))
+        stream.read(4)
+        at += size + 2 + len(block) + 4
+        yield offset, fields, block
 
 
 def capture_run(path: str, data: bytes) -> list[tuple]:
     """The captures of one archive, sorted: a run."""
     rows = []
-    for at, fields, block in parse(data):
+    for at, fields, block in parse(gzip.GzipFile(fileobj=io.BytesIO(data))):
         payload = block[block.index(b"\r\n\r\n") + 4 :]
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         revisit = fields["WARC-Type"] == "revisit"
         if not revisit and fields["WARC-Payload-Digest"] != f"sha1:{found}":
             raise ValueError(f"{path} at {at}: the payload doesn't match its digest")
-        rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], int(fields["WARC-Page"]), at, fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Refers-To-Page"]) if revisit else None, None if revisit else len(payload)))
+        size = int(fields["WARC-Full-Length"]) if revisit else len(payload)
+        rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], int(fields["WARC-Page"]), at, fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Refers-To-Page"]) if revisit else None, size))
     rows.sort(key=lambda r: r[:4])
     return [(*r[:3], path, seq, *r[3:]) for seq, r in enumerate(rows)]
 
@@ -108,7 +117,7 @@ def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch.path, batch.content):
             out = pd.DataFrame(capture_run(path, data), columns=names)
-            yield out.astype({"refers_to": "Int64", "payload_bytes": "Int64"})
+            yield out.astype({"refers_to": "Int64"})
 
 
 def loser_tree(sources: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -164,12 +173,9 @@ def merged_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
-    """Write `pages`, read the archives back and return the merged index; a revisit has the size of the response it names."""
+    """Write `pages`, read the archives back and return the merged index."""
     write(records(pages, least), path)
-    index = merged_index(pages.sparkSession, path)
-    size = index.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full")).distinct()
-    index = index.join(size, "refers_to", "left")
-    return index.withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")
+    return merged_index(pages.sparkSession, path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
