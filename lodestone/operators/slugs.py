@@ -34,6 +34,6 @@ def unique(df: DataFrame, base: str, seq: list[str]) -> DataFrame:
     df = df.withColumn("family", F.regexp_replace(base, r"(-\d+)+$", ""))
     counts = df.groupBy("family").agg(F.count("*").alias("_n"))
     df = df.join(counts, "family")
-    many = df.where("_n > 1").select("family", "id", F.col(base).alias("base"), *seq).repartition("family").sortWithinPartitions("family", *seq)
+    many = df.where("_n > 1").select("family", "id", F.col(base).alias("base"), *[c for c in seq if c != "id"]).repartition("family").sortWithinPartitions("family", *seq)
     slugs = many.mapInPandas(assign, "id bigint, slug string")
     return df.join(slugs, "id", "left").withColumn("slug", F.coalesce("slug", base)).drop("family", "_n")

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import exchange, feeds, resolve, search, star, streams, texts
+
+PLANS = (feeds, search, texts, resolve, star, streams, exchange)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -265,14 +265,14 @@ _FLAGS = f"""{POSTS}, r as (select id, id % 3 <> 0 as reshare, id % 2 = 0 as own
 ORACLE_SQL = {
     "dedup_longest": "select conv_id, turn, text from conversations qualify row_number() over (partition by conv_id order by length(text) desc, turn) = 1",
     "dedup_newest": "select user_id, event_id, epoch_us(ts) as at, value from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1",
-    "dedup_first": f"with {_E} select user_id, event_type, event_id, at from e qualify row_number() over (partition by user_id, event_type order by at, event_id) = 1",
-    "dedup_last": f"with {_E} select user_id, event_type, event_id, at from e qualify row_number() over (partition by user_id, event_type order by at desc, event_id desc) = 1",
+    "dedup_first": f"with {_E} select user_id, event_type, event_id, e.at as \"at\" from e qualify row_number() over (partition by user_id, event_type order by e.at, event_id) = 1",
+    "dedup_last": f"with {_E} select user_id, event_type, event_id, e.at as \"at\" from e qualify row_number() over (partition by user_id, event_type order by e.at desc, event_id desc) = 1",
     "id_suffixes": "with o as (select o_orderkey, strftime(o_orderdate, '%Y%m%d') as day, row_number() over (partition by o_orderdate::date order by o_orderkey) as k from orders) select o_orderkey, day || case when k > 1 then '_' || k else '' end as source_id from o",
     "owner_mode": "select role, count(*) as n from conversations group by 1 order by n desc, min((conv_id, turn)) limit 1",
     "segment_mode": "with s as (select page_id, regexp_extract(url, '^[a-z]+://[^/]+/+([^/?#]+)', 1) as segment from pages) select segment, count(*) as n from s where segment <> '' group by 1 order by n desc, min(page_id) limit 1",
     "crosspost_antijoin": f"with {_ENTRIES} select owner, line, path from e where path not in (select path from e group by 1 having count(distinct owner) > 1)",
     "whitelist_semijoin_guarded": f"""with {_ENTRIES}, w as (select distinct owner, path from e where l_discount >= 0.09), m as (select e.owner, line, l_returnflag = 'R' or w.path is not null as fits from e left join w on w.owner = e.owner and w.path = e.path),
-        g as (select *, bool_or(fits) over (partition by owner) as some from m) select owner, line from g where fits or not some""",
+        g as (select *, bool_or(fits) over (partition by owner) as any_fit from m) select owner, line from g where fits or not any_fit""",
     "reshare_pairs": f"""with {_FLAGS} select id, case when not reshare then 1 when own and not own_flag then 2 when own and id > first_own then 3 when own and last_other is not null then 4 when own and target then 5 when own then 6
         when first_own is not null and id = last_other then 9 when segment = '' then 8 else 7 end as state, case when state = 4 then last_other end as other_id from f left join t on t.text = f.text""",
     "asof_thread_anchor": f"""with {_E}, a as (select *, event_type = 'signup' as own from e where event_type in ('signup', 'view')), r as (select * from e where event_type = 'error')
