@@ -21,7 +21,7 @@ POST = f"""struct<id:string,message:string,story:string,created_time:string,upda
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(p) of saved pages, JSON documents with `data`."""
-    pages = spark.read.option("wholetext", "true").text(path)
+    pages = spark.read.text(path, wholetext=True)
     return pages.select(F.explode(F.from_json("value", f"struct<data:array<{POST}>>")["data"]).alias("p"))
 
 

@@ -103,5 +103,5 @@ def records(files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(path)
-    return records(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(path, wholetext=True)
+    return records(files.select(F.url_decode("_metadata.file_path").alias("path"), F.col("value").alias("html")))
