@@ -109,8 +109,9 @@ def holds_any(c: Column, parts: list[str]) -> Column:
 def language(c: Column) -> Column:
     """ru, en or other, by script and by English function words."""
     c = F.coalesce(c, F.lit(""))
-    count = lambda pattern: F.regexp_count(c, F.lit(pattern))
-    cyrillic, ascii_, other = count(r"[Ѐ-ӿ]"), count("[A-Za-z]"), count(r"[\p{L}&&[^A-Za-zЀ-ӿ]]")
+    # what is left when runs of all else go: one match for each run, not for each letter
+    left = lambda pattern: F.length(F.regexp_replace(c, pattern, ""))
+    cyrillic, ascii_, other = left("[^Ѐ-ӿ]+"), left("[^A-Za-z]+"), left(r"[\P{L}A-Za-zЀ-ӿ]+")
     total = cyrillic + ascii_ + other
     found = F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), 0)
     english = (F.size(found) < 3) | (F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in ENGLISH_WORDS]))) >= 2)

@@ -35,7 +35,9 @@ def keyword_rank(text: Column, question: str) -> Column:
 
 def keyword(posts: DataFrame, question: str, most: int = FAN_OUT) -> DataFrame:
     """Ranked keyword hits: a text with a token of the question, or with a longer one anywhere inside a word."""
-    scored = posts.withColumn("keyword_rank", keyword_rank(F.col("content_text"), question))
+    # a text with one of the tokens contains it: a cheap look before texts are cut into tokens
+    near = holds_any(F.col("content_text"), query_tokens(question, 1)) | holds(F.col("content_text"), question)
+    scored = posts.where(near).withColumn("keyword_rank", keyword_rank(F.col("content_text"), question))
     found = (F.col("keyword_rank") > 0) | holds(F.col("content_text"), question) | holds_any(F.col("content_text"), query_tokens(question, 4))
     return ranked(scored.where(found).select("id", "created_at", "reshared_from_author", "keyword_rank"), [F.desc("keyword_rank"), *newest()], most)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +26,34 @@ def lemmas(text: Column, lemma: dict[str, str] | None) -> Column:
     return F.transform(found, lambda w: F.coalesce(F.try_element_at(names, w), w))
 
 
+def plain(stop) -> Callable[[Column], Column]:
+    """Whether a word isn't a stop word."""
+    return lambda w: ~w.isin(*stop)
+
+
+def pairs(found: Column, stop) -> Column:
+    """Pairs that are neighbours before stop words are left out."""
+    ok = plain(stop)
+    both = F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.when(ok(a) & ok(b), F.concat_ws(" ", a, b)).otherwise(""))
+    return F.filter(F.slice(both, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), lambda x: x != "")
+
+
+def counted(texts: DataFrame, terms: Column) -> DataFrame:
+    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def unigrams(texts: DataFrame, text: str = "content_text", stop=STOP, lemma=None) -> DataFrame:
-    found = texts.select(F.explode(lemmas(F.col(text), lemma)).alias("term"))
-    return found.where(~F.col("term").isin(*stop)).groupBy("term").agg(F.count("*").alias("n"))
+    return counted(texts, F.filter(lemmas(F.col(text), lemma), plain(stop)))
 
 
 def bigrams(texts: DataFrame, text: str = "content_text", stop=STOP, lemma=None) -> DataFrame:
-    """Pairs that are neighbours before stop words are left out."""
-    found = texts.select(lemmas(F.col(text), lemma).alias("w")).where(F.size("w") > 1)
-    pairs = found.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
-    pairs = pairs.where(~F.col("p.a").isin(*stop) & ~F.col("p.b").isin(*stop))
-    return pairs.groupBy(F.concat_ws(" ", "p.a", "p.b").alias("term")).agg(F.count("*").alias("n"))
+    return counted(texts.select(lemmas(F.col(text), lemma).alias("w")), pairs(F.col("w"), stop))
 
 
 def cloud(texts: DataFrame, text: str = "content_text", most: int = TERMS, stop=STOP, lemma=None) -> DataFrame:
     """(term, n, size, opacity). Of the first 3 * `most` terms rare pairs go, then the first `most` stay; sizes are 14 to 48."""
-    every = unigrams(texts, text, stop, lemma).unionByName(bigrams(texts, text, stop, lemma))
+    found = texts.select(lemmas(F.col(text), lemma).alias("w"))
+    every = counted(found, F.concat(F.filter("w", plain(stop)), pairs(F.col("w"), stop)))  # words and pairs in one pass
     order = [F.desc("n"), F.asc("term")]
     top = every.orderBy(*order).limit(LOOKED_AT * most).where(~F.col("term").contains(" ") | (F.col("n") >= PAIR)).orderBy(*order).limit(most)
     w = Window.partitionBy(F.lit(1))  # over `most` rows

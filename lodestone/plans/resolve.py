@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules
 from lodestone.functions import urls as U
 from lodestone.functions.text import humanise
-from lodestone.operators import asof, keep, links, merge
+from lodestone.operators import asof, keep, links, merge, threads
 from lodestone.operators import slugs as S
 from lodestone.operators.pages import capped
 from lodestone.plans.views import POSTS, micros, posts
@@ -243,7 +244,22 @@ def cache_preference(spark, sf_dir):
     return keep.first(events.withColumn("rank", rank).withColumn("used", -F.col("hits")), ["question"], "rank", "used", "event_id").select("question", "model", "event_id")
 
 
+def network_threads(spark, sf_dir):
+    """Vectors as posts of four networks, an hour apart in the order of a digest; pairs within 48 hours and a cosine distance of 0.75."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("source"), ((F.col("vec_id") * 7919) % 100_003 * 600).alias("at"), "embedding")
+    return threads.across_networks(rows, 48 * 3600, 0.75)
+
+
+def url_rules(spark, sf_dir):
+    """What the rules say of captured URLs, made in several forms from pages."""
+    k = F.col("page_id")
+    forms = F.array(*[F.concat(F.lit(a), k.cast("string"), F.lit(b)) for a, b in (("https://f.example/Me/posts/", ""), ("https://f.example/settings/posts/", ""), ("https://pbs.twimg.com/media/", ".jpg"), ("https://pbs.twimg.com/profile_images/", ".png"), ("https://bit.ly/", ""))])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.get(forms, (k % 5).cast("int")).alias("u"))
+    return rows.select("page_id", rules.is_content(F.col("u")).alias("content"), rules.keeps_image(F.col("u")).alias("image"), rules.is_shortened(F.col("u")).alias("short"), rules.on_own_profile(F.col("u"), F.lit("me")).alias("own"), rules.reclassified(F.lit(4), F.col("u")).alias("kind"), rules.safe_extension(F.col("u")).alias("ext"))
+
+
 QUERIES = {
+    "network_threads": network_threads, "url_rules": url_rules,
     "dedup_longest": dedup_longest, "dedup_newest": dedup_newest, "dedup_first": dedup_edge(keep.first), "dedup_last": dedup_edge(keep.last), "id_suffixes": id_suffixes, "slug_collisions": slug_collisions,
     "owner_mode": owner_mode, "segment_mode": segment_mode, "crosspost_antijoin": crosspost_antijoin, "whitelist_semijoin_guarded": whitelist, "reshare_pairs": reshare_pairs,
     "asof_thread_anchor": asof_thread, "asof_comment_to_post": asof_comment, "comment_parent_match": comment_parents, "comment_external_antijoin": external_comments, "caps_per_kind": caps_per_kind,
@@ -263,6 +279,10 @@ _FLAGS = f"""{POSTS}, r as (select id, id % 3 <> 0 as reshare, id % 2 = 0 as own
     f as (select *, reshare and own and (words or target) as own_flag, reshare and not own as other_flag from r),
     t as (select text, min(id) filter (own_flag) as first_own, max(id) filter (other_flag) as last_other from f where own_flag or other_flag group by 1)"""
 ORACLE_SQL = {
+    "network_threads": """with p as (select vec_id as id, vec_id % 4 as source, (vec_id * 7919) % 100003 * 600 as at, embedding::double[] as v from embeddings),
+        d as (select a.id as a, b.id as b, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) + 0.0 as distance from p a, p b
+            where a.source <> b.source and b.at - a.at <= 172800 and (a.at < b.at or (a.at = b.at and a.id < b.id))) select a, b, distance from d where distance <= 0.75""",
+    "url_rules": "select page_id, page_id % 5 = 0 as content, page_id % 5 = 2 as image, page_id % 5 = 4 as short, page_id % 5 = 0 as own, case when page_id % 5 in (2, 3) then 1 else 4 end as kind, case when page_id % 5 = 3 then 'png' else 'jpg' end as ext from pages",
     "dedup_longest": "select conv_id, turn, text from conversations qualify row_number() over (partition by conv_id order by length(text) desc, turn) = 1",
     "dedup_newest": "select user_id, event_id, epoch_us(ts) as at, value from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1",
     "dedup_first": f"with {_E} select user_id, event_type, event_id, e.at as \"at\" from e qualify row_number() over (partition by user_id, event_type order by e.at, event_id) = 1",

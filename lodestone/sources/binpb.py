@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -122,16 +123,19 @@ def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Records until the first that can't be read; that adds one row with `error`."""
     make, names = record_class(), list(FIELDS)
-    for batch in batches:
-        for path, content in zip(batch.path, batch.content):
-            rows = []
-            try:
-                for data in split(content):
-                    rows.append({**plain(make.FromString(data)), "file": path, "error": None})
-            except Exception as e:  # whatever the bytes break, the file ends here and the row says so
-                rows.append(dict.fromkeys(names) | {"file": path, "error": str(e) or type(e).__name__})
-            for at in range(0, len(rows), 1000):
-                yield pd.DataFrame(rows[at : at + 1000], columns=[*names, "file", "error"]).astype({"source": "Int32", "visibility": "Int32"})
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content):
+                try:
+                    for data in split(content):
+                        yield {**plain(make.FromString(data)), "file": path, "error": None}
+                except Exception as e:  # whatever the bytes break, the file ends here and the row says so
+                    yield dict.fromkeys(names) | {"file": path, "error": str(e) or type(e).__name__}
+
+    found = rows()
+    while part := list(islice(found, 1000)):
+        yield pd.DataFrame(part, columns=[*names, "file", "error"]).astype({"source": "Int32", "visibility": "Int32"})
 
 
 def write(records: DataFrame, path: str, per_file: int = 20_000) -> None:

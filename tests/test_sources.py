@@ -235,3 +235,18 @@ def test_serving_rows(spark):
     records = schema.record(spark.range(1), source=F.lit(2), source_id=F.lit("a"), visibility=F.lit(2), extra=F.create_map(F.lit("fb_comment_total_count"), F.lit("7"), F.lit("tw_like_count"), F.lit("bad")))
     row = schema.serving_rows(records, 3).first()
     assert (row.visibility, row.comment_count, row.reaction_count, row.content_text) == (2, 7, 0, "")
+
+
+def test_sinks(spark, tmp_path):
+    from lodestone.sources import sinks
+
+    rows = spark.createDataFrame([(k, f"T<{k}>", "a & b", f"202{k % 3}-01-01 00:00:00" if k else None) for k in range(30)], "id long, title string, description string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    feed = sinks.feed(sinks.feed_items(rows, "https://b.example"), "Blog", "https://b.example")
+    assert feed.count("<item>") == 20 and "T&lt;29&gt;" in feed and feed.index("/post/29/") < feed.index("/post/26/")
+    sinks.write_sitemap(rows, str(tmp_path / "s"), "https://b.example", per_file=4)
+    got = spark.read.text(str(tmp_path / "s"))
+    assert got.count() == 29 and {r.year for r in got.select("year").distinct().collect()} == {2020, 2021, 2022}
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "source int, v string")
+    sinks.write_snapshot(table, str(tmp_path / "t"))
+    sinks.write_snapshot(table.where("source = 2").withColumn("v", F.lit("new")), str(tmp_path / "t"), "2")
+    assert {(r.source, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "a"), (2, "new")}
