@@ -173,8 +173,11 @@ def merged_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
-    """Write `pages`, read the archives back and return the merged index."""
-    write(records(pages, least), path)
+    """Write `pages`, read the archives back and return the merged index.
+
+    Partitions are put together until archives have about PER_FILE records; a partition with more is cut by write().
+    """
+    write(records(pages, least).coalesce(pages.count() // PER_FILE + 1), path)
     return merged_index(pages.sparkSession, path)
 
 
