@@ -77,12 +77,12 @@ class Maker:
 
     def article(self) -> None:
         r = self.r
+        short = r.random() < 0.25
         if r.random() < 0.8:
-            self.block(r.choice(("h1", "h1", "h2")), self.words(3, 10).capitalize(), 1)
+            self.block(r.choice(("h1", "h1", "h2")), self.words(1, 3) + "." if short else self.words(3, 10).capitalize(), 1)
         messy = r.random() < 0.5
-        short = r.random() < 0.12
         if short:
-            self.block("p", self.words(2, 9).capitalize() + ".", 1)
+            self.block("p", self.words(1, 9).capitalize() + ".", 1)
         for _ in range(r.randint(0, 1) if short else r.randint(1, 14)):
             kind = r.random()
             if kind < 0.75:
