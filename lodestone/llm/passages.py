@@ -154,7 +154,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(docs.mapInPandas(summaries, "doc_id bigint, n_words bigint, text_hash bigint, kept_sha256 string, prints array<bigint>"))
     # a document with the words of a smaller one loses all that any window covers: everything
-    firsts = known.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("text_hash", "kept_sha256").agg(F.min("doc_id").alias("first"))
+    firsts = known.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("text_hash", "kept_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = cut(firsts.where("first < last").drop("last"))  # few, and dealt by the join alone, which can then split a large class
     copies = known.select("doc_id", "n_words", "text_hash", "kept_sha256").join(firsts, ["text_hash", "kept_sha256"], "left")
     out = cut(copies.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("text_hash", "first"))
     # copies share their hash, so a fingerprint recurs if texts with different hashes have it
