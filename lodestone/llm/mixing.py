@@ -11,7 +11,7 @@ repeat a doc_id are documents of their own; null ids take part under an empty di
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, table
@@ -19,7 +19,7 @@ from lodestone.llm.common import cut, table
 WORD = r"[^\x20\x09-\x0D]+"
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (3, 1, 2), "mix"
 #: Hex digits of the digest by which a source's documents are summed before the threshold's bucket is looked at closely.
-DIGITS = 4
+DIGITS, HEAD = 4, 2
 
 
 def weighted(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -51,6 +51,14 @@ def water_fill(sources: DataFrame, total: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("weight") * level, limit))
 
 
+def runs_out(sums: DataFrame, rests: DataFrame, part: str, where: Column | None = None) -> DataFrame:
+    """Of each source's `sums` by `part`, in order from `start` on, the row in which its rest runs out, with what lies `below`."""
+    rows = sums.join(rests, "key").where(F.col("named").eqNullSafe(F.col("source")))
+    rows = rows if where is None else rows.where(where)
+    below = F.col("start") + F.sum("sum").over(Window.partitionBy("key").orderBy(part)) - F.col("sum")
+    return rows.withColumn("below", below).where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("sum") >= F.col("rest")))
+
+
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, repeats, taken), a row per row of `docs` (doc_id, source, text)."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -64,11 +72,13 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[
     sources = cut(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("weight", "nameless"))
     key = F.xxhash64(F.col("source").isNull(), "source")
     sources = sources.withColumn("key", key)
-    upto = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket"))
-    buckets = buckets.withColumn("below", upto - F.col("sum")).withColumn("key", key)
-    buckets = buckets.join(sources.select("key", "rest", F.col("source").alias("named")), "key").where(F.col("named").eqNullSafe(F.col("source")))
-    # the bucket in which a source's rest runs out; all before it are taken once more, all after it aren't
-    edge = buckets.where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("sum") >= F.col("rest"))).select("key", F.col("bucket").alias("edge"), "below")
+    buckets = buckets.withColumn("key", key).withColumn("head", F.substring("bucket", 1, HEAD))
+    rests = sources.select("key", "rest", F.col("source").alias("named"), F.lit(0).cast("long").alias("start"))
+    # the bucket in which a source's rest runs out: first its head, of 256, then the bucket among those of that head, 256 again
+    heads = runs_out(buckets.groupBy("source", "key", "head").agg(F.sum("sum").alias("sum")), rests, "head")
+    near = heads.select("key", "rest", "named", F.col("head").alias("at"), F.col("below").alias("start"))
+    edge = runs_out(buckets, near, "bucket", (F.col("head") == F.col("at"))).select("key", F.col("bucket").alias("edge"), "below")
+    # all buckets before it are taken once more, all after it aren't
     sources = sources.join(edge, "key", "left").withColumn("edge", F.coalesce("edge", F.lit("")))
     docs = sized.withColumn("key", key).alias("d").join(sources.alias("s"), "key").where(F.col("d.source").eqNullSafe(F.col("s.source")))
     docs = docs.select("doc_id", "size", "source_size", "target", "whole", "rest", "order", "key", "bucket", "edge", "below")
