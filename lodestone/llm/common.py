@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, shared_dir, table
 
-__all__ = ["components", "cut", "maybe_in", "shared_dir", "table"]
+__all__ = ["components", "cut", "dealt", "maybe_in", "shared_dir", "table"]
+
+
+def dealt(df: DataFrame, key: str, order: Column | str) -> DataFrame:
+    """`df` dealt out by key and sorted. All shuffle partitions are used: few bytes can be much work for Python, so they aren't put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order)
 
 
 #: Bits of a sieve: 4 MB on the driver and on each executor, whatever the input.

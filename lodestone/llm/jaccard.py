@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import Sets, edges_of, in_cells, linked, whole_keys
-from lodestone.llm.common import components, cut, maybe_in, table
+from lodestone.llm.common import components, cut, dealt, maybe_in, table
 from lodestone.llm.wordhash import U, mix, shingles
 
 N, SIMILAR = 5, 0.8
@@ -123,7 +123,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     for more in found[1:]:
         buckets = buckets.union(more)
     buckets = buckets.join(sets.select("doc", "n", "sketch"), "doc")
-    return buckets.repartition("node").sortWithinPartitions("node", "doc").mapInPandas(alike, "a bigint, b bigint")
+    return dealt(buckets, "node", "doc").mapInPandas(alike, "a bigint, b bigint")
 
 
 def common_counts(found: list[np.ndarray]) -> np.ndarray:
@@ -181,7 +181,7 @@ def join(docs: DataFrame) -> DataFrame:
     texts = docs.withColumnRenamed("doc_id", "doc").where("doc is not null").where(maybe_in(groups, "doc")).join(placed, "doc")
     cells = texts.select("*", F.explode(in_cells(F.col("chunk"), F.col("chunks"))).alias("at"))
     cells = cells.select(F.xxhash64("group", "at.i", "at.j").alias("cell"), "doc", "chunk", "at.i", "at.j", "copies", "k1", "k2", "text")
-    links = cut(cells.repartition("cell").sortWithinPartitions("cell", "doc").mapInPandas(exact, "doc bigint, links bigint, least bigint"))
+    links = cut(dealt(cells, "cell", "doc").mapInPandas(exact, "doc bigint, links bigint, least bigint"))
     names = components(links, "doc", "least").withColumnRenamed("node", "doc")
     counts = links.groupBy("doc").agg(F.sum("links").alias("links"))
     classes = classes.join(counts, "doc", "left").join(names, "doc", "left")

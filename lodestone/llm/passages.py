@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import edges_of, whole_keys
-from lodestone.llm.common import cut, maybe_in, table
+from lodestone.llm.common import cut, dealt, maybe_in, table
 from lodestone.llm.wordhash import grams, mix, powers, sliding, spans, word_hashes, P
 
 WINDOW, GRAM = 50, 10
@@ -180,7 +180,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = rows.join(copies, "shard")
     to = F.when(F.col("phrase"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "place"), F.col("copies")).cast("int")))
     rows = rows.select(F.explode(to).alias("copy"), "*").select(F.xxhash64("shard", "copy").alias("key"), "phrase", "doc_id", "place", "words")
-    runs = rows.repartition("key").sortWithinPartitions("key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, start bigint, stop bigint")
+    runs = dealt(rows, "key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, start bigint, stop bigint")
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     stripped = some.drop("prints").join(runs, "doc_id").mapInPandas(strip, "doc_id bigint, n_removed bigint, stripped_sha256 string")
     out = out.join(stripped.dropDuplicates(["doc_id"]), "doc_id", "left")

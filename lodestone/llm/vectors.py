@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import edges_of, in_cells, linked, whole_keys
-from lodestone.llm.common import components, cut, table
+from lodestone.llm.common import components, cut, dealt, table
 
 SIMILAR = 0.93
 #: Directions of a half's code; the threshold in standard deviations of a random filter's sum; filters a vector has at least.
@@ -124,7 +124,7 @@ def near(vectors: DataFrame) -> DataFrame:
     met = met.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int"))
     cells = met.select("*", F.explode(in_cells(F.col("chunk"), F.col("chunks"))).alias("at"))
     cells = cells.select(F.xxhash64("label", "filter", "at.i", "at.j").alias("cell"), "vec", "copies", "chunk", "at.i", "at.j", F.col("filter").cast("int").alias("filter"), "v", "filters")
-    links = cut(cells.repartition("cell").sortWithinPartitions("cell", "vec").mapInPandas(verified(size), "vec bigint, links bigint, least bigint"))
+    links = cut(dealt(cells, "cell", "vec").mapInPandas(verified(size), "vec bigint, links bigint, least bigint"))
     names = components(links, "vec", "least").withColumnRenamed("node", "vec")
     classes = classes.join(links.groupBy("vec").agg(F.sum("links").alias("links")), "vec", "left").join(names, "vec", "left")
     classes = classes.select(*same, F.coalesce("component", "vec").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
