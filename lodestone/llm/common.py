@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, shared_dir, table
 
-__all__ = ["components", "cut", "dealt", "maybe_in", "shared_dir", "table"]
+__all__ = ["apart", "components", "cut", "dealt", "maybe_in", "shared_dir", "table"]
 
 
 def dealt(df: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -35,6 +35,12 @@ def maybe_in(ids: DataFrame, key: str) -> Column:
     return F.pandas_udf(lambda p: pd.Series((shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1) == 1), "boolean")(place)
 
 
+def apart(key: str) -> Column:
+    """A whole number as it is, which Spark doesn't know to be the same: rows that are summed by it and then joined on it are
+    dealt out twice, and the join, having an exchange of its own, can split a large key."""
+    return F.shiftright(F.col(key), 0).alias(key)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of the undirected links, the smallest node it reaches.
 
@@ -49,10 +55,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: every neighbour above a node moves to the smallest of the node's neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(apart("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every neighbour below a node, and the node, move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(apart("u"), "m")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

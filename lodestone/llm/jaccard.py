@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import Sets, edges_of, in_cells, linked, whole_keys
-from lodestone.llm.common import components, cut, dealt, maybe_in, table
+from lodestone.llm.common import apart, components, cut, dealt, maybe_in, table
 from lodestone.llm.wordhash import U, mix, shingles
 
 N, SIMILAR = 5, 0.8
@@ -105,7 +105,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     rows = sets.select("doc", F.explode(paths).alias("node"))
     found = []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select(apart("node"), "size")
         rows = cut(rows.join(sizes, "node"))
         found.append(rows.where(F.col("size") <= SMALL).select("node", "doc"))
         rows = rows.where(F.col("size") > SMALL)
