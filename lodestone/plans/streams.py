@@ -80,7 +80,7 @@ def stream_sessions(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    return S.drained(S.first_of_key(stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "append")
+    return S.drained(S.distinct_keys(stream(spark, sf_dir), ["user_id", "event_type"]), "append")
 
 
 def stream_admitted(spark, sf_dir):

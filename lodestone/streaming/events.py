@@ -38,6 +38,11 @@ def first_of_key(events: DataFrame, keys: list[str], late: str = "30 days") -> D
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def distinct_keys(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, however far apart and in whatever order its rows come; the state is the keys."""
+    return events.select(*keys).dropDuplicates(keys)
+
+
 def admission(limit: int, span_s: int):
     """For applyInPandasWithState: lets `limit` calls of a key in within a span; the state is the times of these."""
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import rolling
+from lodestone.plans import streams
 from lodestone.streaming import events as S
 
 
@@ -22,3 +23,26 @@ def test_first_of_key_across_batches(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = S.drained(S.first_of_key(S.event_stream(spark, str(tmp_path / "in"), files=1), ["user_id"]).select("user_id"), "append")
     assert sorted(r.user_id for r in got.collect()) == [1, 2]
+
+
+def put_events(spark, rows, folder, parts):
+    """`rows` (event_id, user_id, event_type, ts) as `parts` files, each with the rows whose `part` it is."""
+    for k in range(parts):
+        rows.where(f"part = {k}").drop("part").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def test_stream_dedup_keeps_keys_of_any_time(spark, tmp_path):
+    """Seventeen files, so three batches, as late rows are dropped by the watermark of the batch before: the last has a key of months before."""
+    rows = spark.sql("select id as event_id, id % 3 as user_id, 'view' as event_type, timestamp '2024-06-01' as ts, id div 3 as part from range(48)")
+    rows = rows.unionByName(spark.sql("select 100 as event_id, 7 as user_id, 'view' as event_type, timestamp '2024-01-01' as ts, 16 as part union all select 101, 1, 'view', timestamp '2025-06-01', 16"))
+    put_events(spark, rows, tmp_path, 17)
+    got = streams.stream_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.event_type) for r in got) == [(0, "view"), (1, "view"), (2, "view"), (7, "view")]
+
+
+def test_first_of_key_drops_what_is_late(spark, tmp_path):
+    """The general form forgets: a key behind the watermark of the batch before is lost, one within it is not."""
+    rows = spark.sql("select id as event_id, id as user_id, 'view' as event_type, to_timestamp(at) as ts, part from values (1, '2024-06-01', 0), (1, '2024-06-01', 1), (2, '2024-01-01', 2), (3, '2024-05-20', 2) as t(id, at, part)")
+    put_events(spark, rows, tmp_path, 3)
+    got = S.drained(S.first_of_key(S.event_stream(spark, f"{tmp_path}/events.parquet", files=1), ["user_id"], "30 days").select("user_id"), "append")
+    assert sorted(r.user_id for r in got.collect()) == [1, 3]
