@@ -84,7 +84,7 @@ def stream_dedup(spark, sf_dir):
 
 
 def stream_admitted(spark, sf_dir):
-    return S.drained(S.admitted(stream(spark, sf_dir), LIMIT), "append")
+    return S.drained(S.admitted(stream(spark, sf_dir), LIMIT), "append", S.CALL).select("event_id", "user_id", "admitted")
 
 
 QUERIES = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,32 +45,66 @@ def distinct_keys(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.select(*keys).dropDuplicates(keys)
 
 
-def admission(limit: int, span_s: int):
-    """For applyInPandasWithState: lets `limit` calls of a key in within a span; the state is the times of these."""
+#: A call that is held in state: its time in microseconds, its id and whether it was let in.
+HELD = np.dtype([("at", "<i8"), ("id", "<i8"), ("let", "?")])
+
+
+def admission(limit: int, span_s: int, late: bool = False):
+    """For applyInPandasWithState: lets `limit` calls of a key in within a span, by (at, event_id), in whatever order they come.
+
+    The state is the held calls, and the last times let in of those before them. New calls are put in their places among the held ones,
+    and what comes after the first of them is decided anew; what changes by that is sent again. With `late`, calls that the watermark
+    has passed are final and no longer held; one that comes later still is decided as the first of the held ones. `copy` numbers equal calls.
+    """
+    span = span_s * 1_000_000
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            out = []
-            for at in batch.ts.astype("datetime64[us, UTC]" if batch.ts.dt.tz else "datetime64[us]").astype("int64") // 1000:
-                recent = [t for t in recent if t >= at - span_s * 1000]
-                out.append(len(recent) < limit)
-                if out[-1]:
-                    recent.append(int(at))
-            yield pd.DataFrame({"event_id": batch.event_id, "user_id": key[0], "admitted": out})
-        state.update((recent,))
+        before, blob = state.get if state.exists else ([], b"")
+        held = np.frombuffer(blob, HELD)
+        new = [np.rec.fromarrays([b["at"].to_numpy(), b["event_id"].to_numpy(), np.zeros(len(b), bool)], dtype=HELD) for b in batches]
+        calls = np.concatenate([held, *new])
+        known = np.arange(len(calls)) < len(held)
+        order = np.lexsort((~known, calls["id"], calls["at"]))
+        calls, known = calls[order], known[order]
+        start = len(calls) if known.all() else int(np.argmin(known))
+        passed = calls["at"][:start][calls["let"][:start]]
+        recent = deque([*before, *passed[-limit:].tolist()] if limit else [], maxlen=limit)
+        let = []
+        for at in calls["at"][start:].tolist():
+            let.append(limit > 0 and (len(recent) < limit or recent[0] < at - span))
+            if let[-1]:
+                recent.append(at)
+        let = np.array(let, bool)
+        sent = start + np.flatnonzero(~known[start:] | (let != calls["let"][start:]))
+        calls["let"][start:] = let
+        first = np.r_[True, calls[["at", "id"]][1:] != calls[["at", "id"]][:-1]]  # of equal calls
+        copy = np.arange(len(calls)) - np.maximum.accumulate(np.where(first, np.arange(len(calls)), 0))
+        done = int(np.searchsorted(calls["at"], state.getCurrentWatermarkMs() * 1000)) if late else 0
+        final = calls["at"][:done][calls["let"][:done]].tolist()
+        state.update(([*before, *final][-limit:] if limit else [], calls[done:].tobytes()))
+        out = calls[sent]
+        yield pd.DataFrame({"event_id": out["id"], "user_id": key[0], "at": out["at"], "copy": copy[sent], "admitted": out["let"]})
 
     return run
 
 
-def admitted(events: DataFrame, limit: int = 3, span_s: int = 86_400) -> DataFrame:
-    run = admission(limit, span_s)
-    return events.groupBy("user_id").applyInPandasWithState(run, "event_id bigint, user_id bigint, admitted boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+def admitted(events: DataFrame, limit: int = 3, span_s: int = 86_400, late: str | None = None) -> DataFrame:
+    """(event_id, user_id, at, copy, admitted), of which the last row sent of a CALL holds.
+
+    Without `late` calls can come in any order, and the state is all calls in 17 bytes each; with it, those up to so much behind the latest.
+    """
+    calls = (events.withWatermark("ts", late) if late else events).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    schema = "event_id bigint, user_id bigint, at bigint, copy bigint, admitted boolean"
+    run = admission(limit, span_s, bool(late))
+    return calls.groupBy("user_id").applyInPandasWithState(run, schema, "before array<bigint>, held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+#: What tells the calls of `admitted` apart.
+CALL = ["user_id", "event_id", "at", "copy"]
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run over all that is there, then read the sink: with `complete` the last state, with `append` and `update` all that was sent."""
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run over all that is there, then read the sink: with `complete` the last state, with `append` and `update` all that was sent, or of `keys` the last."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
 
@@ -76,4 +112,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    sent = spark.read.parquet(f"{folder}/out")
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        sent = sent.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    return sent.select(*stream.columns)

@@ -46,3 +46,31 @@ def test_first_of_key_drops_what_is_late(spark, tmp_path):
     put_events(spark, rows, tmp_path, 3)
     got = S.drained(S.first_of_key(S.event_stream(spark, f"{tmp_path}/events.parquet", files=1), ["user_id"], "30 days").select("user_id"), "append")
     assert sorted(r.user_id for r in got.collect()) == [1, 3]
+
+
+def batch_admission(rows):
+    want = rolling.admitted(rows.withColumn("at", F.unix_micros("ts")), "event_id", "user_id", "at", 3, 86_400_000_000)
+    return sorted((r.event_id, r.admitted) for r in want.collect())
+
+
+def test_stream_admitted_in_any_order(spark, tmp_path):
+    """Files from the latest to the earliest, and more rows of a user than an Arrow batch holds."""
+    rows = spark.sql("select id as event_id, cast(pow(id % 4, 2) as bigint) div 4 as user_id, 'view' as event_type, timestamp '2024-01-01' + make_dt_interval(0, cast(id * 7919 % 2400 as int) div 2, 0, cast(id % 3 as decimal(18, 6)) / 1000000) as ts from range(3000)")
+    rows = rows.withColumn("part", F.lit(9) - F.floor(F.datediff("ts", F.lit("2024-01-01")) / 6)).localCheckpoint()
+    put_events(spark, rows, tmp_path, 10)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = sorted((r.event_id, r.admitted) for r in streams.stream_admitted(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == batch_admission(rows)
+
+
+def test_admission_lets_go_behind_the_watermark(spark, tmp_path):
+    """In order but for two days, with a delay of three: the same as the batch, and equal calls are told apart."""
+    rows = spark.sql("select id div 2 as event_id, id div 2 % 3 as user_id, 'view' as event_type, timestamp '2024-01-01' + make_dt_interval(0, cast(id div 2 as int), 0, 0) as ts, id div 2 div 48 as part from range(960)")
+    rows = rows.withColumn("ts", F.when(F.col("event_id") % 5 == 0, F.expr("ts - interval 2 days")).otherwise(F.col("ts"))).localCheckpoint()
+    put_events(spark, rows, tmp_path, 10)
+    got = S.drained(S.admitted(S.event_stream(spark, f"{tmp_path}/events.parquet", files=1), 3, late="3 days"), "append", S.CALL)
+    assert sorted((r.event_id, r.admitted) for r in got.collect()) == batch_admission(rows)
