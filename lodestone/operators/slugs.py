@@ -26,12 +26,14 @@ def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["id"]].assign(slug=out)
 
 
-def unique(df: DataFrame, base: str, seq: list[str]) -> DataFrame:
+def unique(df: DataFrame, base: str, seq: list[str], stem: int = 0) -> DataFrame:
     """`df` (with id) and its `slug`.
 
     Only slugs that are equal but for numbers at their ends can collide; families of one row keep theirs without a sort.
+    `stem` characters that all begin with, such as a date, are not such numbers.
     """
-    df = df.withColumn("family", F.regexp_replace(base, r"(-\d+)+$", ""))
+    rest = F.expr(f"substring({base}, {stem + 1})")
+    df = df.withColumn("family", F.concat(F.substring(base, 1, stem), F.regexp_replace(rest, r"(-\d+)+$", "")))
     counts = df.groupBy("family").agg(F.count("*").alias("_n"))
     df = df.join(counts, "family")
     many = df.where("_n > 1").select("family", "id", F.col(base).alias("base"), *[c for c in seq if c != "id"]).repartition("family").sortWithinPartitions("family", *seq)

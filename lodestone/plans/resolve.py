@@ -10,7 +10,7 @@ from lodestone.functions.text import humanise
 from lodestone.operators import asof, keep, links, merge, threads
 from lodestone.operators import slugs as S
 from lodestone.operators.pages import capped
-from lodestone.plans.views import POSTS, micros, posts
+from lodestone.plans.views import POSTS, micros, post_slug, posts
 from lodestone.session import table
 
 HOUR = 3_600_000_000
@@ -41,10 +41,10 @@ def id_suffixes(spark, sf_dir):
 
 
 def slug_collisions(spark, sf_dir):
-    """Slugs from the first characters of texts, some of which end in a number literally."""
-    base = F.concat(F.lower(F.substring(F.regexp_replace("content_text", r"[^A-Za-z]", ""), 1, 2)), F.when(F.col("id") % 7 == 0, "-2").otherwise(""))
-    rows = posts(spark, sf_dir).select("id", F.when(base == "", "post").otherwise(base).alias("base"))
-    return S.unique(rows, "base", ["id"]).select("id", "slug")
+    """Unique slugs of all posts, some of which end in a number literally. A post without a date has zeros there, so that all start with ten characters."""
+    day = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("0000-00-00"))
+    rows = posts(spark, sf_dir).select("id", F.concat(post_slug(day), F.when(F.col("id") % 7 == 0, "-2").otherwise("")).alias("base"))
+    return S.unique(rows, "base", ["id"], stem=10).select("id", "slug")
 
 
 def owner_mode(spark, sf_dir):
@@ -71,16 +71,21 @@ def whitelist(spark, sf_dir):
     return links.guarded_whitelist(rows, allowed, "owner", "path", F.col("l_returnflag") == "R").select("owner", "line")
 
 
-def reshare_rows(spark, sf_dir):
+def reshare_rows(spark, sf_dir, text):
     rows = posts(spark, sf_dir).withColumn("seq", F.col("id"))
     return rows.select(
         "id", "seq", (F.col("id") % 3 != 0).alias("reshare"), (F.col("id") % 2 == 0).alias("own"), F.when(F.col("id") % 11 == 1, "").otherwise("profile").alias("segment"),
         F.when(F.col("lang") == "en", "words").otherwise("").alias("commentary"), F.when(F.col("id") % 5 == 0, "https://f.example/1").otherwise("").alias("target"),
-        F.substring("content_text", 1, 12).alias("text"))
+        text.alias("text"))
 
 
 def reshare_pairs(spark, sf_dir):
-    return links.reshare_states(reshare_rows(spark, sf_dir)).select("id", "state", "other_id")
+    """Pairs by the first 12 characters, as the SQL of this name has them; `reshare_text_pairs` has those by whole texts."""
+    return links.reshare_states(reshare_rows(spark, sf_dir, F.substring("content_text", 1, 12))).select("id", "state", "other_id")
+
+
+def reshare_text_pairs(spark, sf_dir):
+    return links.reshare_states(reshare_rows(spark, sf_dir, F.col("content_text"))).select("id", "state", "other_id")
 
 
 def asof_thread(spark, sf_dir):
@@ -261,7 +266,7 @@ def url_rules(spark, sf_dir):
 QUERIES = {
     "network_threads": network_threads, "url_rules": url_rules,
     "dedup_longest": dedup_longest, "dedup_newest": dedup_newest, "dedup_first": dedup_edge(keep.first), "dedup_last": dedup_edge(keep.last), "id_suffixes": id_suffixes, "slug_collisions": slug_collisions,
-    "owner_mode": owner_mode, "segment_mode": segment_mode, "crosspost_antijoin": crosspost_antijoin, "whitelist_semijoin_guarded": whitelist, "reshare_pairs": reshare_pairs,
+    "owner_mode": owner_mode, "segment_mode": segment_mode, "crosspost_antijoin": crosspost_antijoin, "whitelist_semijoin_guarded": whitelist, "reshare_pairs": reshare_pairs, "reshare_text_pairs": reshare_text_pairs,
     "asof_thread_anchor": asof_thread, "asof_comment_to_post": asof_comment, "comment_parent_match": comment_parents, "comment_external_antijoin": external_comments, "caps_per_kind": caps_per_kind,
     "counts_with_hints": counts_with_hints, "merge_insert_only": merge_insert, "merge_update_fieldwise": merge_update, "merge_dry_run": merge_actions, "profile_link_merge": profile_links, "tag_get_or_create": tags_once,
     "cascade_delete": cascade_delete, "chunk_replace": replace_chunks, "reaction_counts_two_keys": reaction_counts, "first_attachment": first_attachment, "display_names": display_names, "prefix_names": prefix_names,
@@ -329,3 +334,4 @@ ORACLE_SQL = {
     "cache_preference": """with e as (select user_id % 40 as question, case when event_id % 3 = 0 then 'premium' else 'base-' || (event_id % 5) end as model, event_id, (props->>'$.k')::bigint as hits from events)
         select question, model, event_id from e where question % 4 <> 1 or model <> 'base-3' qualify row_number() over (partition by question order by case when model = 'base-3' then 1 when starts_with(model, 'base') then 2 else 3 end, hits desc, event_id) = 1""",
 }
+ORACLE_SQL["reshare_text_pairs"] = ORACLE_SQL["reshare_pairs"].replace("substr(content_text, 1, 12)", "content_text")

@@ -8,7 +8,7 @@ from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import chunks as C
 from lodestone.operators import htmltags, linkify, wordcloud
-from lodestone.plans.views import POSTS, posts, public_posts
+from lodestone.plans.views import POSTS, post_slug, posts, public_posts
 from lodestone.session import table
 
 MODEL = "base-3"
@@ -116,10 +116,8 @@ def linkified(spark, sf_dir):
 
 
 def slugs(spark, sf_dir):
-    """Date and the first eight words of the text's first 60 characters."""
-    head = F.array_join(F.slice(F.split(T.strip(F.substring("content_text", 1, 60)), r"\s+"), 1, 8), "-")
     rows = posts(spark, sf_dir).where("created_at is not null")
-    return rows.select("id", T.slug(F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit("-"), head)).alias("slug"))
+    return rows.select("id", post_slug(F.date_format("created_at", "yyyy-MM-dd")).alias("slug"))
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.session import table
 
 
@@ -37,6 +38,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("ip"), micros(F.col("ts")).alias("micros"), (F.col("event_type") == "purchase").alias("premium"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
+def post_slug(day: Column) -> Column:
+    """Date and the first eight words of the text's first 60 characters."""
+    head = F.array_join(F.slice(F.split(T.strip(F.substring("content_text", 1, 60)), r"\s+"), 1, 8), "-")
+    return T.slug(F.concat(day, F.lit("-"), head))
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import asof, chunks, htmltags, keep, linkify, links, merge, retrieval, rolling, slugs, wordcloud
 from lodestone.operators.pages import capped
+from lodestone.plans import resolve
 
 
 def test_longest_keeps_the_first_of_equals(spark):
@@ -175,3 +176,26 @@ def test_reshare_states(spark):
     df = spark.createDataFrame(rows, "id string, seq int, reshare boolean, own boolean, segment string, commentary string, target string, text string")
     got = {r.id: (r.state, r.other_id) for r in links.reshare_states(df).collect()}
     assert got == {"p": (1, None), "own1": (4, "oth2"), "own2": (3, None), "oth1": (7, None), "oth2": (9, None), "bare": (2, None), "target": (5, None), "words": (6, None), "none": (8, None)}
+
+
+def put_posts(spark, folder, texts):
+    """Documents 1.. with `texts`, all ordered on one day."""
+    docs = spark.createDataFrame([(k, t, "en", "src1", len(t)) for k, t in enumerate(texts, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.sql("select 1L as doc_id, 1 as quality, 0 as toxic").write.parquet(f"{folder}/labels.parquet")
+    docs.select(F.col("doc_id").alias("o_orderkey"), F.lit("2024-01-05").cast("timestamp").alias("o_orderdate")).where("o_orderkey <> 3").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_reshare_pairs_by_whole_texts(spark, tmp_path):
+    """2 is own and 5 and 1 are another's: only 5 has the text of 2 and not just its beginning. 3 is no reshare, 4 own."""
+    sf = put_posts(spark, tmp_path, ["The same twelve, then not", "The same twelve and the rest", "x", "The same twelve, alone", "The same twelve and the rest", "x", "The same twelve, last"])
+    got = {r.id: (r.state, r.other_id) for r in resolve.reshare_text_pairs(spark, sf).collect()}
+    assert got == {1: (8, None), 2: (4, 5), 3: (1, None), 4: (6, None), 5: (9, None), 6: (1, None), 7: (7, None)}
+
+
+def test_slug_collisions_of_whole_slugs(spark, tmp_path):
+    """Slugs of the date and eight words; 3 has no date, and 7 ends in a number."""
+    sf = put_posts(spark, tmp_path, ["Same words here", "Same words here", "Same words here", "Salt", "Да", "Нет", "Same words here", "Same words here"])
+    got = {r.id: r.slug.removeprefix("2024-01-05") for r in resolve.slug_collisions(spark, sf).collect()}
+    assert got == {1: "-same-words-here", 2: "-same-words-here-2", 3: "0000-00-00-same-words-here", 4: "-salt", 5: "", 6: "-2", 7: "-same-words-here-2-2", 8: "-same-words-here-3"}
