@@ -92,3 +92,27 @@ def test_whole_keys():
         batches = [pd.DataFrame({"k": keys[a : a + size]}) for a in range(0, 8, size)]
         out = [p.k.tolist() for p in cells.whole_keys(iter(batches), "k")]
         assert sum(out, []) == keys and all(x[-1] != y[0] for x, y in zip(out, out[1:]))
+
+
+def test_lone_pairs_at_the_threshold_share_a_filter():
+    r = np.random.default_rng(11)
+    one, other = vectors.unit(r.normal(size=(3000, 64))), r.normal(size=(3000, 64))
+    other = vectors.unit(other - (one * other).sum(1, keepdims=True) * one)
+    two = vectors.SIMILAR * one + np.sqrt(1 - vectors.SIMILAR**2) * other
+    codes = [vectors.Filters(64, vectors.SEED + k) for k in range(vectors.CODES)]
+    missed = sum(not np.intersect1d(a, b).size for a, b in zip(vectors.all_lists(codes, one), vectors.all_lists(codes, two)))
+    missed_by_one = sum(not np.intersect1d(a, b).size for a, b in zip(codes[0].lists(one), codes[0].lists(two)))
+    assert missed <= 2 < missed_by_one, (missed, missed_by_one)
+
+
+def test_vectors_of_every_length_link(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for size in (64, 3, 1, 32, 32):
+        centre = r.normal(size=size)
+        rows += [(len(rows) + k, (centre * r.uniform(0.9, 1.1) + 0.01 * r.normal(size=size)).tolist(), 0) for k in range(4)]
+    want = []
+    for size in (64, 3, 1, 32):
+        want += brute([x for x in rows if len(x[1]) == size])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((g.vec_id, g.n_links, g.component_id) for g in vectors.near(df).collect()) == sorted(want)
