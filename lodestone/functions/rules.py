@@ -13,7 +13,9 @@ OTHER_PARTS = r"/(?:settings|privacy|help|friends|groups/feed|events/calendar|ma
 # Images of the short-message network that belong to the site or to a profile, and those of posts.
 SITE_IMAGES = r"profile_images|profile_banners|/emoji/|abs\.twimg\.com|/hashflags/|/sticky/"
 POST_IMAGES = r"pbs\.twimg\.com/(?:media|ext_tw_video_thumb|tweet_video_thumb|amplify_video_thumb|card_img)/|video\.twimg\.com/"
-SHORTENERS = ("t.co", "bit.ly", "goo.gl", "tinyurl.com", "ow.ly", "buff.ly", "is.gd", "fb.me", "youtu.be")
+# Endings of images, and hosts that shorten links.
+IMAGE = r"(?i)\.(jpe?g|png|gif|webp|bmp)(\?.*)?$"
+SHORTENERS = ("goo.gl", "bit.ly", "t.co", "ow.ly", "tinyurl.com", "is.gd", "buff.ly", "dlvr.it")
 # The harvester's list of foreign images; it lets t51 pass, unlike the importer's.
 HARVEST_FOREIGN = r"/v/t15\.5256|/v/t39\.30808-1/|/v/t39\.2081-6/|/v/t1\.6435-|/v/t45\.1600|/m1/v/t6/|/rsrc\.php/|static\.xx\.|/emoji\.php/"
 
@@ -44,7 +46,7 @@ def is_shortened(url: Column) -> Column:
 
 
 def is_image(url: Column) -> Column:
-    return U.path(url).rlike(r"(?i)\.(?:jpe?g|png|gif|webp|avif)$")
+    return url.rlike(IMAGE)
 
 
 def replay_url(url: Column, stamp: Column) -> Column:

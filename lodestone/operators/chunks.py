@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP = 800, 100
+PARAGRAPH, SENTENCE = re.compile(r"\n(?=\n)"), re.compile(r"[.!?](?= )|\.(?=\n)")
+
+
+def bounds(text: str, target: int = TARGET, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """Where each chunk of a text starts and ends: all places where a chunk may end are found once, and each end is looked up among them.
+
+    Allowed are ends in the later half of a chunk: before the last empty line there, else behind the last sentence, else at full length.
+    """
+    empty_lines = [m.start() for m in PARAGRAPH.finditer(text)]
+    sentences = [m.end() for m in SENTENCE.finditer(text)]
+
+    def latest(places: list[int], low: int, high: int) -> int:
+        k = bisect_right(places, high)
+        return places[k - 1] if k and places[k - 1] >= low else 0
+
+    at = 0
+    while len(text) - at > target:
+        middle, full = at + target // 2, at + target
+        end = latest(empty_lines, middle, full - 2) or latest(sentences, middle + 1, full - 1) or full
+        yield at, end
+        at = max(at + 1, end - overlap)
+    yield at, len(text)
 
 
 def chunks_of(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
-    """A chunk ends at a paragraph in its later half, else at a sentence there, else after `target` characters."""
+    """The chunks of a text without white space at their ends; those of white space alone are left out."""
     text = (text or "").strip()
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + target, len(text))
-        if end < len(text):
-            half = start + target // 2
-            paragraph = text.rfind("\n\n", half, end)
-            sentence = max(text.rfind(mark, half, end) for mark in (". ", "! ", "? ", ".\n"))
-            end = paragraph if paragraph >= 0 else sentence + 1 if sentence >= 0 else end
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
-        start = max(start + 1, end - overlap)
-    return out
+    return [c for a, b in bounds(text, target, overlap) if (c := text[a:b].strip())]
 
 
 def chunk_array(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
