@@ -6,8 +6,10 @@ and downward sum-product messages give every element's marginal, for many trees
 trained by gradient ascent on labelled pages, with expectations from the same messages. Blocks of elements that are
 content rather than not are the text.
 
-Cases: null, empty and tag-less html give their text, if any; unclosed and stray tags are repaired as browsers do for blocks, list items
-and cells; rows that repeat a page_id get a row each; an empty table gives no rows; other columns stay as they are.
+Cases: null and empty html give an empty text, html without tags is one block; unclosed and stray tags are repaired as browsers do for
+blocks, list items and cells; what is behind the last > is text; controls, players and drawings that are never closed hide nothing, closed
+ones hide what they hold, and end with the element around them; rows that repeat a page_id get a row each; an empty table gives no
+rows; other columns stay as they are, but for a column `text`, whose place the text takes.
 """
 
 from __future__ import annotations
@@ -25,18 +27,22 @@ from lodestone.llm.common import table
 from lodestone.llm.mainpages import labelled_pages
 
 #: Labelled pages to train on, steps, pages whose trees are decoded together.
-PAGES, STEPS, BATCH = 400, 200, 256
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]*+>""", re.DOTALL)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+PAGES, STEPS, BATCH = 600, 200, 256
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[!?][^>]+>""", re.DOTALL)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 # HTML's element names by how they behave.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button output ruby rb rt rp nobr blink".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark q s samp small span strike strong sub sup time tt u var output ruby rb rt rp nobr blink picture slot math mi mn mo mrow ms mtext msup msub mfrac msqrt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea select iframe object svg math canvas audio video map datalist".split())
+RAW = frozenset("script style title textarea iframe".split())
+MUTE = frozenset("template noscript select datalist button object svg canvas audio video".split())
+PHRASES_ONLY = frozenset("select datalist".split())
 SKIP = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
+END = {name: re.compile(rf"</{name}[\s>]", re.IGNORECASE) for name in MUTE}
 CLOSED_BY = {"p": None, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "option": ("option",)}
-GROUPS = {name: k for k, names in enumerate(("article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tr", "td th", "blockquote pre", "figure figcaption", "html body #root", "head", "address", "dialog menu")) for name in names.split()}
+GROUPS = {name: k for k, names in enumerate(("article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tr", "td th", "blockquote pre", "figure", "figcaption caption", "details summary", "#root html", "body", "head", "address", "dialog menu")) for name in names.split()}
 OTHER = max(GROUPS.values()) + 1
+PAGE_LEVEL = (GROUPS["#root"], GROUPS["body"])
 CLUES = tuple(
     frozenset(x.split())
     for x in (
@@ -45,7 +51,8 @@ CLUES = tuple(
         "search login form contact", "article post story entry", "content body text main", "page wrapper container row layout site",
     )
 )
-N_FEATURES = OTHER + 1 + len(CLUES) + 8
+N_NUMBERS = 12
+N_FEATURES = OTHER + 1 + len(CLUES) + N_NUMBERS
 
 
 @dataclass
@@ -62,6 +69,8 @@ class Page:
 def read(source: str | None) -> Page:
     page, source = Page(), source or ""
     stack, names, pieces = [0], ["#root"], []
+    muted: list[str] = []  # the element that hides its text and what is open inside it
+    last_end: dict[str, int] = {}
     links = linked = 0
 
     def flush() -> None:
@@ -75,22 +84,45 @@ def read(source: str | None) -> Page:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not muted:
             pieces.append(html.unescape(raw) if "&" in raw else raw)
             if links:
                 linked += len(raw)
 
-    at, n = 0, len(source)
-    while at < n:
+    def ends_later(name: str) -> bool:
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in END[name].finditer(source)), default=-1)
+        return last_end[name] >= at
+
+    at, last = 0, source.rfind(">")
+    while at <= last:
         m = TOKEN.search(source, at)
         if m is None:
-            say(source[at:])
             break
         say(source[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
+        if muted:
+            if closing:
+                if name in muted:
+                    while muted.pop() != name:
+                        pass
+                    continue
+                if name not in names[1:] or name in INLINE:
+                    continue
+                muted.clear()  # the element around it ends
+            elif name in RAW:
+                end = SKIP[name].search(source, at)
+                at = end.end() if end else len(source)
+                continue
+            elif muted[0] not in PHRASES_ONLY or name in INLINE or name in VOID or name in ("option", "optgroup", *MUTE):
+                if name not in VOID and name not in INLINE and not m[3].endswith("/"):
+                    muted.append(name)
+                continue
+            else:
+                muted.clear()  # no list of options holds a block
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
@@ -102,7 +134,10 @@ def read(source: str | None) -> Page:
         elif name in RAW:
             if not closing and not m[3].endswith("/"):
                 end = SKIP[name].search(source, at)
-                at = end.end() if end else n
+                at = end.end() if end else len(source)
+        elif name in MUTE:
+            if not closing and not m[3].endswith("/") and (name in PHRASES_ONLY or ends_later(name)):
+                muted.append(name)
         elif closing:
             if name in names[1:]:
                 flush()
@@ -127,6 +162,9 @@ def read(source: str | None) -> Page:
             stack.append(len(page.parent) - 1)
             names.append(name)
             links = 0
+    muted.clear()
+    if at < len(source):
+        say(source[at:].partition("<!--")[0])
     flush()
     return page
 
@@ -158,10 +196,13 @@ class Forest:
         for level in reversed(self.levels[1:]):
             np.add.at(below, self.parent[level], below[level])
             np.add.at(below_linked, self.parent[level], below_linked[level])
-        f[:, -8:] = np.stack([np.ones(n), np.log1p(own) / 5, np.log1p(below) / 5, below_linked / (below + 1), linked / (own + 1), np.log1p(stops) / 3, own > 80, (own > 0) & (own < 25)], 1)
+        whole = np.repeat(np.maximum(below[self.first[:-1]], 1), sizes)
+        top = np.isin(f[:, : OTHER + 1].argmax(1), PAGE_LEVEL)
+        numbers = (np.ones(n), np.log1p(own) / 5, np.log1p(below) / 5, below_linked / (below + 1), linked / (own + 1), np.log1p(stops) / 3, own > 80, (own > 0) & (own < 25), below / whole, own / whole, below > 0.9 * whole, top & (own > 0))
+        f[:, -N_NUMBERS:] = np.stack(numbers, 1)
         self.features = f
-        # pairs with a child that carries text itself have a table of their own
-        self.kind = (own > 0).astype(int)
+        # pairs with a child that carries text itself, and pairs right below the page, have tables of their own
+        self.kind = (own > 0) + 2 * top[np.maximum(self.parent, 0)]
 
 
 def logsum(x: np.ndarray) -> np.ndarray:
@@ -171,7 +212,7 @@ def logsum(x: np.ndarray) -> np.ndarray:
 
 class TreeModel:
     def __init__(self):
-        self.weights, self.pair = np.zeros(N_FEATURES), np.zeros((2, 2, 2))  # kind, parent, child
+        self.weights, self.pair = np.zeros(N_FEATURES), np.zeros((4, 2, 2))  # kind, parent, child
 
     def marginals(self, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each element, and P(parent, child) of each element with its parent."""
@@ -201,10 +242,13 @@ class TreeModel:
             for (i, text, _), y in zip(page.blocks, labels, strict=True):
                 truth[s + i] += y * len(text)
                 weight[s + i] += len(text)
-        for level in reversed(forest.levels[1:]):  # an element without text of its own is what most of the text below it is
+        own = weight > 0
+        labels = truth * 2 > weight
+        for level in reversed(forest.levels[1:]):
             np.add.at(truth, forest.parent[level], truth[level])
             np.add.at(weight, forest.parent[level], weight[level])
-        y = ((truth * 2 > weight) & (forest.features[:, GROUPS["#root"]] == 0)).astype(int)  # the page as a whole is not content
+        # an element without text of its own is what most of the text below it is
+        y = np.where(own, labels, truth * 2 > weight).astype(int)
         child = np.flatnonzero(forest.parent >= 0)
         n = len(pages)
         moment = [0.0, 0.0, 0.0, 0.0]

@@ -99,7 +99,9 @@ class Maker:
                 for _ in range(r.randint(2, 4)):
                     self.block("li", self.words(3, 12), 1)
                 self.html.append("</ul>")
-            elif kind < 0.92:
+            elif kind < 0.91:
+                self.part()
+            elif kind < 0.93:
                 self.html.append("<blockquote>")
                 self.block("p", self.prose(2), 1)
                 self.html.append("</blockquote>")
@@ -108,8 +110,84 @@ class Maker:
             else:
                 self.noise()
 
+    def part(self) -> None:
+        """A table, a figure, a definition list, a part to unfold or a controls that belongs to the article; controls have no text of their own."""
+        r = self.r
+        kind = r.randrange(6)
+        if kind == 0:
+            self.html.append("<table>")
+            if r.random() < 0.3:
+                self.block("caption", self.words(1, 6), 1)
+            for row in range(r.randint(1, 5)):
+                self.html.append("<tr>")
+                for _ in range(r.randint(1, 4)):
+                    self.block("th" if not row and r.random() < 0.5 else "td", self.words(1, 8), 1)
+                self.html.append("</tr>" * (r.random() < 0.8))
+            self.html.append("</table>")
+        elif kind == 1:
+            self.html.append('<figure><img src="x.png">')
+            self.block("figcaption", self.words(1, 12), 1)
+            self.html.append("</figure>")
+        elif kind == 2:
+            self.html.append("<dl>")
+            for _ in range(r.randint(1, 4)):
+                self.block("dt", self.words(1, 3), 1)
+                self.block("dd", self.words(2, 12), 1)
+            self.html.append("</dl>")
+        elif kind == 3:
+            self.html.append("<details>")
+            self.block("summary", self.words(1, 5), 1)
+            self.block("p", self.prose(r.randint(1, 3)), 1)
+            self.html.append("</details>")
+        elif kind == 4:
+            self.html.append(r.choice(("<section>", "<div>")))
+            for _ in range(r.randint(1, 3)):
+                self.block("p", self.prose(r.randint(1, 3)), 1)
+            self.html.append("</section></div>")
+        else:
+            self.html.append(r.choice(('<video src="x">', "<select><option>" + self.words(1, 2), "<canvas>" + self.words(1, 2) + "</canvas>", "<object>")))
+            self.block("p", self.prose(r.randint(1, 3)), 1)
+
+    def bare(self) -> tuple[str, list[int]]:
+        """A page without a frame: a text alone, in few elements or in none; or a frame without a text."""
+        r = self.r
+        kind = r.randrange(8)
+        text = lambda: self.prose(r.randint(1, 5)) if r.random() < 0.6 else self.words(1, 6).capitalize() + r.choice((".", "", "!"))
+        if kind == 0:
+            return text(), [1]
+        if kind == 1:
+            tags = r.choice((("", ""), ("<html><body>", "</body></html>"), ("<html><head><title>t</title></head><body>", "</body></html>"), ("<body>", "")))
+            lines = r.choice(("<br>", "<br><br>", " ")).join(text() for _ in range(r.randint(1, 4)))
+            return tags[0] + lines + tags[1], [1]
+        if kind == 2:  # text of the page itself beside its menus
+            self.html.append("<html><body>")
+            for part in r.choice(((1, 0), (0, 1), (0, 1, 0))):
+                if part:
+                    self.html.append("<br>".join(self.prose(r.randint(1, 4)) for _ in range(r.randint(1, 4))))
+                    self.labels.append(1)
+                else:
+                    self.noise()
+            return "".join(self.html) + "</body></html>", self.labels
+        if kind == 3:
+            self.html.append("<html><body>")
+            for _ in range(r.randint(1, 3)):
+                self.noise()
+            self.html.append("</body></html>")
+            return "".join(self.html), self.labels
+        before, after = r.choice((("<html><body>", "</body></html>"), ("<body>", "</body>"), ("", "")))
+        inner = r.choice(((), (), ("article",), ("main",), ("div",), ("section",), ("div", "div"), ("main", "article")))
+        self.html.append(before + "".join(f"<{x}>" for x in inner))
+        if r.random() < 0.3:
+            self.block(r.choice(("h1", "h2")), self.words(1, 6).capitalize(), 1)
+        for _ in range(r.choice((1, 1, 1, 2, 3))):
+            self.part() if r.random() < 0.4 else self.block("p" if r.random() < 0.8 else "div", text(), 1)
+        self.html.append("".join(f"</{x}>" for x in reversed(inner)) + after)
+        return "".join(self.html), self.labels
+
     def page(self) -> tuple[str, list[int]]:
         r = self.r
+        if r.random() < 0.25:
+            return self.bare()
         self.html.append("<html><head><title>t</title></head><body>")
         if r.random() < 0.6:
             self.wrap(r.choice(("header", "div")), ("header", "masthead", "top", "logo"), lambda: (self.block(r.choice(("h1", "p", "div")), self.words(1, 4), 0), r.random() < 0.5 and self.links(r.randint(2, 6))))

@@ -9,7 +9,7 @@ from lodestone.llm import html_text, mainpages, quality, warc
 
 @pytest.fixture(scope="module")
 def model():
-    return html_text.TreeModel().train(mainpages.labelled_pages(200))
+    return html_text.TreeModel().train(mainpages.labelled_pages(html_text.PAGES))
 
 
 def test_messages_equal_enumeration():
@@ -44,6 +44,31 @@ def test_held_out_pages(model):
     assert right / chars > 0.97
 
 
+HAND_WRITTEN = (
+    ("<html><body><p>one paragraph</p></body></html>", "one paragraph"),
+    ("<article><p>Hi.</p></article>", "Hi."),
+    ("just some text, &lt;without&gt; tags", "just some text, <without> tags"),
+    ("<body>text<br>text</body>", "text text"),
+    ("<article><h1>T</h1><p>Some words here. And more of them.</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>After it, more words.</p></article>", "T\nSome words here. And more of them.\na\nb\n1\n2\nAfter it, more words."),
+    ("<article><p>Some words here.</p><figure><img src=x><figcaption>A picture of it</figcaption></figure></article>", "Some words here.\nA picture of it"),
+    ("<main><details><summary>More</summary><p>Hidden words here.</p></details></main>", "More\nHidden words here."),
+    ("<article><p>Before.</p><select><option>a<option>b<p>After the list. And more words.</p></article>", "Before.\nAfter the list. And more words."),
+    ("<article><p>Before.</p><video src=x><p>After the film. And more.</p></article>", "Before.\nAfter the film. And more."),
+    ("<article><p>Press <button>Share</button> to go on.</p></article>", "Press to go on."),
+    ("<body><object><div>fallback</div></object><map name=x>In a map.</map><p>Rest of it</p></body>", "In a map.\nRest of it"),
+    ("<p>a < b and b > c", "a < b and b > c"),
+    ("<nav><a href=/>Home</a> <a href=/b>B</a></nav><article><p>Body text.</p></article><footer>&copy; X</footer>", "Body text."),
+    ("<nav><ul><li><a href=/x>X</a></li></ul></nav>", ""),
+    ("<div class=comments><p>I like this article a lot.</p></div>", ""),
+    ("<a " * 350_000, ("<a " * 350_000).strip()),
+)
+
+
+@pytest.mark.parametrize("source,text", HAND_WRITTEN, ids=range(len(HAND_WRITTEN)))
+def test_hand_written_pages(source, text, model):
+    assert model.texts([source]) == [text]
+
+
 def test_odd_pages(spark, model):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<article><h1>A &amp; B</h1><p>Text  with\n<b>bold</b> words. And more of it here, so that it is long.<p>Second.</article><script>var p='</p>'</script>"), (3, None, "plain"), (5, "u", "<article>" + "<p>Some words in a row here.</p>" * 3000 + "</article>"), (6, "u", "<<<>>&#xZ; </p></div>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as n_chars")
@@ -52,6 +77,7 @@ def test_odd_pages(spark, model):
     assert len(got) == 6 and by[1, ""] == "" and by[2, ""] == ""
     assert next(v for k, v in by.items() if k[0] == 3 and "bold" in k[1]).startswith("A & B\nText with bold words.")
     assert next(v for k, v in by.items() if k[0] == 5).count("\n") == 2999
+    assert by[3, "plain"] == "plain"
     assert html_text.extract(df.limit(0), model).count() == 0
 
 
