@@ -121,6 +121,45 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert auc > 0.9
 
 
+def test_votes_equal_plain_votes(spark):
+    """Scores against plain cosines and a plain vote, with ties and an id that has two texts."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(("good", "words", "here", "some", "RATHER", "$$", "42")) for _ in range(r.randint(1, 30))) for _ in range(150)]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(3, "another text"), (4, texts[4])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(k, k % 2) for k in range(150)], "doc_id long, quality int"))
+    held = spark.range(150).selectExpr("id as doc_id").select("doc_id", quality.held_out().alias("h")).where("not h").count()
+    assert len(model.labels) == held + 1
+    assert len(quality.fit(df, spark.createDataFrame([(k, k % 2) for k in range(150)], "doc_id long, quality int"), most=20).labels) == 20
+    vectors = model.vectors.astype(float).tolist()
+    queries = [*texts, "a few new words", "good " * 40]
+    for text, got in zip(queries, model.scores(queries)):
+        v = model.placed(quality.terms(text)[None], [quality.words_of(text)])[0].astype(float).tolist()
+        cosines = [sum(a * b for a, b in zip(v, w)) for w in vectors]
+        plain = []
+        for error in (0, 1.1e-5, -1.1e-5):  # of the fifth digit: it decides which are as near as the last
+            least = sorted(cosines)[-quality.NEIGHBOURS] - error
+            votes = [(max(c, 0) ** 4 + 1e-9, y) for c, y in zip(cosines, model.labels) if c >= least]
+            plain.append(sum(w * y for w, y in votes) / sum(w for w, _ in votes) if votes else 0)
+        assert any(math.isclose(got, p, abs_tol=1e-4) for p in plain), (got, plain)
+    assert np.array_equal(model.scores(queries[:7]), model.scores(queries)[:7])
+
+
+def test_words_alone_tell_texts_apart(spark):
+    """Two kinds of texts of words of the same form, which byte classes can't tell apart."""
+    r = random.Random(5)
+    kinds = ("karo pelu mino sadi vetu".split(), "lamo terk buni dosa hufi".split())
+    docs = [(k, " ".join(r.choice(kinds[k % 2]) for _ in range(30))) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, quality int"))
+    held = quality.score(df, model).where(quality.held_out()).collect()
+    assert len(held) > 30 and all((g.score > 0.5) == (g.doc_id % 2 == 1) for g in held)
+
+
 def test_quality_odd_rows(spark):
     r = random.Random(1)
     docs = [(k, " ".join("good words here and there.".split() * r.randint(1, 9)) if k % 2 else "$$ %% 99 " * r.randint(1, 9)) for k in range(60)]
