@@ -1,13 +1,14 @@
 """WARC archives of pages with revisit records, and an external merge of their capture index.
 
 Records are written as text rows whose line separator is the blank line that ends a WARC record, compressed by file, so any file
-system that Spark writes to holds them. Reading inflates and parses record by record, by Content-Length; a revisit's header has
-the full payload's length. Each archive gives a run of captures sorted by URL key and
-timestamp; runs are range-partitioned by (key, timestamp, page) and each range is merged from its runs by a loser
-tree, which gives the captures of the whole collection in global order.
-
-Cases: null html is an empty payload; a null url is an empty URL key; rows without a page_id have no identity and get no record; rows that
-repeat a page_id with an equal payload are all the response; an empty table gives an empty index; further columns are ignored.
+system that Spark writes to holds them. Archives are cut by records and by mean bytes. Reading inflates and parses record by record, by
+Content-Length; a revisit's header has the full payload's length. Each archive gives a run of captures sorted by URL key and
+timestamp; runs are cut at the bounds of ranges of (key, timestamp, page), which hold about RANGE captures each whatever the
+input, and each range is merged from its runs by a loser tree, which gives the captures of the whole collection in global order.
+
+Cases: null html is an empty payload; a null url is an empty URL key; rows without a page_id get a record each, which revisits the page
+with the largest id of an equal payload if there is one and is a response if not; rows that repeat a page_id with an equal payload
+are all the response, those with another payload go by that payload; an empty table gives an empty index; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, shared_dir, table
 
 CRLF = "\r\n"
-#: Records of an archive file at most; with pages of some kB each a file stays in the tens of MB.
-PER_FILE = 2000
+#: Records of an archive file at most, and bytes of pages it holds on average at most; captures of a range that is merged by one task.
+PER_FILE, FILE_BYTES, RANGE = 2000, 32 << 20, 200_000
 HEX5, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CAPTURE = "url_key string, stamp string, page_id long, run string, seq long, offset long, record_type string, payload_digest string, refers_to long, payload_bytes long"
 
@@ -42,29 +44,31 @@ def digest(payload) -> F.Column:
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, record_type, refers_to, payload_bytes, payload_digest). Of equal payloads of `least` bytes or more the largest page_id is the response."""
     html = F.coalesce("html", F.lit(""))
-    pages = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), digest(html.cast("binary")).alias("payload_digest"))
-    owner = pages.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("owner"))
+    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), digest(html.cast("binary")).alias("payload_digest"))
+    payload = ["payload_digest", "payload_bytes"]
+    owner = pages.groupBy(*payload).agg(F.max("page_id").alias("refers_to"))
     # identities first, so that the payloads themselves aren't shuffled twice
-    repeat = pages.select("page_id", "payload_digest", "payload_bytes").join(owner, ["payload_digest", "payload_bytes"]).where((F.col("page_id") != F.col("owner")) & (F.col("payload_bytes") >= least))
-    repeat = repeat.select("page_id", F.col("owner").alias("refers_to")).distinct()
-    joined = pages.join(repeat, "page_id", "left")
-    return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    other = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    repeat = pages.select("page_id", *payload).join(owner, payload).where(other & (F.col("payload_bytes") >= least)).distinct()
+    joined = pages.alias("p").join(repeat.alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.payload_digest") == F.col("r.payload_digest")) & (F.col("p.payload_bytes") == F.col("r.payload_bytes")), "left")
+    return joined.select("p.*", "refers_to", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"))
 
 
-def uuid(page_id) -> F.Column:
-    h = F.md5(F.concat(F.lit("capture:"), page_id.cast("string")))
+def uuid(page_id: F.Column) -> F.Column:
+    """A page's record id; records without a page share one by payload and URL."""
+    h = F.md5(F.concat(F.lit("capture:"), F.coalesce(page_id.cast("string"), F.concat("payload_digest", F.lit(" "), "url"))))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, n), F.lit("-"))][:-1], F.lit(">"))
 
 
 def write(rows: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """One WARC/1.1 record per row of records()."""
     revisit = F.col("record_type") == "revisit"
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"), F.when(revisit, "").otherwise(F.col("html")))
     line = lambda name, value: F.concat(F.lit(f"{CRLF}{name}: "), value)
     head = F.concat(
         F.lit("WARC/1.1"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", uuid(F.col("page_id"))), line("WARC-Date", stamp),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Page", F.col("page_id").cast("string")),
+        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.coalesce(line("WARC-Page", F.col("page_id").cast("string")), F.lit("")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uuid(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")), line("WARC-Full-Length", F.col("payload_bytes").cast("string")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF + CRLF),
     )
@@ -97,6 +101,11 @@ def parse(stream: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
         yield offset, fields, block
 
 
+def place(page: int | None) -> tuple[bool, int]:
+    """Captures without a page come first, as Spark sorts nulls."""
+    return page is not None, page or 0
+
+
 def capture_run(path: str, data: bytes) -> list[tuple]:
     """The captures of one archive, sorted: a run."""
     rows = []
@@ -107,8 +116,9 @@ def capture_run(path: str, data: bytes) -> list[tuple]:
         if not revisit and fields["WARC-Payload-Digest"] != f"sha1:{found}":
             raise ValueError(f"{path} at {at}: the payload doesn't match its digest")
         size = int(fields["WARC-Full-Length"]) if revisit else len(payload)
-        rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], int(fields["WARC-Page"]), at, fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Refers-To-Page"]) if revisit else None, size))
-    rows.sort(key=lambda r: r[:4])
+        page = int(fields["WARC-Page"]) if "WARC-Page" in fields else None
+        rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], page, at, fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["WARC-Refers-To-Page"]) if revisit else None, size))
+    rows.sort(key=lambda r: (*r[:2], *place(r[2]), r[3]))
     return [(*r[:3], path, seq, *r[3:]) for seq, r in enumerate(rows)]
 
 
@@ -117,7 +127,7 @@ def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, data in zip(batch.path, batch.content):
             out = pd.DataFrame(capture_run(path, data), columns=names)
-            yield out.astype({"refers_to": "Int64"})
+            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
 def loser_tree(sources: list[Iterator[tuple]]) -> Iterator[tuple]:
@@ -153,31 +163,35 @@ def loser_tree(sources: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 def merge_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The runs of one range, merged. Its rows come sorted by run and place in the run."""
+    """The runs of one range, merged. Its rows, about RANGE of them, come sorted by run and place in the run."""
     rows = [b for b in batches if len(b)]
     if not rows:
         return
     rows = pd.concat(rows, ignore_index=True)
-    keys = list(zip(rows.url_key, rows.stamp, rows.page_id, rows.index))
-    starts = [0, *(i for i in range(1, len(rows)) if rows.run.iat[i] != rows.run.iat[i - 1]), len(rows)]
-    order = [x[3] for x in loser_tree([iter(keys[a:b]) for a, b in zip(starts, starts[1:])])]
-    yield rows.iloc[order]
+    keys = [(key, stamp, *place(None if pd.isna(page) else int(page)), i) for i, (key, stamp, page) in enumerate(zip(rows.url_key, rows.stamp, rows.page_id))]
+    run = rows.run.to_numpy()
+    starts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(rows)]
+    order = [x[-1] for x in loser_tree([iter(keys[a:b]) for a, b in zip(starts, starts[1:])])]
+    yield rows.iloc[order].astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def merged_index(spark: SparkSession, path: str) -> DataFrame:
+def merged_index(spark: SparkSession, path: str, per_range: int = RANGE) -> DataFrame:
     """Every capture below `path`; partitions follow each other in the order of (url_key, stamp, page_id), and so do the rows of each."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = cut(found.mapInPandas(runs, CAPTURE))
-    ranged = found.repartitionByRange("url_key", "stamp", "page_id").sortWithinPartitions("run", "seq")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // per_range + 1)
+    ranged = found.repartitionByRange(ranges, "url_key", "stamp", "page_id").sortWithinPartitions("run", "seq")
     return ranged.mapInPandas(merge_range, CAPTURE)
 
 
 def archive(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     """Write `pages`, read the archives back and return the merged index.
 
-    Partitions are put together until archives have about PER_FILE records; a partition with more is cut by write().
+    Partitions are put together until archives have about PER_FILE records or FILE_BYTES; a partition with more is cut by write().
     """
-    write(records(pages, least).coalesce(pages.count() // PER_FILE + 1), path)
+    rows, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    per_file = max(1, min(PER_FILE, rows * FILE_BYTES // size if size else PER_FILE))
+    write(records(pages, least).coalesce(rows // per_file + 1), path, per_file)
     return merged_index(pages.sparkSession, path)
 
 

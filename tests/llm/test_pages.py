@@ -89,23 +89,34 @@ def test_loser_tree():
 
 
 def test_archives(spark, tmp_path):
-    rows = [(k, f"http://{'ab'[k % 2]}.example/{k % 7}?b=1&a=2", None if k == 3 else f"<p>é {k % 13}\r\n\r\nx</p>" if k else "") for k in range(200)] + [(None, "u", "x"), (900, None, "last"), (901, "http://a.example/ sp ace\n", "last")]
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k % 7}?b=1&a=2", None if k == 3 else f"<p>é {k % 13}\r\n\r\nx</p>" if k else "") for k in range(200)]
+    rows += [(None, "u", "x"), (None, None, "<p>é 5\r\n\r\nx</p>"), (900, None, "last"), (901, "http://a.example/ sp ace\n", "last"), (7, "u", "another of this id"), (950, "u", "another of this id")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as record_type")
     warc.write(warc.records(df), str(tmp_path / "w"), per_file=30)
-    index = warc.merged_index(spark, str(tmp_path / "w")).collect()
-    assert len(index) == 202
-    keys = [(x.url_key, x.stamp, x.page_id) for x in index]
-    assert keys == sorted(keys)
     owner = {}
     for k, _, html in rows:
-        if k is not None:
-            owner[html or ""] = max(owner.get(html or "", -1), k)
-    for x in index:
-        html = next(h for k, _, h in rows if k == x.page_id) or ""
-        assert x.payload_bytes == len(html.encode()) and (x.refers_to is None) == (owner[html] == x.page_id) and x.refers_to in (None, owner[html])
+        owner[html or ""] = max(owner.get(html or "", -1), -1 if k is None else k)
+    for per_range in (warc.RANGE, 10):
+        index = warc.merged_index(spark, str(tmp_path / "w"), per_range).collect()
+        keys = [(x.url_key, x.stamp, x.page_id is not None, x.page_id or 0) for x in index]
+        assert keys == sorted(keys)
+        got = sorted((x.page_id is not None, x.page_id or 0, x.payload_bytes, x.refers_to or -1, x.record_type) for x in index)
+        want = []
+        for k, _, html in rows:
+            best = owner[html or ""]
+            refers = best if best >= 0 and best != k else -1
+            want.append((k is not None, k or 0, len((html or "").encode()), refers, "response" if refers < 0 else "revisit"))
+        assert got == sorted(want)
     assert len(warc.archive(df.limit(0), str(tmp_path / "e")).collect()) == 0
 
 
+def test_large_pages_have_archives_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    df = spark.range(12).selectExpr("id as page_id", "'u' as url", "repeat(concat(cast(id as string), ' text '), 8000) as html")
+    index = warc.archive(df, str(tmp_path / "big")).collect()
+    assert len(index) == 12 and len({x.run for x in index}) >= 6 and all(x.record_type == "response" for x in index)
+
+
 def test_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbbb"), (4, "u", "bbbbb")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.records(df, least=3).collect()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
