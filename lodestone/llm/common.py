@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import cut, shared_dir, table
 
-__all__ = ["apart", "components", "cut", "dealt", "maybe_in", "shared_dir", "table"]
+__all__ = ["apart", "bitmap", "bits_at", "components", "cut", "dealt", "maybe_in", "shared_dir", "table"]
 
 
 def dealt(df: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -17,22 +18,33 @@ def dealt(df: DataFrame, key: str, order: Column | str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order)
 
 
-#: Bits of a sieve: 4 MB on the driver and on each executor, whatever the input.
-SIEVE_BITS = 25
+#: Bits of a bitmap for each row it holds, and the least and the most bits, as powers of two: 32 MB at most, whatever the input.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 16, 20, 28
+
+
+def bitmap(rows: DataFrame, key: str) -> tuple[Broadcast, int]:
+    """A broadcast bitmap of the last bits of a whole number that is spread evenly, and how many bits they are. Its size follows from the count."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (SPARE_BITS * rows.count()).bit_length()))
+    words = rows.select(F.pmod(F.col(key), F.lit(1 << bits)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    held = np.zeros(1 << (bits - 6), dtype=np.int64)
+    held[words["w"].to_numpy()] = words["b"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(held), bits
+
+
+def bits_at(held: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    place = values & ((1 << bits) - 1)
+    return (held[place >> 6] >> (place & 63) & 1) == 1
 
 
 def maybe_in(ids: DataFrame, key: str) -> Column:
-    """True for every row whose `key` is among those of `ids`, and for few others as long as these are some millions.
+    """True for every row whose `key` is among those of `ids`, and for few others as long as these are some ten millions.
 
-    A bitmap of fixed size is gathered and broadcast, so that the exact join that follows needn't shuffle rows without a partner.
+    A bitmap of bounded size is gathered and broadcast, so that the exact join that follows needn't shuffle rows without a partner.
     """
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << SIEVE_BITS))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
-    bits = np.zeros(1 << (SIEVE_BITS - 6), dtype=np.int64)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
-    return F.pandas_udf(lambda p: pd.Series((shared.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63) & 1) == 1), "boolean")(place)
+    mixed = F.xxhash64(F.col(key).cast("long"))
+    shared, bits = bitmap(ids.select(mixed.alias("m")), "m")
+    return F.pandas_udf(lambda p: pd.Series(bits_at(shared.value, bits, p.to_numpy())), "boolean")(mixed)
 
 
 def apart(key: str) -> Column:

@@ -174,18 +174,50 @@ def test_tiling_equals_plain(seed):
     assert got == want
 
 
-def test_decontamination(spark):
+def test_tiling_of_repeated_words_ends():
+    same = decontaminate.words_of("same " * 20_000)
+    assert decontaminate.tiled(same, same, 5) == 20_000
+    assert decontaminate.tiled(same[:4000], same[:1500], 5) == 1500
+    r = random.Random(1)
+    pieces = [w for n in range(5, 120) for w in (*words(r, n, 3), f"x{n}")]
+    turned = [w for n in reversed(range(5, 120)) for w in (*pieces[:n], f"y{n}")]
+    assert decontaminate.tiled(decontaminate.words_of(" ".join(pieces)), decontaminate.words_of(" ".join(turned)), 5) > 100
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_decontamination(spark, common):
+    """Against a plain tiling of all pairs; with `common`, most documents have a passage that is half of the third item's seeds."""
     r = random.Random(8)
     items = [words(r, 40, 5000) for _ in range(3)]
     turned = items[1][25:] + ["between"] + items[1][:25]
-    docs = [(0, " ".join(words(r, 100, 5000))), (1, " ".join(["before", *items[0], "after"]).upper()), (2, " ".join(turned)), (3, " ".join(items[2][:15])), (4, None), (5, "")]
-    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(7, None), (8, ""), (9, "w1")], "item_id long, text string")
-    for size in (1 << 20, 100):
-        found = decontaminate.contamination(frame(spark, docs), bench, block_bytes=size)
-        got = {g.doc_id: [(x.item_id, x.coverage) for x in g.leaks if x.item_id < 7] for g in found.collect()}
-        assert got == {0: [], 1: [(0, 1.0)], 2: [(1, 1.0)], 3: [], 4: [], 5: []}
-    assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).where("size(leaks) > 0").count() == 0
-    assert decontaminate.contamination(frame(spark, docs).limit(0), bench).count() == 0
+    docs = [(0, " ".join(words(r, 100, 5000))), (1, " ".join(["before", *items[0], "after"]).upper()), (2, " ".join(turned)), (3, " ".join(items[2][:15])), (4, None), (5, ""), (1, "w4000 w4000"), (None, " ".join(items[0]))]
+    docs += [(k, " ".join(words(r, 30, 5000) + items[2][12:30] * common)) for k in range(6, 40)] + [(50, " ".join(items[2])), (50, " ".join(items[2]))]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(7, None), (8, ""), (9, "w1"), (2, " ".join(items[2])), (None, " ".join(items[1]))], "item_id long, text string")
+    want = []
+    for d, text in docs:
+        doc = split((text or "").lower())
+        for i, t in [(r.item_id, split(r.text or "")) for r in bench.collect()]:
+            share = greedy(t, doc, min(decontaminate.TILE, len(t))) / len(t) if t else 0
+            if share >= decontaminate.COVER:
+                want.append((d, i, share))
+    df = frame(spark, docs).selectExpr("*", "'x' as item_id", "1 as key", "array(1) as leaks")
+    got = [(g.doc_id, g.item_id, g.coverage) for g in decontaminate.leaks(df, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    gone = [(d, t) for d, t in docs if any(w[0] == d for w in want) and t != "w4000 w4000"]
+    left = [(g.doc_id, g.text) for g in decontaminate.clean(df, bench).select("doc_id", "text").collect()]
+    assert sorted(left + gone, key=str) == sorted(docs, key=str) and decontaminate.clean(df, bench).columns == df.columns
+    assert decontaminate.leaks(df, bench.limit(0)).count() == 0
+    assert decontaminate.leaks(df.limit(0), bench).count() == 0
+
+
+def test_a_document_with_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    r = random.Random(9)
+    items = [words(r, 20, 5000) for _ in range(60)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    df = frame(spark, [(1, " ".join(w for x in items for w in x)), (2, " ".join(items[5]))])
+    got = sorted((g.doc_id, g.item_id) for g in decontaminate.leaks(df, bench).collect())
+    assert got == [(1, k) for k in range(60)] + [(2, 5)]
 
 
 def mixed(rows, share=1.5, cap=2.0):
