@@ -47,12 +47,30 @@ def test_further_secrets(text):
     assert any(k >= secrets.BASE and (a, b) == (2, 2 + len(text)) for a, k, b in found)
 
 
+def test_further_rules_equal_regular_expressions():
+    pieces = ["ghp_", "gho_", "xoxb-", "xoxp", "eyJ", "eyJabcdefghijklmnop", ".", "A1b2C3d4e5", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-", "_", " ", "é", "token="]
+    for text in scrambled(pieces, 3, 3000):
+        plain = [(m.start(), k, m.end()) for k, (_, p, least) in enumerate(secrets.RULES) if k >= secrets.BASE for m in re.finditer(p.decode(), text) if len(m.group()) >= least]
+        assert [s for s in secrets.spans(text) if s[1] >= secrets.BASE] == sorted(plain), text
+
+
 def test_automaton_is_minimal_and_exact():
     auto = secrets.compiled((b"ab+c", b"(a|b)c"))
-    assert [(at, rules) for at, rules in secrets.triggers(b"abbc bc ac", auto)] == [(3, (0, 1)), (6, (1,)), (9, (1,))]
+    assert [(at, rules) for at, rules in secrets.ends(b"abbc bc ac", auto)] == [(3, (0, 1)), (6, (1,)), (9, (1,))]
     assert len(secrets.compiled((b"abc", b"abc")).arrays) == 4
 
 
+def test_secrets_in_long_texts():
+    """Each of these took time or memory out of proportion when matches were looked at one by one."""
+    assert secrets.spans("a0" * 500_000) == [(0, 2, 1_000_000)]
+    many = secrets.spans("é token=abcdefgh " * 40_000)
+    assert len(many) == 40_000 and many[-1] == (17 * 39_999 + 2, 0, 17 * 40_000 - 1)
+    rejected = "token=xtoken: " + "z" * 500_000
+    assert secrets.spans(rejected) == plain_secrets(rejected)
+    assert len(secrets.spans("eyJab." * 100_000)) == 0
+    assert secrets.spans(None) == secrets.spans("") == []
+
+
 def test_pii_rules_equal_regular_expressions():
     pieces = ["ann", "@", ".", "x", "-", "+", "%", "1", "23", "255", "256", "4111111111111111", "4111 1111 1111 1111", "+49 ", "(30)", " ", "127.0.0.1", "é", "😀", "\n", "0"]
     for text in scrambled(pieces, 2, 3000):
