@@ -5,8 +5,12 @@ the others by weight, round after round, until none is above its clamp. Each doc
 floor(target / size of source) times; the fractional repetition goes to documents in the order of a seeded digest of
 their ids, until the source's target is met to within half a document.
 
+mix() gives these decisions; with_repeats() gives the documents themselves with theirs: as decisions follow the digest's order, one mark for
+each source, the last document that is taken once more, is all that is joined to them.
+
 Cases: null text counts 0 words; a null source is a source of its own, ordered last; an empty table gives no rows; rows that
-repeat a doc_id are documents of their own; null ids take part under an empty digest key; further columns are ignored.
+repeat a doc_id are documents of their own; null ids take part under an empty digest key; mix() ignores further columns;
+with_repeats() keeps them, but for columns of its own names, whose place these take.
 """
 
 from __future__ import annotations
@@ -59,15 +63,28 @@ def runs_out(sums: DataFrame, rests: DataFrame, part: str, where: Column | None
     return rows.withColumn("below", below).where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("sum") >= F.col("rest")))
 
 
-def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, repeats, taken), a row per row of `docs` (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized.withColumn("order", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("order", 1, DIGITS)))
+#: Sources whose marks are broadcast.
+MARKS = 20_000
+OWN = ("size", "source_size", "target", "repeats", "taken")
+
+
+def digest(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def decided(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What mix() and with_repeats() work with: the documents' sizes and places, the sources with their edges, and the documents at the edges."""
+    sized = docs.select("doc_id", "source", words().alias("size"))
+    sized = cut(sized.withColumn("order", digest(seed)).withColumn("bucket", F.substring("order", 1, DIGITS)))
     # one row per source and bucket: everything below works on these sums
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     sizes = buckets.groupBy("source").agg(F.sum("sum").alias("source_size"))
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
-    sources = water_fill(weighted(sizes, weights), share * total, cap)
+    sources = water_fill(cut(weighted(sizes, weights)), share * total, cap)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = cut(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("weight", "nameless"))
     key = F.xxhash64(F.col("source").isNull(), "source")
@@ -85,18 +102,47 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[
     at = Window.partitionBy("key").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("below") + F.sum("size").over(at)
     near = docs.where("bucket = edge").withColumn("more", (upto - F.col("size") / 2.0 <= F.col("rest")).cast("long"))
-    far = docs.where("bucket <> edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
+    return docs, sources, near
+
+
+def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, repeats, taken), a row per row of `docs` (doc_id, source, text)."""
+    all_, _, near = decided(docs, share, cap, weights, seed)
+    far = all_.where("bucket <> edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("long"))
     repeats = F.col("whole") + F.col("more")
     return near.unionByName(far).select("doc_id", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
+def with_repeats(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """`docs` and the columns size, source_size, target, repeats and taken: how often the mix takes each document.
+
+    The sources' marks are broadcast if they are at most MARKS with at most 8 MB of names, and else joined by the source. Copies of one id that lie on a mark, some of which are taken and some
+    of which aren't, are numbered; only these are dealt out with their texts.
+    """
+    _, sources, near = decided(docs, share, cap, weights, seed)
+    place = F.struct("order", "doc_id", "size")
+    last = near.where("more = 1").groupBy("key").agg(F.max(place).alias("last"))
+    ties = near.join(last, "key").where(place.eqNullSafe(F.col("last"))).groupBy("key", "last").agg(F.count("*").alias("alike"), F.sum("more").alias("some"))
+    marks = cut(sources.join(ties, "key", "left").select(F.struct("source", "source_size", "target", "whole", "edge", "last", "alike", "some").alias("__mark"), F.col("key").alias("__key")))
+    own = F.struct(digest(seed).alias("order"), F.col("doc_id").alias("doc_id"), words().alias("size"))
+    rows = docs.withColumn("__key", F.xxhash64(F.col("source").isNull(), "source")).withColumn("__own", own)
+    count, size = marks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__mark.source")), F.lit(0))).first()
+    rows = rows.join(F.broadcast(marks) if count <= MARKS and size <= 8 << 20 else marks, "__key").where(F.col("source").eqNullSafe(F.col("__mark.source")))
+    bucket, edge, last = F.substring("__own.order", 1, DIGITS), F.col("__mark.edge"), F.col("__mark.last")
+    rows = rows.withColumn("__more", F.when(bucket != edge, bucket < edge).when(last.isNull(), False).when(F.col("__own") != last, F.col("__own") < last).when(F.col("__mark.some") == F.col("__mark.alike"), True))
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
+    open_ = rows.where("__more is null").withColumn("__more", number <= F.col("__mark.some"))
+    rows = rows.where("__more is not null").unionByName(open_).withColumn("repeats", F.col("__mark.whole") + F.col("__more").cast("long"))
+    return rows.select(*[c for c in docs.columns if c not in OWN], F.col("__own.size").alias("size"), F.col("__mark.source_size").alias("source_size"), F.col("__mark.target").alias("target"), "repeats", (F.col("repeats") * F.col("__own.size")).alias("taken"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, target, repeats, taken): what the mix takes of each document."""
-    return mix(docs)
+    """The documents with size, source_size, target, repeats and taken: the mix holds each of them `repeats` times."""
+    return with_repeats(docs)
 
 
 #: The level is found in closed form here: sources in the order of clamp / weight, the first k at their clamps.

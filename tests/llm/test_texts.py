@@ -254,3 +254,16 @@ def test_mixing(spark, seed):
     assert all(abs(taken[s] - target[s]) <= 40 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_documents_of_the_mix(spark):
+    """with_repeats() against mix(), with copies of one id on a mark, and with columns of the same names."""
+    r = random.Random(4)
+    rows = [(k, r.choice(["a", "b", None]), " ".join(words(r, r.randint(0, 40)))) for k in range(200)] + [(7, "same", "one two three")] * 50 + [(None, "a", None), (None, "a", "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'x' as taken", "1 as `order`")
+    got = mixing.with_repeats(df)
+    assert got.columns == ["doc_id", "source", "text", "order", *mixing.OWN]
+    mine = sorted((str(g.doc_id), g.size, g.source_size, g.target, g.repeats, g.taken) for g in got.collect())
+    assert mine == sorted((str(g.doc_id), g.size, g.source_size, g.target, g.repeats, g.taken) for g in mixing.mix(df).collect())
+    assert sorted((g.doc_id, g.source, g.text) for g in got.where("doc_id is not null and source is not null").collect()) == sorted(x for x in rows if x[0] is not None and x[1] is not None)
+    assert 0 < sum(g.repeats for g in got.where("source = 'same'").collect()) and mixing.with_repeats(df.limit(0)).count() == 0
