@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality, near duplicates, benchmark leaks, personal data and the final mix, over all documents."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, personal data and the final mix, over all documents.
+
+Its end is the corpus: the documents that the stages keep, with their masked texts, and how often the mix repeats each.
+
+Cases, stage by stage (each module's docstring has the rest): a null or empty text gets the share of good labels as its score, shingles and
+leaks it has none, nothing is masked in it, and it counts 0 words; documents without a doc_id stay through near duplicates;
+rows that repeat a doc_id are judged each, but near duplicates keep them or drop them together; empty tables give empty stages; further
+columns of documents stay to the end, but for those that the mix adds.
+"""
 
 from __future__ import annotations
 
