@@ -102,7 +102,30 @@ def test_lone_pairs_at_the_threshold_share_a_filter():
     codes = [vectors.Filters(64, vectors.SEED + k) for k in range(vectors.CODES)]
     missed = sum(not np.intersect1d(a, b).size for a, b in zip(vectors.all_lists(codes, one), vectors.all_lists(codes, two)))
     missed_by_one = sum(not np.intersect1d(a, b).size for a, b in zip(codes[0].lists(one), codes[0].lists(two)))
-    assert missed <= 2 < missed_by_one, (missed, missed_by_one)
+    print(f"recall of lone pairs at {vectors.SIMILAR}: {1 - missed / 3000:.4f}; by one code {1 - missed_by_one / 3000:.4f}")
+    assert missed <= 1 and missed <= missed_by_one, (missed, missed_by_one)
+
+
+def test_larger_codes_keep_the_load_and_the_recall():
+    """For a hundred million vectors of a label: as many filters a vector, and pairs at the threshold still share one."""
+    assert vectors.code_size(1000) == vectors.CODE and vectors.code_size(10**8) == 2191
+    r = np.random.default_rng(13)
+    one, other = vectors.unit(r.normal(size=(400, 64))), r.normal(size=(400, 64))
+    other = vectors.unit(other - (one * other).sum(1, keepdims=True) * one)
+    two = vectors.SIMILAR * one + np.sqrt(1 - vectors.SIMILAR**2) * other
+    codes = [vectors.Filters(64, vectors.SEED + k, 2191) for k in range(vectors.CODES)]
+    lists = vectors.all_lists(codes, one), vectors.all_lists(codes, two)
+    recall = np.mean([np.intersect1d(a, b).size > 0 for a, b in zip(*lists)])
+    print(f"recall {recall:.4f}, {np.mean([len(x) for x in lists[0]]) / vectors.CODES:.1f} filters by code")
+    assert recall >= 0.99 and np.mean([len(x) for x in lists[0]]) < 3 * vectors.PASSED * vectors.CODES
+
+
+def test_rounded_products_keep_all_links():
+    r = np.random.default_rng(14)
+    rows = vectors.unit(np.vstack([r.normal(size=(200, 30)), r.normal(size=(200, 30)) * np.where(np.arange(30) == 3, 50, 0.2)]))
+    held, scale, error = vectors.in_bytes(rows)
+    rough = held * scale[:, None]
+    assert (np.abs(rough @ rough.T - rows @ rows.T) <= error[:, None] + error[None, :] + error[:, None] * error[None, :]).all()
 
 
 def test_vectors_of_every_length_link(spark):
