@@ -4,7 +4,7 @@ A document is the set of its word shingles. Sets are embedded to minhash tokens;
 paths of sampled token positions, so that sets which share the token meet. Large buckets are split again on further sampled
 positions, small ones are compared by brute force on byte sketches, and there are as many runs as the target recall needs.
 Sketches that are alike join a loose group. Within each loose group the sets themselves are compared exactly, in
-blocks, and give link counts and classes without a row per pair.
+blocks bounded by shingles and by sets, and give link counts and classes without a row per pair.
 
 Equal sets are one set with a number of copies. Words are compared as they stand.
 
@@ -31,8 +31,8 @@ N, SIMILAR = 5, 0.8
 TOKENS, LOOSE = 64, 0.6
 #: Sets that are compared by brute force at once; levels of splitting before larger buckets are compared in blocks.
 SMALL, LEVELS, RECALL = 2000, 3, 0.999
-#: Shingles of a block of a loose group.
-BLOCK = 300_000
+#: Shingles and sets of a block of a loose group on average at most.
+BLOCK, ROWS = 300_000, 500
 SALTS = mix(np.arange(1, TOKENS + 1, dtype=U)) | U(1)
 PROFILE = "doc_id bigint, k1 bigint, k2 bigint, n int, tokens binary, sketch binary"
 
@@ -176,7 +176,8 @@ def join(docs: DataFrame) -> DataFrame:
     sets = cut(found.join(classes.select(F.col("doc").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("doc"), "n", "tokens", "sketch"))
     groups = components(candidates(sets)).select(F.col("node").alias("doc"), F.col("component").alias("group"))
     groups = cut(groups.join(classes, "doc"))
-    weight = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("chunks"))
+    weight = groups.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / ROWS)).cast("int").alias("chunks"))
+    weight = weight.select(apart("group"), "chunks")
     placed = groups.join(weight, "group").drop("n").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     texts = docs.withColumnRenamed("doc_id", "doc").where("doc is not null").where(maybe_in(groups, "doc")).join(placed, "doc")
     cells = texts.select("*", F.explode(in_cells(F.col("chunk"), F.col("chunks"))).alias("at"))
@@ -199,6 +200,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the document with the smallest id stays."""
     gone = cut(join(docs).where("class_id <> doc_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null").withColumn("__maybe", maybe_in(gone, "doc_id"))
-    rest = named.where("__maybe").join(gone, "doc_id", "left_anti")
-    return docs.where("doc_id is null").union(named.where("not __maybe").select(docs.columns)).union(rest.select(docs.columns))
+    named, maybe = docs.where("doc_id is not null"), maybe_in(gone, "doc_id")
+    rest = named.where(maybe).join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.where("doc_id is null").union(named.where(~maybe)).union(rest)

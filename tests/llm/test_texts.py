@@ -92,6 +92,14 @@ def test_jaccard_splits_large_buckets(spark, monkeypatch):
     assert sorted((g.doc_id, g.class_id, g.n_links) for g in got) == classes(rows)
 
 
+def test_many_short_near_copies(spark):
+    """One group of thousands of short texts that all link: cells are bounded by sets, so no matrix grows with the group."""
+    base = " ".join(f"w{k}" for k in range(40))
+    df = spark.range(6000).selectExpr("id as doc_id", f"concat('{base} end', cast(id as string)) as text")
+    got = jaccard.join(df).groupBy("class_id", "n_links").count().collect()
+    assert [(g.class_id, g.n_links, g["count"]) for g in got] == [(0, 5999, 6000)]
+
+
 def test_jaccard_odd_rows(spark):
     long = " ".join(f"u{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "one two"), (5, "other words"), (None, "one two"), (7, long), (8, long + " end")]
