@@ -3,15 +3,16 @@
 A passage recurs if `window` consecutive words of a document also start in another one. Winnowed fingerprints of every document
 are grouped first: two equal windows share the fingerprint that is least in them, so a window can only recur around a
 fingerprint that recurs. Windows around those are grouped by hash, which confirms the recurring ones and names the first
-document of each. Their words are compiled into Aho-Corasick automata over word ids, sharded by the first document, and
-the documents with candidates are streamed through the shards to locate every occurrence, word by word and exactly. A word
-is removed if an occurrence covers it whose phrase starts in a document with a smaller id.
+document of each. Their words, taken from that document, are compiled into Aho-Corasick automata over word ids, in shards by the first
+document. All documents are then streamed through the automata to locate every occurrence, word by word and exactly: in blocks of
+words that overlap by a window less a word, and through the shards that hold a phrase around a fingerprint of the block, as no
+other shard can have an occurrence there. A word is removed if an occurrence covers it whose phrase starts in a document with a smaller id.
 
 Documents whose words are all those of a smaller document are settled at the start and leave the search.
 
 Cases: null and empty texts have no words, keep nothing and are unharmed; texts under `window` words lose nothing; repeats within
-one document count for nothing; rows that repeat a doc_id must repeat its text too and get a row each; rows without a
-doc_id lose nothing and take nothing from others; an empty table gives no rows; other columns are ignored.
+one document count for nothing; rows that repeat a doc_id get a row each and take nothing from each other, whatever their texts;
+rows without a doc_id lose nothing and take nothing from others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.cells import edges_of, whole_keys
-from lodestone.llm.common import cut, dealt, maybe_in, table
-from lodestone.llm.wordhash import grams, mix, powers, sliding, spans, word_hashes, P
+from lodestone.llm.common import apart, cut, dealt, maybe_in, table
+from lodestone.llm.wordhash import P, grams, mix, powers, sliding, word_hashes
 
 WINDOW, GRAM = 50, 10
 #: Phrases of a shard, and words of documents that are streamed through one copy of a shard.
 SHARD, STREAM = 10_000, 1_000_000
-#: Places of a document after which its phrases may go to another shard.
-STRETCH = 2048
+#: Places of a document after which its phrases may go to another shard, and words of a block but for what it shares with the next.
+STRETCH, BLOCK = 2048, 4096
 
 
 def fingerprints(words: np.ndarray) -> np.ndarray:
@@ -52,15 +53,15 @@ def sha(words: list[bytes]) -> str:
 
 
 def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, n_words, text_hash, kept_sha256, prints): what is known before any comparison."""
+    """(doc_id, version, n_words, text_hash, kept_sha256, prints): what is known before any comparison."""
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.doc_id, batch.text):
+        for doc_id, version, text in zip(batch.doc_id, batch.version, batch.text):
             data = (text or "").encode("utf-8", "replace")
             words = word_hashes(data)
             prints = np.unique(fingerprints(words)) if len(words) >= WINDOW else words[:0]
-            rows.append((doc_id, len(words), whole_hash(words) if len(words) else 0, sha(split(data)), prints.astype(np.int64)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "text_hash", "kept_sha256", "prints"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, version, len(words), whole_hash(words) if len(words) else 0, sha(split(data)), prints.astype(np.int64)))
+        yield pd.DataFrame(rows, columns=["doc_id", "version", "n_words", "text_hash", "kept_sha256", "prints"]).astype({"doc_id": "Int64"})
 
 
 def split(data: bytes) -> list[bytes]:
@@ -68,41 +69,58 @@ def split(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(window, doc_id, place) of windows around recurring fingerprints, each once per document."""
-    for batch in batches:
-        for doc_id, text, prints in zip(batch.doc_id, batch.text, batch.prints):
-            words = word_hashes(text.encode("utf-8", "replace"))
-            at = np.flatnonzero(np.isin(fingerprints(words).astype(np.int64), prints))
-            value, first = np.unique(grams(words, WINDOW)[at].astype(np.int64), return_index=True)
-            yield pd.DataFrame({"window": value, "doc_id": doc_id, "place": at[first]})
+def window_hashes(size: int):
+    """(window, doc_id, version, place, print) of windows around recurring fingerprints, each once per block of a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, version, text, prints in zip(batch.doc_id, batch.version, batch.text, batch.prints):
+                words = word_hashes(text.encode("utf-8", "replace"))
+                all_prints = fingerprints(words).astype(np.int64)
+                at = np.flatnonzero(np.isin(all_prints, prints))
+                value = grams(words, WINDOW)[at].astype(np.int64)
+                order = np.lexsort((at, value, at // size))
+                block, value = (at // size)[order], value[order]
+                first = order[np.r_[True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])][: len(order)]]
+                at = at[first]
+                yield pd.DataFrame({"window": grams(words, WINDOW)[at].astype(np.int64), "doc_id": doc_id, "version": version, "place": at, "print": all_prints[at]})
+
+    return run
 
 
-def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From documents with their recurring windows: phrases for the shards they own, and the stretches that other shards must see."""
+def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(shard, doc_id, words) of first documents with the places of their recurring windows: runs of words, windows that follow each other in one."""
     for batch in batches:
-        for doc_id, text, places, shards, owned in zip(batch.doc_id, batch.text, batch.places, batch.shards, batch.owned):
-            data = text.encode("utf-8", "replace")
-            words, hashes = split(data), grams(word_hashes(data), WINDOW).astype(np.int64)
-            windows = hashes[np.asarray(places)]
-            order = np.argsort(windows)
-            windows, shards, owned = windows[order], np.asarray(shards)[order], np.asarray(owned)[order]
-            k = np.minimum(np.searchsorted(windows, hashes), len(windows) - 1)
-            hit = np.flatnonzero(windows[k] == hashes)
-            k, out = k[hit], []
-            for shard in np.unique(shards[k]):
-                mine = shards[k] == shard
-                for phrase in (True, False):
-                    at = hit[mine & (owned[k] == phrase)]
-                    if len(at):
-                        cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                        for run in np.split(at, cuts):
-                            out.append((int(shard), phrase, doc_id, int(run[0]), int(run[-1]) - int(run[0]) + WINDOW, b" ".join(words[run[0] : run[-1] + WINDOW])))
-            yield pd.DataFrame(out, columns=["shard", "phrase", "doc_id", "place", "n", "words"])
+        out = []
+        for doc_id, text, places, shards in zip(batch.doc_id, batch.text, batch.places, batch.shards):
+            words, places, shards = split(text.encode("utf-8", "replace")), np.asarray(places), np.asarray(shards)
+            for shard in np.unique(shards):
+                at = np.sort(places[shards == shard])
+                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    out.append((int(shard), doc_id, b" ".join(words[run[0] : run[-1] + WINDOW])))
+        yield pd.DataFrame(out, columns=["shard", "doc_id", "words"])
+
+
+def blocks(size: int):
+    """(shard, doc_id, version, place, n, words) of documents: each of their blocks for each of the shards it must be streamed through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, version, text, which, shards in zip(batch.doc_id, batch.version, batch.text, batch.which, batch.shards):
+                words, made = split(text.encode("utf-8", "replace")), {}
+                for block, shard in zip(which, shards):
+                    if block not in made:
+                        part = words[block * size : (block + 1) * size + WINDOW - 1]
+                        made[block] = len(part), b" ".join(part)
+                    out.append((int(shard), doc_id, version, int(block) * size, *made[block]))
+            yield pd.DataFrame(out, columns=["shard", "doc_id", "version", "place", "n", "words"])
+
+    return run
 
 
 def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards sorted by (key, phrases first): (doc_id, start, stop) of the words that occurrences of earlier documents' phrases cover."""
+    """Shards sorted by (key, phrases first): (doc_id, version, start, stop) of the words that occurrences of earlier documents' phrases cover."""
     for rows in whole_keys(batches, "key"):
         edge = edges_of(rows.key.to_numpy())
         for a, b in zip(edge, edge[1:]):
@@ -119,8 +137,8 @@ def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if automaton.get(key, doc_id) >= doc_id:
                         automaton.add_word(key, doc_id)
             automaton.make_automaton()
-            docs, starts, stops = [], [], []
-            for doc_id, place, words in zip(part.doc_id[~phrase], part.place[~phrase], part.words[~phrase]):
+            docs, versions, starts, stops = [], [], [], []
+            for doc_id, version, place, words in zip(part.doc_id[~phrase], part.version[~phrase], part.place[~phrase], part.words[~phrase]):
                 stop = -1
                 for end, owner in automaton.iter(tuple(ids.get(w, 0) for w in words.split(b" "))):
                     if owner < doc_id:
@@ -129,61 +147,69 @@ def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             stops[-1] = high
                         else:
                             docs.append(doc_id)
+                            versions.append(version)
                             starts.append(low)
                             stops.append(high)
                         stop = high
-            yield pd.DataFrame({"doc_id": docs, "start": starts, "stop": stops}, dtype="int64")
+            yield pd.DataFrame({"doc_id": docs, "version": versions, "start": starts, "stop": stops}, dtype="int64")
 
 
 def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with the runs to remove: (doc_id, n_removed, stripped_sha256, stripped)."""
+    """Documents with the runs to remove: (doc_id, version, n_removed, stripped_sha256)."""
     for batch in batches:
         rows = []
-        for doc_id, text, runs in zip(batch.doc_id, batch.text, batch.runs):
+        for doc_id, version, text, runs in zip(batch.doc_id, batch.version, batch.text, batch.runs):
             words = split(text.encode("utf-8", "replace"))
             gone = np.zeros(len(words), dtype=bool)
             for run in runs:
                 gone[run["start"] : run["stop"]] = True
             kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            rows.append((doc_id, int(gone.sum()), sha(kept)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_removed", "stripped_sha256"])
+            rows.append((doc_id, version, int(gone.sum()), sha(kept)))
+        yield pd.DataFrame(rows, columns=["doc_id", "version", "n_removed", "stripped_sha256"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row per row of `docs`."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(docs.mapInPandas(summaries, "doc_id bigint, n_words bigint, text_hash bigint, kept_sha256 string, prints array<bigint>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    row = ["doc_id", "version"]  # rows alike in both are one document
+    known = cut(docs.mapInPandas(summaries, "doc_id bigint, version bigint, n_words bigint, text_hash bigint, kept_sha256 string, prints array<bigint>"))
     # a document with the words of a smaller one loses all that any window covers: everything
     firsts = known.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("text_hash", "kept_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(firsts.where("first < last").drop("last"))  # few, and dealt by the join alone, which can then split a large class
-    copies = known.select("doc_id", "n_words", "text_hash", "kept_sha256").join(firsts, ["text_hash", "kept_sha256"], "left")
+    copies = known.drop("prints").join(firsts, ["text_hash", "kept_sha256"], "left")
     out = cut(copies.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("text_hash", "first"))
     # copies share their hash, so a fingerprint recurs if texts with different hashes have it
-    prints = known.where("doc_id is not null").select("doc_id", "text_hash", F.explode("prints").alias("print"))
+    prints = known.where("doc_id is not null").select(*row, "text_hash", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("print")
-    prints = prints.join(shared, "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
-    prints = prints.join(out.where("copy").select("doc_id").distinct(), "doc_id", "left_anti")
-    # only these documents can lose a word; all further steps read them from here
+    prints = prints.drop("text_hash").join(shared, "print").groupBy(*row).agg(F.collect_set("print").alias("prints"))
+    prints = prints.join(out.where("copy").select(*row).distinct(), row, "left_anti")
+    # only these documents can lose a word or take one from another; all further steps read them from here
     prints = cut(prints)
-    some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, "doc_id"))
-    windows = cut(some.mapInPandas(window_hashes, "window bigint, doc_id bigint, place bigint"))
-    recurring = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("at")).where("owner < last")
-    recurring = cut(recurring.drop("last"))
+    some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, row))
+    windows = cut(some.mapInPandas(window_hashes(BLOCK), "window bigint, doc_id bigint, version bigint, place bigint, print bigint"))
+    some = some.drop("prints")
+    owner = F.min(F.struct("doc_id", "version", "place"))
+    recurring = windows.groupBy("window").agg(owner.alias("o"), F.max("doc_id").alias("last"), F.min("print").alias("print")).where("o.doc_id < last")
+    recurring = cut(recurring.select("print", "o.*"))
     shards = F.lit(int(recurring.count() // SHARD) + 1)
-    recurring = recurring.select("window", "owner", F.pmod(F.xxhash64("owner", F.floor(F.col("at") / STRETCH)), shards).alias("shard"))
-    theirs = windows.join(recurring, "window").groupBy("doc_id")
-    theirs = theirs.agg(F.collect_list(F.struct("place", "shard", (F.col("owner") == F.col("doc_id")).alias("owned"))).alias("w"))
-    theirs = theirs.select("doc_id", F.col("w.place").alias("places"), F.col("w.shard").alias("shards"), F.col("w.owned").alias("owned"))
-    rows = cut(some.drop("prints").join(theirs, "doc_id").mapInPandas(pieces, "shard bigint, phrase boolean, doc_id bigint, place bigint, n bigint, words binary"))
-    # a shard that many documents need is copied, and its documents are dealt over the copies
-    copies = rows.where("not phrase").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("copies"))
-    rows = rows.join(copies, "shard")
-    to = F.when(F.col("phrase"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "place"), F.col("copies")).cast("int")))
-    rows = rows.select(F.explode(to).alias("copy"), "*").select(F.xxhash64("shard", "copy").alias("key"), "phrase", "doc_id", "place", "words")
-    runs = dealt(rows, "key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, start bigint, stop bigint")
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    stripped = some.drop("prints").join(runs, "doc_id").mapInPandas(strip, "doc_id bigint, n_removed bigint, stripped_sha256 string")
-    out = out.join(stripped.dropDuplicates(["doc_id"]), "doc_id", "left")
+    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.floor(F.col("place") / STRETCH)), shards))
+    theirs = recurring.groupBy(*row).agg(F.collect_list(F.struct("place", "shard")).alias("w")).select(*row, F.col("w.place").alias("places"), F.col("w.shard").alias("shards"))
+    compiled = some.join(theirs, row).dropDuplicates(row).mapInPandas(phrases, "shard bigint, doc_id bigint, words binary")
+    # a block goes to every shard with a phrase of a smaller document around one of the block's fingerprints
+    marks = recurring.groupBy("print", "shard").agg(F.min("doc_id").alias("least")).select(apart("print"), "shard", "least")
+    routes = windows.select("print", *row, F.floor(F.col("place") / BLOCK).alias("block")).distinct().join(marks, "print").where("least < doc_id")
+    routes = routes.select(*row, "block", "shard").distinct().groupBy(*row).agg(F.collect_list(F.struct("block", "shard")).alias("w"))
+    streamed = some.join(routes.select(*row, F.col("w.block").alias("which"), F.col("w.shard").alias("shards")), row)
+    streamed = cut(streamed.mapInPandas(blocks(BLOCK), "shard bigint, doc_id bigint, version bigint, place bigint, n bigint, words binary"))
+    # a shard that many blocks need is copied, and the blocks are dealt over the copies
+    copies = streamed.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("copies")).select(apart("shard"), "copies")
+    keyed = compiled.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("phrase"), "doc_id", F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("place"), "words")
+    keyed = keyed.union(streamed.join(copies, "shard").select("shard", F.pmod(F.xxhash64(*row, "place"), "copies").cast("int"), F.lit(False), *row, "place", "words"))
+    keyed = keyed.select(F.xxhash64("shard", "copy").alias("key"), "phrase", *row, "place", "words")
+    runs = dealt(keyed, "key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, version bigint, start bigint, stop bigint")
+    runs = runs.groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    stripped = some.join(runs, row).mapInPandas(strip, "doc_id bigint, version bigint, n_removed bigint, stripped_sha256 string")
+    out = out.join(stripped.dropDuplicates(row), row, "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(sha([]))).otherwise(F.coalesce("stripped_sha256", "kept_sha256"))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))

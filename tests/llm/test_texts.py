@@ -111,11 +111,13 @@ def test_jaccard_odd_rows(spark):
 
 
 def stripped(rows):
-    w = {i: split(t) for i, t in rows if i is not None}
     first = {}
-    for i in sorted(w):
-        for k in range(len(w[i]) - passages.WINDOW + 1):
-            first.setdefault(tuple(w[i][k : k + passages.WINDOW]), i)
+    for i, t in rows:
+        w = split(t)
+        for k in range(len(w) - passages.WINDOW + 1):
+            if i is not None:
+                x = tuple(w[k : k + passages.WINDOW])
+                first[x] = min(first.get(x, i), i)
     out = []
     for i, t in rows:
         x = split(t)
@@ -139,6 +141,7 @@ def test_passages_in_many_shards(spark, monkeypatch):
     monkeypatch.setattr(passages, "SHARD", 40)
     monkeypatch.setattr(passages, "STRETCH", 64)
     monkeypatch.setattr(passages, "STREAM", 300)
+    monkeypatch.setattr(passages, "BLOCK", 70)
     rows = list(enumerate(corpus(6, 60)))
     got = sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in passages.dedup(frame(spark, rows)).collect()), key=str)
     assert got == stripped(rows)
@@ -146,7 +149,7 @@ def test_passages_in_many_shards(spark, monkeypatch):
 
 def test_passages_odd_rows(spark):
     p = " ".join(f"p{k}" for k in range(60))
-    rows = [(1, None), (2, ""), (3, p), (4, p), (4, p), (None, p), (6, "é x " + p + " y"), (7, " ".join(["same"] * 200)), (8, p + " " + p)]
+    rows = [(1, None), (2, ""), (3, p), (4, p), (4, p), (None, p), (6, "é x " + p + " y"), (7, " ".join(["same"] * 200)), (8, p + " " + p), (9, "a " + p), (9, p + " b"), (9, " ".join(f"q{k}" for k in range(55))), (10, " ".join(f"q{k}" for k in range(60)))]
     got = sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in passages.dedup(frame(spark, rows)).collect()), key=str)
     assert got == stripped(rows)
     assert passages.dedup(frame(spark, rows).where("doc_id = 99")).count() == 0
