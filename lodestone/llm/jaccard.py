@@ -203,3 +203,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, maybe = docs.where("doc_id is not null"), maybe_in(gone, "doc_id")
     rest = named.where(maybe).join(gone, "doc_id", "left_anti").select(docs.columns)
     return docs.where("doc_id is null").union(named.where(~maybe)).union(rest)
+
+
+JACCARD_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - {N - 2}, 2))) as k from d where len(w) > 0),
+x as (select distinct doc_id, hash(array_to_string(w[k:k + {N - 1}], ' ')) as h from p),
+n as (select doc_id, count(*) as n from x group by 1),
+e as (select a.doc_id as a, b.doc_id as b, count(*) as common from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from e join n na on na.doc_id = a join n nb on nb.doc_id = b where common >= {SIMILAR} * (na.n + nb.n - common) - 1e-9),
+reach as (select a as doc_id, b as other from l union select reach.doc_id, l.b from reach join l on l.a = reach.other),
+c as (select doc_id, min(other) as least from reach group by 1),
+t as (select a as doc_id, count(*) as n_links from l group by 1)
+select doc_id, least(doc_id, coalesce(least, doc_id)) as class_id, coalesce(n_links, 0) as n_links from d left join c using (doc_id) left join t using (doc_id)
+"""

@@ -217,3 +217,15 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+PASSAGES_SQL = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as k from d where len(w) >= {WINDOW}),
+x as (select doc_id, k, md5(array_to_string(w[k:k + {WINDOW - 1}], ' ')) as h from p),
+c as (select doc_id, k from x join (select h, min(doc_id) as first from x group by h) using (h) where first < doc_id),
+r as (select distinct doc_id, unnest(range(k, k + {WINDOW})) as at from c),
+m as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as at from d where doc_id in (select doc_id from c)),
+s as (select m.doc_id, count(r.at) as n_removed, coalesce(string_agg(case when r.at is null then word end, ' ' order by m.at), '') as kept from m left join r on m.doc_id = r.doc_id and m.at = r.at group by m.doc_id)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) as kept_sha256 from d left join s using (doc_id)
+"""

@@ -17,6 +17,10 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLE_SQL = {
+    "op1_secret_scan": secrets.SECRETS_SQL,
+    "op2_embedding_near_dedup": vectors.VECTORS_SQL,
+    "op6_ngram_jaccard_join": jaccard.JACCARD_SQL,
     "op7_warc": warc.WARC_SQL,
+    "op8_substring_dedup": passages.PASSAGES_SQL,
     "op9_source_mixing": "with " + mixing.MIX_SQL.format(docs="documents"),
 }

@@ -310,3 +310,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+
+
+def _matches(k: int) -> str:
+    """SQL for one rule: the lengths of its matches and of what is between them give the places."""
+    kind, pattern, least = RULES[k]
+    pattern = pattern.decode() if kind != "hex" else "[0-9a-f]+"
+    pattern = ("(?:" + pattern.replace("(", "(?:") + ")").replace("'", "''")
+    length = f"length(regexp_replace(m, '^[A-Za-z_]+[\"'']? *[:=] *[\"'']?', ''))" if kind == "assign" else "length(m)"
+    return f"""select doc_id, {k} as k, start, start + length(m) as stop from (
+        select doc_id, m, sum(length(gap)) over (partition by doc_id order by i) + sum(length(m)) over (partition by doc_id order by i) - length(m) as start from (
+            select doc_id, unnest(ms) as m, unnest(gaps[:len(ms)]) as gap, generate_subscripts(ms, 1) as i from (
+                select doc_id, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gaps from d)))
+        where {length} >= {least}"""
+
+
+_KIND = "case k " + " ".join(f"when {k} then '{r[0]}'" for k, r in enumerate(RULES)) + " end"
+_JOINED = f"string_agg({_KIND} || ':' || start || ':' || stop, ',' order by start, k)"
+SECRETS_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+s as ({" union all ".join(_matches(k) for k in range(len(RULES)))}),
+g as (select doc_id, {", ".join(f"count(*) filter (k = {k}) as n_{RULES[k][0]}" for k in range(BASE))}, {_JOINED} filter (k < {BASE}) as base, {_JOINED} as spans from s group by 1)
+select doc_id, {", ".join(f"coalesce(n_{RULES[k][0]}, 0) as n_{RULES[k][0]}" for k in range(BASE))}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)
+"""

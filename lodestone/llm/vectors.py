@@ -201,3 +201,14 @@ def celled(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(table(spark, sf_dir, "embeddings"))
+
+
+VECTORS_SQL = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {SIMILAR}),
+reach as (select a as vec_id, b as other from l union select reach.vec_id, l.b from reach join l on l.a = reach.other),
+c as (select vec_id, min(other) as least from reach group by 1),
+t as (select a as vec_id, count(*) as n_links from l group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id, vec_id = least(vec_id, coalesce(least, vec_id)) as kept from embeddings left join c using (vec_id) left join t using (vec_id)
+"""
