@@ -31,8 +31,8 @@ from lodestone.llm.common import apart, cut, dealt, maybe_in, table
 from lodestone.llm.wordhash import P, grams, mix, powers, sliding, word_hashes
 
 WINDOW, GRAM = 50, 10
-#: Phrases of a shard, and words of documents that are streamed through one copy of a shard.
-SHARD, STREAM = 10_000, 1_000_000
+#: Phrases of a shard, and blocks of documents that are streamed through one copy of a shard.
+SHARD, STREAM = 10_000, 1000
 #: Places of a document after which its phrases may go to another shard, and words of a block but for what it shares with the next.
 STRETCH, BLOCK = 2048, 4096
 
@@ -70,39 +70,42 @@ def split(data: bytes) -> list[bytes]:
 
 
 def window_hashes(size: int):
-    """(window, doc_id, version, place, print) of windows around recurring fingerprints, each once per block of a document."""
+    """(value, doc_id, place) of windows around recurring fingerprints, each once per document; and of the fingerprints, each once per block, with -1 - block as place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, version, text, prints in zip(batch.doc_id, batch.version, batch.text, batch.prints):
+            for doc_id, text, prints in zip(batch.doc_id, batch.text, batch.prints):
                 words = word_hashes(text.encode("utf-8", "replace"))
                 all_prints = fingerprints(words).astype(np.int64)
                 at = np.flatnonzero(np.isin(all_prints, prints))
-                value = grams(words, WINDOW)[at].astype(np.int64)
-                order = np.lexsort((at, value, at // size))
-                block, value = (at // size)[order], value[order]
-                first = order[np.r_[True, (block[1:] != block[:-1]) | (value[1:] != value[:-1])][: len(order)]]
-                at = at[first]
-                yield pd.DataFrame({"window": grams(words, WINDOW)[at].astype(np.int64), "doc_id": doc_id, "version": version, "place": at, "print": all_prints[at]})
+                value, first = np.unique(grams(words, WINDOW)[at].astype(np.int64), return_index=True)
+                change = np.flatnonzero(np.r_[True, (np.diff(all_prints[at]) != 0) | (np.diff(at // size) != 0)][: len(at)])
+                marks = np.unique(np.column_stack([all_prints[at[change]], at[change] // size]), axis=0)
+                yield pd.DataFrame({"value": np.r_[value, marks[:, 0]], "doc_id": doc_id, "place": np.r_[at[first], -1 - marks[:, 1]].astype(np.int64)})
 
     return run
 
 
 def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(shard, doc_id, words) of first documents with the places of their recurring windows: runs of words, windows that follow each other in one."""
+    """(shard, doc_id, words, prints) of first documents with the places of their recurring windows: runs of words, windows that follow each other in one."""
     for batch in batches:
         out = []
-        for doc_id, text, places, shards in zip(batch.doc_id, batch.text, batch.places, batch.shards):
-            words, places, shards = split(text.encode("utf-8", "replace")), np.asarray(places), np.asarray(shards)
-            for shard in np.unique(shards):
-                at = np.sort(places[shards == shard])
+        for doc_id, text, places, values, shards in zip(batch.doc_id, batch.text, batch.places, batch["values"], batch.shards):
+            data = text.encode("utf-8", "replace")
+            words, hashes = split(data), word_hashes(data)
+            found, prints = grams(hashes, WINDOW).astype(np.int64), fingerprints(hashes).astype(np.int64) if len(hashes) >= WINDOW else hashes
+            places, values, shards = np.asarray(places), np.asarray(values), np.asarray(shards)
+            mine = places < len(found)
+            mine[mine] = found[places[mine]] == values[mine]  # not of another row of this id
+            for shard in np.unique(shards[mine]):
+                at = np.sort(places[mine & (shards == shard)])
                 for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    out.append((int(shard), doc_id, b" ".join(words[run[0] : run[-1] + WINDOW])))
-        yield pd.DataFrame(out, columns=["shard", "doc_id", "words"])
+                    out.append((int(shard), doc_id, b" ".join(words[run[0] : run[-1] + WINDOW]), np.unique(prints[run])))
+        yield pd.DataFrame(out, columns=["shard", "doc_id", "words", "prints"])
 
 
 def blocks(size: int):
-    """(shard, doc_id, version, place, n, words) of documents: each of their blocks for each of the shards it must be streamed through."""
+    """(shard, doc_id, version, place, words) of documents: each of their blocks for each of the shards it must be streamed through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,10 +114,9 @@ def blocks(size: int):
                 words, made = split(text.encode("utf-8", "replace")), {}
                 for block, shard in zip(which, shards):
                     if block not in made:
-                        part = words[block * size : (block + 1) * size + WINDOW - 1]
-                        made[block] = len(part), b" ".join(part)
-                    out.append((int(shard), doc_id, version, int(block) * size, *made[block]))
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "version", "place", "n", "words"])
+                        made[block] = b" ".join(words[block * size : (block + 1) * size + WINDOW - 1])
+                    out.append((int(shard), doc_id, version, int(block) * size, made[block]))
+            yield pd.DataFrame(out, columns=["shard", "doc_id", "version", "place", "words"])
 
     return run
 
@@ -185,31 +187,32 @@ def dedup(docs: DataFrame) -> DataFrame:
     prints = prints.join(out.where("copy").select(*row).distinct(), row, "left_anti")
     # only these documents can lose a word or take one from another; all further steps read them from here
     prints = cut(prints)
-    some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, row))
-    windows = cut(some.mapInPandas(window_hashes(BLOCK), "window bigint, doc_id bigint, version bigint, place bigint, print bigint"))
+    some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, row).dropDuplicates(row))
+    hashes = cut(some.mapInPandas(window_hashes(BLOCK), "value bigint, doc_id bigint, place bigint"))
     some = some.drop("prints")
-    owner = F.min(F.struct("doc_id", "version", "place"))
-    recurring = windows.groupBy("window").agg(owner.alias("o"), F.max("doc_id").alias("last"), F.min("print").alias("print")).where("o.doc_id < last")
-    recurring = cut(recurring.select("print", "o.*"))
+    recurring = hashes.where("place >= 0").groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last")
+    recurring = cut(recurring.select("value", "o.*"))
     shards = F.lit(int(recurring.count() // SHARD) + 1)
     recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.floor(F.col("place") / STRETCH)), shards))
-    theirs = recurring.groupBy(*row).agg(F.collect_list(F.struct("place", "shard")).alias("w")).select(*row, F.col("w.place").alias("places"), F.col("w.shard").alias("shards"))
-    compiled = some.join(theirs, row).dropDuplicates(row).mapInPandas(phrases, "shard bigint, doc_id bigint, words binary")
+    theirs = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("place", "value", "shard")).alias("w"))
+    theirs = theirs.select("doc_id", F.col("w.place").alias("places"), F.col("w.value").alias("values"), F.col("w.shard").alias("shards"))
+    compiled = cut(some.join(theirs, "doc_id").mapInPandas(phrases, "shard bigint, doc_id bigint, words binary, prints array<bigint>"))
     # a block goes to every shard with a phrase of a smaller document around one of the block's fingerprints
-    marks = recurring.groupBy("print", "shard").agg(F.min("doc_id").alias("least")).select(apart("print"), "shard", "least")
-    routes = windows.select("print", *row, F.floor(F.col("place") / BLOCK).alias("block")).distinct().join(marks, "print").where("least < doc_id")
-    routes = routes.select(*row, "block", "shard").distinct().groupBy(*row).agg(F.collect_list(F.struct("block", "shard")).alias("w"))
-    streamed = some.join(routes.select(*row, F.col("w.block").alias("which"), F.col("w.shard").alias("shards")), row)
-    streamed = cut(streamed.mapInPandas(blocks(BLOCK), "shard bigint, doc_id bigint, version bigint, place bigint, n bigint, words binary"))
+    marks = compiled.select("shard", "doc_id", F.explode("prints").alias("value")).groupBy("value", "shard").agg(F.min("doc_id").alias("least")).select(apart("value"), "shard", "least")
+    routes = hashes.where("place < 0").select("value", "doc_id", (-1 - F.col("place")).alias("block")).join(marks, "value").where("least < doc_id")
+    routes = cut(routes.select("doc_id", "block", "shard").distinct())
     # a shard that many blocks need is copied, and the blocks are dealt over the copies
-    copies = streamed.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("copies")).select(apart("shard"), "copies")
-    keyed = compiled.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("phrase"), "doc_id", F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("place"), "words")
+    copies = routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("copies")).select(apart("shard"), "copies")
+    routes = routes.groupBy("doc_id").agg(F.collect_list(F.struct("block", "shard")).alias("w")).select("doc_id", F.col("w.block").alias("which"), F.col("w.shard").alias("shards"))
+    streamed = some.join(routes, "doc_id").mapInPandas(blocks(BLOCK), "shard bigint, doc_id bigint, version bigint, place bigint, words binary")
+    none = F.lit(0).cast("long")
+    keyed = compiled.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("phrase"), "doc_id", none.alias("version"), none.alias("place"), "words")
     keyed = keyed.union(streamed.join(copies, "shard").select("shard", F.pmod(F.xxhash64(*row, "place"), "copies").cast("int"), F.lit(False), *row, "place", "words"))
     keyed = keyed.select(F.xxhash64("shard", "copy").alias("key"), "phrase", *row, "place", "words")
     runs = dealt(keyed, "key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, version bigint, start bigint, stop bigint")
     runs = runs.groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     stripped = some.join(runs, row).mapInPandas(strip, "doc_id bigint, version bigint, n_removed bigint, stripped_sha256 string")
-    out = out.join(stripped.dropDuplicates(row), row, "left")
+    out = out.join(stripped, row, "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.lit(sha([]))).otherwise(F.coalesce("stripped_sha256", "kept_sha256"))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))

@@ -140,7 +140,7 @@ def test_passages_equal_all_windows(spark, seed):
 def test_passages_in_many_shards(spark, monkeypatch):
     monkeypatch.setattr(passages, "SHARD", 40)
     monkeypatch.setattr(passages, "STRETCH", 64)
-    monkeypatch.setattr(passages, "STREAM", 300)
+    monkeypatch.setattr(passages, "STREAM", 5)
     monkeypatch.setattr(passages, "BLOCK", 70)
     rows = list(enumerate(corpus(6, 60)))
     got = sorted(((g.doc_id, g.n_words, g.n_removed, g.kept_sha256) for g in passages.dedup(frame(spark, rows)).collect()), key=str)
