@@ -5,8 +5,8 @@ are grouped first: two equal windows share the fingerprint that is least in them
 fingerprint that recurs. Windows around those are grouped by hash, which confirms the recurring ones and names the first
 document of each. Their words, taken from that document, are compiled into Aho-Corasick automata over word ids, in shards by the first
 document. All documents are then streamed through the automata to locate every occurrence, word by word and exactly: in blocks of
-words that overlap by a window less a word, and through the shards that hold a phrase around a fingerprint of the block, as no
-other shard can have an occurrence there. A word is removed if an occurrence covers it whose phrase starts in a document with a smaller id.
+words that overlap by a window less a word, and through the shards that hold a phrase with the hash of one of the block's windows,
+as no other shard can have an occurrence there. A word is removed if an occurrence covers it whose phrase starts in a document with a smaller id.
 
 Documents whose words are all those of a smaller document are settled at the start and leave the search.
 
@@ -33,6 +33,8 @@ from lodestone.llm.wordhash import P, grams, mix, powers, sliding, word_hashes
 WINDOW, GRAM = 50, 10
 #: Phrases of a shard, and blocks of documents that are streamed through one copy of a shard.
 SHARD, STREAM = 10_000, 1000
+#: Shards whose numbers of copies, 12 bytes each, are broadcast; beyond them they are joined.
+SHARDS = 100_000
 #: Places of a document after which its phrases may go to another shard, and words of a block but for what it shares with the next.
 STRETCH, BLOCK = 2048, 4096
 
@@ -70,53 +72,46 @@ def split(data: bytes) -> list[bytes]:
 
 
 def window_hashes(size: int):
-    """(value, doc_id, place) of windows around recurring fingerprints, each once per document; and of the fingerprints, each once per block, with -1 - block as place."""
+    """(value, doc_id, place) of windows around recurring fingerprints, each once per block of a document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, text, prints in zip(batch.doc_id, batch.text, batch.prints):
                 words = word_hashes(text.encode("utf-8", "replace"))
-                all_prints = fingerprints(words).astype(np.int64)
-                at = np.flatnonzero(np.isin(all_prints, prints))
-                value, first = np.unique(grams(words, WINDOW)[at].astype(np.int64), return_index=True)
-                change = np.flatnonzero(np.r_[True, (np.diff(all_prints[at]) != 0) | (np.diff(at // size) != 0)][: len(at)])
-                marks = np.unique(np.column_stack([all_prints[at[change]], at[change] // size]), axis=0)
-                yield pd.DataFrame({"value": np.r_[value, marks[:, 0]], "doc_id": doc_id, "place": np.r_[at[first], -1 - marks[:, 1]].astype(np.int64)})
+                at = np.flatnonzero(np.isin(fingerprints(words).astype(np.int64), prints))
+                value = grams(words, WINDOW)[at].astype(np.int64)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // size)) + 1):
+                    each, first = np.unique(value[part], return_index=True)
+                    yield pd.DataFrame({"value": each, "doc_id": doc_id, "place": at[part][first]})
 
     return run
 
 
-def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(shard, doc_id, words, prints) of first documents with the places of their recurring windows: runs of words, windows that follow each other in one."""
-    for batch in batches:
-        out = []
-        for doc_id, text, places, values, shards in zip(batch.doc_id, batch.text, batch.places, batch["values"], batch.shards):
-            data = text.encode("utf-8", "replace")
-            words, hashes = split(data), word_hashes(data)
-            found, prints = grams(hashes, WINDOW).astype(np.int64), fingerprints(hashes).astype(np.int64) if len(hashes) >= WINDOW else hashes
-            places, values, shards = np.asarray(places), np.asarray(values), np.asarray(shards)
-            mine = places < len(found)
-            mine[mine] = found[places[mine]] == values[mine]  # not of another row of this id
-            for shard in np.unique(shards[mine]):
-                at = np.sort(places[mine & (shards == shard)])
-                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    out.append((int(shard), doc_id, b" ".join(words[run[0] : run[-1] + WINDOW]), np.unique(prints[run])))
-        yield pd.DataFrame(out, columns=["shard", "doc_id", "words", "prints"])
-
-
-def blocks(size: int):
-    """(shard, doc_id, version, place, words) of documents: each of their blocks for each of the shards it must be streamed through."""
+def phrases(doc_id: int, words: list[bytes], found: np.ndarray, places: np.ndarray, values: np.ndarray, shards: np.ndarray) -> Iterator[tuple]:
+    """A first document's recurring windows for their shards: runs of words, windows that follow each other in one."""
+    mine = places < len(found)
+    mine[mine] = found[places[mine]] == values[mine]  # not of another row of this id
+    for shard in np.unique(shards[mine]):
+        at = np.sort(places[mine & (shards == shard)])
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            yield int(shard), True, doc_id, 0, 0, b" ".join(words[run[0] : run[-1] + WINDOW])
+
+
+def pieces(size: int):
+    """(shard, phrase, doc_id, version, place, words) of documents: their phrases, and each of their blocks for each of the shards it must be streamed through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, version, text, which, shards in zip(batch.doc_id, batch.version, batch.text, batch.which, batch.shards):
-                words, made = split(text.encode("utf-8", "replace")), {}
-                for block, shard in zip(which, shards):
+            for doc_id, version, text, places, values, owned, which, shards in zip(batch.doc_id, batch.version, batch.text, batch.places, batch["values"], batch.owned, batch.which, batch.shards):
+                data = text.encode("utf-8", "replace")
+                words, out, made = split(data), [], {}
+                if places is not None:
+                    out += phrases(doc_id, words, grams(word_hashes(data), WINDOW).astype(np.int64), np.asarray(places), np.asarray(values), np.asarray(owned))
+                for block, shard in zip(*((which, shards) if which is not None else ((), ()))):
                     if block not in made:
                         made[block] = b" ".join(words[block * size : (block + 1) * size + WINDOW - 1])
-                    out.append((int(shard), doc_id, version, int(block) * size, made[block]))
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "version", "place", "words"])
+                    out.append((int(shard), False, doc_id, version, int(block) * size, made[block]))
+                yield pd.DataFrame(out, columns=["shard", "phrase", "doc_id", "version", "place", "words"])
 
     return run
 
@@ -190,24 +185,22 @@ def dedup(docs: DataFrame) -> DataFrame:
     some = cut(docs.where("doc_id is not null").where(maybe_in(prints, "doc_id")).join(prints, row).dropDuplicates(row))
     hashes = cut(some.mapInPandas(window_hashes(BLOCK), "value bigint, doc_id bigint, place bigint"))
     some = some.drop("prints")
-    recurring = hashes.where("place >= 0").groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last")
+    recurring = hashes.groupBy("value").agg(F.min(F.struct("doc_id", "place")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last")
     recurring = cut(recurring.select("value", "o.*"))
-    shards = F.lit(int(recurring.count() // SHARD) + 1)
-    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.floor(F.col("place") / STRETCH)), shards))
+    shards = recurring.count() // SHARD + 1
+    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.floor(F.col("place") / STRETCH)), F.lit(shards)))
     theirs = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("place", "value", "shard")).alias("w"))
-    theirs = theirs.select("doc_id", F.col("w.place").alias("places"), F.col("w.value").alias("values"), F.col("w.shard").alias("shards"))
-    compiled = cut(some.join(theirs, "doc_id").mapInPandas(phrases, "shard bigint, doc_id bigint, words binary, prints array<bigint>"))
-    # a block goes to every shard with a phrase of a smaller document around one of the block's fingerprints
-    marks = compiled.select("shard", "doc_id", F.explode("prints").alias("value")).groupBy("value", "shard").agg(F.min("doc_id").alias("least")).select(apart("value"), "shard", "least")
-    routes = hashes.where("place < 0").select("value", "doc_id", (-1 - F.col("place")).alias("block")).join(marks, "value").where("least < doc_id")
+    theirs = theirs.select("doc_id", F.col("w.place").alias("places"), F.col("w.value").alias("values"), F.col("w.shard").alias("owned"))
+    # a block goes to every shard that has a phrase of a smaller document with the hash of one of its windows
+    routes = hashes.select("value", "doc_id", F.floor(F.col("place") / BLOCK).alias("block"))
+    routes = routes.join(recurring.select("value", "shard", F.col("doc_id").alias("least")), "value").where("least < doc_id")
     routes = cut(routes.select("doc_id", "block", "shard").distinct())
     # a shard that many blocks need is copied, and the blocks are dealt over the copies
     copies = routes.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("copies")).select(apart("shard"), "copies")
     routes = routes.groupBy("doc_id").agg(F.collect_list(F.struct("block", "shard")).alias("w")).select("doc_id", F.col("w.block").alias("which"), F.col("w.shard").alias("shards"))
-    streamed = some.join(routes, "doc_id").mapInPandas(blocks(BLOCK), "shard bigint, doc_id bigint, version bigint, place bigint, words binary")
-    none = F.lit(0).cast("long")
-    keyed = compiled.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(True).alias("phrase"), "doc_id", none.alias("version"), none.alias("place"), "words")
-    keyed = keyed.union(streamed.join(copies, "shard").select("shard", F.pmod(F.xxhash64(*row, "place"), "copies").cast("int"), F.lit(False), *row, "place", "words"))
+    rows = some.join(theirs.join(routes, "doc_id", "full"), "doc_id").mapInPandas(pieces(BLOCK), "shard bigint, phrase boolean, doc_id bigint, version bigint, place bigint, words binary")
+    to = F.when(F.col("phrase"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64(*row, "place"), "copies").cast("int")))
+    keyed = rows.join(F.broadcast(copies) if shards <= SHARDS else copies, "shard").select("*", F.explode(to).alias("copy"))
     keyed = keyed.select(F.xxhash64("shard", "copy").alias("key"), "phrase", *row, "place", "words")
     runs = dealt(keyed, "key", F.desc("phrase")).mapInPandas(locate, "doc_id bigint, version bigint, start bigint, stop bigint")
     runs = runs.groupBy(*row).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
