@@ -25,7 +25,7 @@ from lodestone.llm.wordhash import word_hashes
 #: The labelled rows that are fitted and broadcast at most: those with the smallest digest of their ids.
 LABELLED, RANK, NEIGHBOURS, ACCEPT, FOLDS = 4096, 32, 24, 0.3, 5
 #: Columns that words are hashed to, and the share of the words in a cosine; the rest is the form's.
-COLUMNS, LEXICAL = 4096, 0.3
+COLUMNS, LEXICAL = 2048, 0.3
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 BLOCK = 512
 
@@ -100,10 +100,13 @@ class Neighbours:
         self.axes = vector[:, top].astype(np.float32)
         lexical = table_of(words)
         self.rarity = (1 + np.log((1 + len(words)) / (1 + (lexical > 0).sum(0)))).astype(np.float32)
-        lexical = unit(lexical * self.rarity)
+        lexical *= self.rarity  # in place: the table is the largest thing here
+        lexical /= np.maximum(np.linalg.norm(lexical, axis=1, keepdims=True), 1e-12)
         self.middle = lexical.mean(0)
-        self.word_axes = leading_axes(lexical - self.middle, RANK)
-        self.vectors = self.placed(rows, words)
+        lexical -= self.middle
+        self.word_axes = leading_axes(lexical, RANK)
+        del lexical
+        self.vectors = np.vstack([self.placed(rows[at : at + BLOCK], words[at : at + BLOCK]) for at in range(0, len(rows), BLOCK)])
 
     def placed(self, rows: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         form = unit(((rows - self.mean) * self.weight) @ self.axes)
