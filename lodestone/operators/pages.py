@@ -26,3 +26,8 @@ def capped(df: DataFrame, kind: str, order: list[Column], caps: dict[str, int])
     for name, cap in caps.items():
         out = out.unionByName(df.where(F.col(kind) == name).orderBy(*order).limit(cap))
     return out
+
+
+def clamped(limit: Column, most: int = 50, usual: int = 10) -> Column:
+    """How many hits a caller's text asks for: 1 to `most`, and `usual` if it is no whole number."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(F.trim(limit).try_cast("long"), F.lit(usual).cast("long"))))

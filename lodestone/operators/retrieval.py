@@ -89,16 +89,19 @@ def fuse(words: DataFrame, vectors: DataFrame, dated: DataFrame | None = None, r
 def across_years(hits: DataFrame, top: int = TOP) -> DataFrame:
     """Greedy choice that takes YEAR_PENALTY off a hit's score for each hit of its year chosen before.
 
-    Within a year all hits lose the same, so they are chosen by score, the k-th with k - 1 penalties: one window and one sort. That is
-    the greedy choice as long as penalties don't reach the whole score, for `top` up to 1 + 1 / YEAR_PENALTY.
+    Within a year all hits lose the same, so they are chosen by score, the k-th with k - 1 penalties, until penalties reach the whole
+    score; from then on the smallest score loses least and is chosen first. What a year's hits are worth falls from one to the
+    next, so one sort of all is the greedy choice, for any `top`.
     """
-    if top > 1 + 1 / YEAR_PENALTY:
-        raise ValueError(f"top is at most {1 + 1 / YEAR_PENALTY:.0f}")
     year = F.year("created_at")
-    before = F.row_number().over(Window.partitionBy(year).orderBy(F.desc("score"), "pos")) - 1
+    paid = round(1 + 1 / YEAR_PENALTY)  # hits of a year that are worth something, and one that is worth nothing
+    hits = hits.withColumn("__nth", F.row_number().over(Window.partitionBy(year).orderBy(F.desc("score"), "pos")))
+    rest = F.row_number().over(Window.partitionBy(year, F.col("__nth") > paid).orderBy("score", "pos"))
+    before = F.when(F.col("__nth") > paid, paid + rest).otherwise(F.col("__nth")) - 1
     before = F.when(year.isNull(), 0).otherwise(before)
     chosen = hits.withColumn("effective", F.round(F.col("score") - YEAR_PENALTY * before * F.col("score"), 9))
     order = [F.desc("effective"), F.desc("score"), F.asc("pos")]
+    chosen = chosen.drop("__nth")
     return chosen.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
