@@ -30,6 +30,17 @@ def newest_messages(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(F.col("status").try_cast("decimal(38,0)")), "status").limit(most)
 
 
+def parent_of(status: str, root_id: str, ancestors: list[Node]) -> Node | None:
+    """Of the messages above: the latest that is older than this one, else the conversation's first, else the last one."""
+    ids = [n.attrs.get("data-tweet-id", "") for n in ancestors]
+    older = [(int(i), -k) for k, i in enumerate(ids) if status.isdecimal() and i.isdecimal() and 0 < int(i) < int(status)]
+    if older:
+        return ancestors[-max(older)[1]]
+    if root_id and root_id in ids:
+        return ancestors[ids.index(root_id)]
+    return ancestors[-1] if ancestors else None
+
+
 def old_layout(root: Node, status: str) -> dict | None:
     every = [n for n in root.all("div", "tweet") if n.attrs.get("data-tweet-id")]
     main = next((n for n in every if n.attrs["data-tweet-id"] == status), None)
@@ -40,12 +51,12 @@ def old_layout(root: Node, status: str) -> dict | None:
     out = {"text": body.text() if body else "", "utime": int(stamp.attrs["data-time"]) if stamp and stamp.attrs.get("data-time", "").isdigit() else None, "author": main.attrs.get("data-screen-name", ""), "images": [n.attrs["src"] for n in main.all("img") if "/media/" in n.attrs.get("src", "")], "quote_url": absolute(quote.attrs.get("href", "")) if quote else ""}
     root_id = main.attrs.get("data-conversation-id", "")
     if main.attrs.get("data-is-reply-to") == "true" or root_id not in ("", status):
-        # the parent is the latest message on the page that is older than this one
-        before = [n for n in every if n.attrs["data-tweet-id"].isdigit() and status.isdigit() and int(n.attrs["data-tweet-id"]) < int(status)]
-        parent = max(before, key=lambda n: int(n.attrs["data-tweet-id"]), default=None)
-        if parent:
+        marked = [n for n in every if n is not main and "ancestor" in n.attrs.get("class", "").split()]
+        # a page that marks no ancestors has its older messages instead
+        parent = parent_of(status, root_id, marked or [n for n in every if n.attrs["data-tweet-id"].isdecimal() and status.isdecimal() and int(n.attrs["data-tweet-id"]) < int(status)])
+        if parent and parent.attrs.get("data-tweet-id"):
             name = parent.attrs.get("data-screen-name", "")
-            out |= {"reply_url": f"https://twitter.com/{name}/status/{parent.attrs['data-tweet-id']}", "reply_author": name}
+            out |= {"reply_url": f"https://twitter.com/{name or 'i'}/status/{parent.attrs['data-tweet-id']}", "reply_author": name}
     return out
 
 

@@ -221,6 +221,36 @@ def test_trees():
     assert trees.times_of(None) == []
 
 
+def test_ids_and_times_of_stories():
+    """All ids and the URL of a node, times as numbers, texts and in milliseconds; `id` alone names no story, no time no row."""
+    text = """[{"post_id": 1, "story_id": " s ", "url": "https://www.facebook.com/a/1", "id": "n", "creation_time": "1600000000"}, {"__typename": "Story", "id": "4", "created_time": "2020-05-06T07:08:09+0200"},
+      {"id": "5", "creation_time": 9}, {"post_id": "6", "publishTime": 1600000000123}, {"post_id": "7", "creation_time": "soon"}, {"post_id": "1", "publish_time": 5}, {"post_id": "8", "x": {"creation_time": 3}}]"""
+    at = 1_600_000_000
+    assert {r["post"]: r["at"] for r in trees.times_of(text)} == {"1": at, "s": at, "n": at, "https://www.facebook.com/a/1": at, "4": 1_588_741_689, "6": at}
+
+
+def test_relations_of_messages(spark):
+    user = '{"core": {"user_results": {"result": {"legacy": {"screen_name": "ann", "name": "Ann"}}}}, "legacy": {"full_text": "so"}}'
+    text = f"""{{"a": [{{"rest_id": "1", "legacy": {{"quoted_status_id_str": "9"}}, "quoted_status_result": {{"result": {user}}}}}, {{"rest_id": "2", "legacy": {{}}}},
+      {{"rest_id": "3", "legacy": {{"quoted_status_id_str": "8", "quoted_status_permalink": {{"expanded": "https://twitter.com/bob/status/8"}}, "in_reply_to_status_id_str": "7", "in_reply_to_screen_name": "cy"}}}}]}}"""
+    rows = spark.createDataFrame([(text,), (None,), ("not json",)], "t string").select(F.explode(trees.relations("t")).alias("r")).select("r.*").collect()
+    first, second = sorted(rows, key=lambda r: r.id)
+    assert first.asDict() == {"id": "1", "quoted_id": "9", "quoted_url": "https://x.com/ann/status/9", "quoted_handle": "ann", "quoted_author": "Ann", "quoted_text": "so", "reply_to": None, "reply_handle": None, "reply_user": None}
+    assert (second.id, second.quoted_handle, second.quoted_text, second.reply_to, second.reply_handle) == ("3", "bob", None, "7", "cy")
+
+
+@pytest.mark.parametrize(
+    "above, parent",
+    [([("5", "a"), ("8", "b"), ("12", "c")], ("b", "8")), ([("12", "c"), ("11", "r")], ("r", "11")), ([("12", "c"), ("13", "d")], ("d", "13")), ([("4", "")], ("", "4")), ([], ("no", "9"))],
+)
+def test_parent_of_an_archived_message(above, parent):
+    """The latest older ancestor, else the conversation's first, else the last; an older message that is none only if none is marked."""
+    tweet = '<div class="tweet {}" data-tweet-id="{}" data-screen-name="{}" data-is-reply-to="true" data-conversation-id="11"><p class="tweet-text">t</p></div>'
+    page = "".join(tweet.format("ancestor", *a) for a in above) + tweet.format("main", 10, "me") + tweet.format("other", 9, "no")
+    got = web_archive.message(page, "10")
+    assert (got["reply_author"], got["reply_url"]) == (parent[0], f"https://twitter.com/{parent[0] or 'i'}/status/{parent[1]}")
+
+
 def test_embeddings(spark):
     def call(texts):
         return {"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in reversed(list(enumerate(texts)))]}
