@@ -120,3 +120,18 @@ def resolve(utime: Column, iso_text: Column, raw: Column, collected: Column) ->
 def months_back(first: Column, last: Column) -> Column:
     """The first days of all months between two dates, newest first; empty if they are in the wrong order."""
     return F.when(first <= last, F.reverse(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")))).otherwise(F.array().cast("array<date>"))
+
+
+# A time of day, and names of months, which mark a full date.
+CLOCK = r"(?i)\b(\d{1,2}):(\d{2})\s*(AM|PM)\b"
+MONTH_NAME = r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b"
+
+
+def from_clock(raw: Column, collected: Column) -> Column:
+    """Seconds of a bare time of day: its latest occurrence at or before the collection, in UTC; null if there is a month's name or no time."""
+    now = iso(collected)
+    part = lambda g: F.regexp_extract(raw, CLOCK, g)
+    hour = part(1).try_cast("int")
+    hour = F.when((F.upper(part(3)) == "PM") & (hour != 12), hour + 12).when((F.upper(part(3)) == "AM") & (hour == 12), 0).otherwise(hour)
+    at = F.unix_seconds(F.date_trunc("day", now)) + hour * 3600 + part(2).try_cast("int") * 60
+    return F.when(~raw.rlike(MONTH_NAME), F.when(at > F.unix_seconds(now), at - 86400).otherwise(at))

@@ -164,3 +164,13 @@ def title_kind(title: Column) -> Column:
         F.when(any_of(title, MEMORY), "memory").when(any_of(title, MARKET), "market").when(any_of(title, FUNDRAISER), "fundraiser")
         .when(any_of(title, SELF_REPLY), "self_reply").when(any_of(title, SELF_DIRECT), "self_direct").when(any_of(title, COMMENT), "external").otherwise("post")
     )
+
+
+# Fixed value: marks that models leave at the end of an answer.
+ANSWER_TAIL = r"[\s\.]*\b(?:MODE\s*END|END\s*OF\s*RESPONSE|END_OF_TURN|<\|end\|>|<\|im_end\|>|<\|endoftext\|>)\b[\s\.]*$"
+
+
+def answer(c: Column) -> Column:
+    """An answer without a model's end mark; dots that it leaves become one."""
+    kept = F.regexp_replace(F.regexp_replace(c, f"(?iU){ANSWER_TAIL}", ""), r"(?U)\s+$", "")
+    return F.when(kept.endswith(".."), F.regexp_replace(kept, r"\.+$", ".")).otherwise(kept)

@@ -83,13 +83,17 @@ def stream_dedup(spark, sf_dir):
     return S.drained(S.distinct_keys(stream(spark, sf_dir), ["user_id", "event_type"]), "append")
 
 
+def stream_longest(spark, sf_dir):
+    return S.drained(S.longest_of_key(stream(spark, sf_dir), ["user_id", "event_type"], "props", "event_id"), "complete")
+
+
 def stream_admitted(spark, sf_dir):
     return S.drained(S.admitted(stream(spark, sf_dir), LIMIT), "append", S.CALL).select("event_id", "user_id", "admitted")
 
 
 QUERIES = {
     "tumbling_counts": tumbling_counts, "sliding_counts": sliding_counts, "session_counts": session_counts, "late_filtered": late_filtered, "ip_window_count": ip_window, "site_window_count": site_window,
-    "premium_quota": premium_quota, "admitted_attempts": admitted, "stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stream_dedup": stream_dedup, "stream_admitted": stream_admitted,
+    "premium_quota": premium_quota, "admitted_attempts": admitted, "stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stream_dedup": stream_dedup, "stream_longest": stream_longest, "stream_admitted": stream_admitted,
 }
 
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -117,3 +121,4 @@ ORACLE_SQL = {
     "stream_admitted": _ADMITTED.format("ip as user_id, "),
     "stream_dedup": "select distinct user_id, event_type from events",
 }
+ORACLE_SQL["stream_longest"] = "select user_id, event_type, event_id, props from events qualify row_number() over (partition by user_id, event_type order by length(coalesce(props, '')) desc, event_id) = 1"

@@ -45,6 +45,12 @@ def distinct_keys(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.select(*keys).dropDuplicates(keys)
 
 
+def longest_of_key(events: DataFrame, keys: list[str], text: str, seq: str) -> DataFrame:
+    """Each key with its longest text so far, of equal lengths the first: the harvest loop's upsert. The state is a text for each key."""
+    best = F.max(F.struct(F.length(F.coalesce(text, F.lit(""))).alias("n"), (-F.col(seq)).alias("seq"), F.col(text).alias("text"))).alias("best")
+    return events.groupBy(*keys).agg(best).select(*keys, (-F.col("best.seq")).alias(seq), F.col("best.text").alias(text))
+
+
 #: A call that is held in state: its time in microseconds, its id and whether it was let in.
 HELD = np.dtype([("at", "<i8"), ("id", "<i8"), ("let", "?")])
 
