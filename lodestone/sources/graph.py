@@ -69,8 +69,14 @@ def records(rows: DataFrame) -> DataFrame:
         extra=F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["v"] > 0), lambda p: F.struct(p["k"], p["v"].cast("string")))))
 
 
-def with_edge_comments(records: DataFrame, edge: DataFrame) -> DataFrame:
-    """Comments from the edge (post, seq, comment) for records that came without any though their count says otherwise."""
+def told_empty(rows: DataFrame) -> DataFrame:
+    """(post) of the posts (p) whose count of comments is 0, so that the edge isn't asked for them."""
+    return rows.where("p.comments.summary.total_count = 0").select(F.col("p.id").alias("post")).distinct()
+
+
+def with_edge_comments(records: DataFrame, edge: DataFrame, empty: DataFrame | None = None) -> DataFrame:
+    """Comments from the edge (post, seq, comment) for records that came without any; not for the posts of `empty`, if given."""
+    edge = edge.join(empty, "post", "left_anti") if empty is not None else edge
     found = edge.groupBy("post").agg(F.sort_array(F.collect_list(F.struct("seq", "comment"))).alias("l")).select(F.col("post").alias("source_id"), F.transform("l", lambda x: x["comment"]).alias("more"))
     joined = records.join(found, "source_id", "left")
     wanted = (F.size("comments") == 0) & F.col("more").isNotNull()

@@ -196,6 +196,16 @@ def test_graph(spark, tmp_path):
     assert [c.text for c in more["2"].comments] == ["late"] and len(more["1"].comments) == 1
 
 
+def test_edge_comments_of_posts_without_any(spark, tmp_path):
+    """2 is said to have none, 3 doesn't say, and 4 has more than it shows."""
+    posts = [{"id": i, "message": "m", "comments": c} for i, c in (("2", {"data": [], "summary": {"total_count": 0}}), ("3", None), ("4", {"data": [], "summary": {"total_count": 7}}))]
+    (tmp_path / "page.json").write_text(json.dumps({"data": posts}))
+    pages = graph.read_pages(spark, str(tmp_path / "page.json"))
+    edge = spark.createDataFrame([(i, 0, ("a", "", "late", None, "e", "")) for i in "234"], "post string, seq int, comment struct<author:string,author_url:string,text:string,date:timestamp,source_id:string,parent_comment_id:string>")
+    got = by_id(graph.with_edge_comments(graph.records(pages), edge, graph.told_empty(pages)))
+    assert {i: len(r.comments) for i, r in got.items()} == {"2": 0, "3": 1, "4": 1}
+
+
 def test_binpb_files(spark, tmp_path):
     rows = spark.range(50).select("id", F.concat(F.lit("text é "), F.col("id").cast("string")).alias("t"))
     records = schema.record(rows, source=F.lit(2), source_id=F.col("id").cast("string"), content_text=F.col("t"), created_at=F.timestamp_micros(F.col("id") * 1_000_001), extra=F.create_map(F.lit("k"), F.col("t")), tags=F.array("t"), location=F.when(F.col("id") % 2 == 0, F.struct(F.lit("n").alias("name"), F.lit(1.5).alias("lat"), F.lit(0.0).alias("lng"))))
