@@ -46,6 +46,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFra
     return old.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 
+def reimport(old: DataFrame, new: DataFrame, source: str, seq: str, preserve: bool = False, overwrite: tuple = (), fill: tuple = (), largest: tuple = ()) -> DataFrame:
+    """`new` rows of a source in place of those of `old`; with `preserve` old rows stay and take only these columns from new ones with their source_id."""
+    keys = ["source", "source_id"]
+    if not preserve:
+        return insert_absent(old.where(~F.col("source").eqNullSafe(F.lit(source))), new, keys, seq, "source_id")
+    return insert_absent(update_fields(old, new.where("source_id <> ''"), keys, seq, list(overwrite), list(fill), list(largest)), new, keys, seq, "source_id")
+
+
 def fill_empty(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     side = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = old.join(side, keys, "left")

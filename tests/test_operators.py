@@ -198,3 +198,12 @@ def test_slug_collisions_of_whole_slugs(spark, tmp_path):
     sf = put_posts(spark, tmp_path, ["Same words here", "Same words here", "Same words here", "Salt", "Да", "Нет", "Same words here", "Same words here"])
     got = {r.id: r.slug.removeprefix("2024-01-05") for r in resolve.slug_collisions(spark, sf).collect()}
     assert got == {1: "-same-words-here", 2: "-same-words-here-2", 3: "0000-00-00-same-words-here", 4: "-salt", 5: "", 6: "-2", 7: "-same-words-here-2-2", 8: "-same-words-here-3"}
+
+
+@pytest.mark.parametrize("preserve, want", [(False, [("a", "1", "new", ""), ("a", "3", "x", ""), ("b", "1", "kept", "mine")]), (True, [("a", "1", "new", "mine"), ("a", "2", "old", ""), ("a", "3", "x", ""), ("b", "1", "kept", "mine")])])
+def test_reimport(spark, preserve, want):
+    """Wiped, only other sources' rows stay; preserved, an edited note stays and the text is renewed."""
+    shape = "source string, source_id string, text string, note string"
+    old = spark.createDataFrame([("a", "1", "old", "mine"), ("a", "2", "old", ""), ("b", "1", "kept", "mine")], shape)
+    new = spark.createDataFrame([("a", "1", "new", "", 0), ("a", "3", "x", "", 1)], f"{shape}, seq int")
+    assert sorted(map(tuple, merge.reimport(old, new, "a", "seq", preserve, overwrite=("text",), fill=("note",)).collect())) == want
