@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, html_text, jaccard, merkle, mixing, passages, pii, quality, secrets, vectors, warc
+from lodestone.llm import decontaminate, host_rules, html_text, jaccard, merkle, mixing, passages, pii, quality, secrets, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_benchmark_decontamination": decontaminate.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_host_rules": host_rules.query,
 }
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_substring_dedup": passages.PASSAGES_SQL,
     "op9_source_mixing": "with " + mixing.MIX_SQL.format(docs="documents"),
     "op11_merkle_manifest": merkle.MERKLE_SQL,
+    "op12_host_rules": host_rules.HOST_SQL,
 }
