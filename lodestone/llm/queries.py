@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, host_rules, html_text, jaccard, merkle, mixing, passages, pii, quality, secrets, vectors, warc
+from lodestone.llm import decontaminate, host_rules, html_text, jaccard, merkle, mixing, passages, pii, quality, ranked, secrets, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.query,
     "op11_merkle_manifest": merkle.query,
     "op12_host_rules": host_rules.query,
+    "op13_ranked_search": ranked.query,
 }
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op9_source_mixing": "with " + mixing.MIX_SQL.format(docs="documents"),
     "op11_merkle_manifest": merkle.MERKLE_SQL,
     "op12_host_rules": host_rules.HOST_SQL,
+    "op13_ranked_search": ranked.RANKED_SQL,
 }

@@ -11,6 +11,8 @@ COLUMNS = {
     "op1_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op2_embedding_near_dedup": "vec_id n_links component_id kept", "op3_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op4_html_text": "page_id url text n_chars", "op5_quality_classifier": "doc_id held_out score predicted", "op6_ngram_jaccard_join": "doc_id class_id n_links", "op7_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op8_substring_dedup": "doc_id n_words n_removed kept_sha256", "op9_source_mixing": "doc_id size source_size target taken", "op10_benchmark_decontamination": "doc_id item_id coverage",
+    "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified", "op12_host_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept host_rejected host_watched",
+    "op13_ranked_search": "item_id rank doc_id score",
 }
 ROWS = {"op2": "embeddings", "op4": "pages", "op7": "pages"}
 
@@ -19,7 +21,7 @@ ROWS = {"op2": "embeddings", "op4": "pages", "op7": "pages"}
 def test_query(spark, sf_dir, name):
     got = entry.queries()[name](spark, sf_dir).toPandas()
     assert list(got.columns) == COLUMNS[name].split()
-    if name != "op10_benchmark_decontamination":
+    if name not in ("op10_benchmark_decontamination", "op13_ranked_search"):
         assert len(got) == spark.read.parquet(f"{sf_dir}/{ROWS.get(name.split('_')[0], 'documents')}.parquet").count()
     if name in queries.ORACLE_SQL:
         assert rows(got) == rows(oracle(sf_dir).sql(queries.ORACLE_SQL[name]).df())
