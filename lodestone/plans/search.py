@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates
 from lodestone.functions.text import holds
+from lodestone.operators import inverted, vector_index
 from lodestone.operators import retrieval as R
 from lodestone.plans.views import CHUNKS, POSTS, STAMP, chunks, public_posts, stamp
 from lodestone.session import table
 
 QUESTION, PHRASE, VECTOR, DAYS = "there and heed nthandin pour nicht", "there", 0, ["1997-06-01", "1998-09-15", "1996-03-07"]
+#: A question of which no text holds many words, and one with a piece that is inside of words only.
+RARE, INSIDE = "eresan nthandin", "threin zz-nope"
 TOPIC = ("that", "this", "with", "from", "have", "their", "about")
 
 
@@ -35,6 +40,15 @@ def keyword_ranked(spark, sf_dir):
     return keyword_hits(spark, sf_dir).select("id", "keyword_rank", F.col("rank").cast("long").alias("place"))
 
 
+def keyword_by_index(question, most=R.FAN_OUT):
+    def hits(spark, sf_dir):
+        posts = public_posts(spark, sf_dir)
+        found = inverted.keyword(inverted.build(posts), posts, question, most)
+        return found.select("id", "keyword_rank", F.col("rank").cast("long").alias("place"))
+
+    return hits
+
+
 def semantic_topk(spark, sf_dir):
     """The nearest 50 chunks, with their posts read again by rank."""
     near = R.nearest_chunks(chunks(spark, sf_dir), asked(spark, sf_dir), 50)
@@ -60,6 +74,22 @@ def semantic_batch(spark, sf_dir):
     return R.nearest_batch(queries, every, 10)
 
 
+def semantic_indexed(spark, sf_dir):
+    """The neighbours of semantic_batch from the index of cells, in exact mode."""
+    queries, every = vectors(spark, sf_dir)
+    return vector_index.search(vector_index.build(every), queries, 10, exact=True)
+
+
+def semantic_index_recall(spark, sf_dir):
+    """Of each query's ten nearest vectors those that the probed cells hold, and how many vectors these cells have."""
+    queries, every = vectors(spark, sf_dir)
+    index = vector_index.build(every)
+    near, true = vector_index.search(index, queries, 10), vector_index.search(index, queries, 10, exact=True)
+    found = true.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    found = found.groupBy("query_id").agg(F.count("*").alias("nearest"), F.count("hit").alias("found"))
+    return found.join(vector_index.rows_read(index, queries), "query_id")
+
+
 def retrieval_recall(spark, sf_dir):
     """Mean rank of the first neighbour with the query's label, and how often that is the first, or among three."""
     queries, every = vectors(spark, sf_dir)
@@ -124,18 +154,27 @@ QUERIES = {
     "keyword_ilike": keyword_ilike, "keyword_token_or": keyword_token_or, "keyword_ranked": keyword_ranked, "semantic_topk": semantic_topk, "semantic_maxpool": semantic_maxpool,
     "semantic_batch": semantic_batch, "retrieval_recall": retrieval_recall, "date_hits": date_hits, "hybrid_fusion": hybrid_fusion, "repost_dampened": repost_undamped,
     "hybrid_mmr": hybrid_mmr, "date_extract": date_extract, "topic_timeline_years": topic_timeline, "hit_projection": hit_projection,
+    "keyword_indexed": keyword_by_index(QUESTION), "keyword_indexed_rare": keyword_by_index(RARE), "keyword_indexed_inside": keyword_by_index(INSIDE, 200),
+    "semantic_indexed": semantic_indexed, "semantic_index_recall": semantic_index_recall,
 }
 
 _LOW = "lower(content_text)"
 _TOKENS = f"regexp_extract_all({_LOW}, '[\\p{{L}}\\p{{N}}]+')"
-_ASKED = "[" + ", ".join(f"'{t}'" for t in QUESTION.lower().split()) + "]"
-_ANY = lambda least: "(" + " or ".join(f"contains({_LOW}, '{t.lower()}')" for t in QUESTION.split() if len(t) >= least) + ")"
+_PIECES = lambda question, least: "(" + " or ".join(["false"] + [f"contains({_LOW}, '{t.lower()}')" for t in question.split() if len(t) >= least]) + ")"
+_ANY = lambda least: _PIECES(QUESTION, least)
 _NEW = "created_at desc nulls last, id desc"
 _DISTANCE = "round(1 - list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 9) + 0.0"
-_KEYWORD = f"""kw as (select *, row_number() over (order by keyword_rank desc, {_NEW}) as rank, count(*) over () as n from (
-    select id, created_at, reshared_from_author, round(len(list_filter(toks, lambda w: list_contains({_ASKED}, w))) / (1 + ln(greatest(len(toks), 1))), 9) as keyword_rank
+
+
+def _keyword(question: str, most: int = R.FAN_OUT) -> str:
+    asked = "[" + ", ".join(f"'{t}'" for t in re.findall(r"[^\W_]+", question.lower())) + "]"
+    return f"""kw as (select *, row_number() over (order by keyword_rank desc, {_NEW}) as rank, count(*) over () as n from (
+    select id, created_at, reshared_from_author, round(len(list_filter(toks, lambda w: list_contains({asked}, w))) / (1 + ln(greatest(len(toks), 1))), 9) as keyword_rank
     from (select *, {_TOKENS} as toks from public_posts)
-    where keyword_rank > 0 or contains({_LOW}, '{QUESTION}') or {_ANY(4)} order by keyword_rank desc, {_NEW} limit {R.FAN_OUT}))"""
+    where keyword_rank > 0 or contains({_LOW}, '{question}') or {_PIECES(question, 4)} order by keyword_rank desc, {_NEW} limit {most}))"""
+
+
+_KEYWORD = _keyword(QUESTION)
 _NEAR = f"near as (select a.chunk_id, a.post_id, {_DISTANCE} as distance from chunks a, (select embedding from embeddings where vec_id = {VECTOR}) b {{}} order by distance, chunk_id limit {{}})"
 _SEMANTIC = (
     _NEAR.format("where a.post_id in (select id from public_posts)", R.CHUNKS)
@@ -156,6 +195,10 @@ ORACLE_SQL = {
     "keyword_ilike": f"with {POSTS} select id, lang from public_posts where contains({_LOW}, '100% ') or contains({_LOW}, '{PHRASE}')",
     "keyword_token_or": f"with {POSTS} select id, {STAMP.format('created_at')} as created from public_posts where {_ANY(3)} order by {_NEW} limit {R.FAN_OUT}",
     "keyword_ranked": f"with {POSTS}, {_KEYWORD} select id, keyword_rank, rank as place from kw",
+    "keyword_indexed": f"with {POSTS}, {_KEYWORD} select id, keyword_rank, rank as place from kw",
+    "keyword_indexed_rare": f"with {POSTS}, {_keyword(RARE)} select id, keyword_rank, rank as place from kw",
+    "keyword_indexed_inside": f"with {POSTS}, {_keyword(INSIDE, 200)} select id, keyword_rank, rank as place from kw",
+    "semantic_indexed": f"with {_BATCH} select * from ranked where rank <= 10",
     "semantic_topk": f"with {POSTS}, {CHUNKS}, {_NEAR.format('', 50)} select chunk_id, post_id, distance, lang, substr(content_text, 1, 200) as snippet from near join public_posts on id = post_id",
     "semantic_maxpool": f"with {POSTS}, {CHUNKS}, {_SEMANTIC} select id, distance, rank as place from sem",
     "semantic_batch": f"with {_BATCH} select * from ranked where rank <= 10",
