@@ -277,7 +277,7 @@ def search_block(shards: DataFrame, asked: Asked, top: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([dict(zip(HITS.names, row)) for row in out], schema=HITS)
 
     fields = "item bigint, score bigint, doc_id bigint"
-    first = shards.join(best, "shard").mapInArrow(lambda batches: hits(batches, plain.value), fields)
+    first = shards.join(F.broadcast(best), "shard").mapInArrow(lambda batches: hits(batches, plain.value), fields)
     # as many numbers as the block has items: the k-th score of those with so many hits
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))
     least = first.withColumn("rank", rank).where(F.col("rank") == top).select("item", "score").toArrow()
