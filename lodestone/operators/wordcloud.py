@@ -50,10 +50,18 @@ def bigrams(texts: DataFrame, text: str = "content_text", stop=STOP, lemma=None)
     return counted(texts.select(lemmas(F.col(text), lemma).alias("w")), pairs(F.col("w"), stop))
 
 
-def cloud(texts: DataFrame, text: str = "content_text", most: int = TERMS, stop=STOP, lemma=None) -> DataFrame:
+def stemmed(terms: DataFrame, stem: Callable[[Column], Column], stop=STOP) -> DataFrame:
+    """`terms` (term, n) by the stems of their words: each word is stemmed once, not once for each occurrence. Terms with a stem that is a stop word go."""
+    parts = F.transform(F.split("term", " "), stem)
+    found = terms.select(parts.alias("parts"), "n").where(~F.exists("parts", lambda w: w.isin(*stop)))
+    return found.groupBy(F.array_join("parts", " ").alias("term")).agg(F.sum("n").alias("n"))
+
+
+def cloud(texts: DataFrame, text: str = "content_text", most: int = TERMS, stop=STOP, lemma=None, stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """(term, n, size, opacity). Of the first 3 * `most` terms rare pairs go, then the first `most` stay; sizes are 14 to 48."""
     found = texts.select(lemmas(F.col(text), lemma).alias("w"))
     every = counted(found, F.concat(F.filter("w", plain(stop)), pairs(F.col("w"), stop)))  # words and pairs in one pass
+    every = stemmed(every, stem, stop) if stem else every
     order = [F.desc("n"), F.asc("term")]
     top = every.orderBy(*order).limit(LOOKED_AT * most).where(~F.col("term").contains(" ") | (F.col("n") >= PAIR)).orderBy(*order).limit(most)
     w = Window.partitionBy(F.lit(1))  # over `most` rows

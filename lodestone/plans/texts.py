@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import stems
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import chunks as C
@@ -26,6 +27,16 @@ def cloud(spark, sf_dir):
     return wordcloud.cloud(public_posts(spark, sf_dir))
 
 
+def word_stems(spark, sf_dir):
+    """Every word of the public posts, how often it occurs, and its stem."""
+    words = wordcloud.counted(public_posts(spark, sf_dir), T.words(F.col("content_text")))
+    return words.select(F.col("term").alias("word"), "n", stems.stem(F.col("term")).alias("stem"))
+
+
+def stem_cloud(spark, sf_dir):
+    return wordcloud.cloud(public_posts(spark, sf_dir), stem=stems.stem)
+
+
 def languages(spark, sf_dir):
     return posts(spark, sf_dir).select("id", "lang", T.language(F.col("content_text")).alias("detected"))
 
@@ -121,7 +132,7 @@ def slugs(spark, sf_dir):
 
 
 QUERIES = {
-    "wordcloud_unigrams": unigrams, "wordcloud_bigrams": bigrams, "wordcloud_scaled": cloud, "language_detect": languages, "language_counts": language_counts, "hashtags": hashtags, "mentions": mentions,
+    "wordcloud_unigrams": unigrams, "wordcloud_bigrams": bigrams, "wordcloud_scaled": cloud, "word_stems": word_stems, "wordcloud_stems": stem_cloud, "language_detect": languages, "language_counts": language_counts, "hashtags": hashtags, "mentions": mentions,
     "url_domain": url_domains, "url_canonical": url_canonical, "tweet_id": status_ids, "post_ids": post_ids, "page_title_extract": page_titles, "page_link_extract": page_links, "link_cards": link_cards,
     "chunk_documents": chunk_documents, "embed_input_hash": embed_hashes, "incremental_embed_worklist": embed_worklist, "question_keys": question_keys, "linkify": linkified, "slugs": slugs,
 }
