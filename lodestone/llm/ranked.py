@@ -7,7 +7,7 @@ a range. A search opens the range with the highest bound, then the next, and end
 bound equals it are opened, as an equal score with a smaller id goes before. The same holds between shards: the shard with an item's highest
 bound is searched first, and in the others only what can reach the k-th score found there.
 
-At scale: texts are read twice where they lie (once in the JVM for N and L) and never shuffled; a shard is one row of a few MB,
+At scale: texts are read twice where they lie (once for N and L) and never shuffled; a shard is one row of a few MB,
 whatever a term's number of documents, and the unit of work. An item sends at most k hits a shard on, which are cut down again before they
 meet. Items go in blocks of about ENTRIES of their terms, of which one at a time is gathered and broadcast; each takes three passes over the index,
 the first over terms and shard maxima alone.
@@ -48,19 +48,30 @@ _LEVEL = "struct<df:array<int>,node:array<smallint>,most:array<int>>"
 INDEX = f"shard bigint, docs array<bigint>, terms array<binary>, df array<int>, at array<smallint>, impact array<int>, levels array<{_LEVEL}>, tops array<int>"
 
 
-def counted(data: bytes) -> Counter:
-    """How often a text in UTF-8 has each of its terms."""
-    data, found, start = data.translate(FOLDED), Counter(), 0
-    while len(data) - start > PIECE:
-        end = data.find(b" ", start + PIECE)
-        if end < 0:
-            break
-        found.update(data[start:end].split())
+def pieces(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, a piece of it at a time."""
+    data, start = data.translate(FOLDED), 0
+    while len(data) - start > PIECE and (end := data.find(b" ", start + PIECE)) >= 0:
+        yield data[start:end].split()
         start = end
-    found.update(data[start:].split())
+    yield data[start:].split()
+
+
+def counted(data: bytes) -> Counter:
+    """How often a text has each of its terms."""
+    found = Counter()
+    for piece in pieces(data):
+        found.update(piece)
     return found
 
 
+def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of texts how many have a term, and how many terms they have together."""
+    for batch in batches:
+        n = [sum(map(len, pieces(text.as_buffer().to_pybytes()))) for text in batch.column(0) if text.is_valid]
+        yield pa.record_batch({"documents": [sum(x > 0 for x in n)], "length": [sum(n)]})
+
+
 class Shard:
     """Documents of a shard to be, and their terms."""
 
@@ -116,8 +127,8 @@ class Index:
 
 def index(docs: DataFrame, folder: str | None = None) -> Index:
     """The index of all rows of `docs` (doc_id, text), written to `folder` or else kept in the shared one as long as it is referred to."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    documents, length = docs.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))).first()
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(sizes, "documents bigint, length bigint")
+    documents, length = sums.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, open_ = TaskContext.get().partitionId() << 32, Shard()
