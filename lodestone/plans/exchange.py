@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.views import POSTS, posts
 from lodestone.session import shared_dir, table
-from lodestone.sources import binpb, schema
+from lodestone.sources import binpb, paging, schema
 
 
 def as_records(spark, sf_dir):
@@ -40,8 +41,58 @@ def import_counters(spark, sf_dir):
     return rows.agg(F.count("*").alias("records"), F.count_if(F.col("content_text") == "").alias("empty"), F.count_if(F.col("created_at").isNull()).alias("undated"), F.count_if(F.size("comments") > 0).alias("discussed"))
 
 
-QUERIES = {"binpb_round_trip": round_trip, "import_rows": import_rows, "import_counters": import_counters}
+#: Posts and comments of a page.
+POSTS_PAGE, COMMENTS_PAGE = 4, 2
+NO_EDGE = '{"error": {"message": "not here", "code": 200, "error_subcode": 2069030}}'
+
+
+def customers_pages(spark, sf_dir):
+    """(url, body): the orders of each customer as an API would page them. Every fifth customer has a feed only; of every tenth its third page fails."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("message"))
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("id").cast("long"))) - 1
+    pages = orders.withColumn("n", number).groupBy("o_custkey", F.floor(F.col("n") / POSTS_PAGE).alias("k")).agg(F.sort_array(F.collect_list(F.struct("n", F.struct("id", "message").alias("post")))).alias("l"))
+    own, feed, k = F.col("o_custkey").cast("string"), F.col("o_custkey") % 5 == 0, F.col("k")
+    url = lambda k: F.when(feed & (k == 0), F.concat(own, F.lit("?fields=feed"))).otherwise(F.concat(own, F.when(feed, "/feed").otherwise("/posts"), F.when(k > 0, F.concat(F.lit("?after="), k.cast("string"))).otherwise("")))
+    more = k < F.max("k").over(Window.partitionBy("o_custkey"))
+    page = F.struct(F.transform("l", lambda x: x["post"]).alias("data"), F.struct(F.when(more, F.concat(url(k + 1), F.lit("&access_token=secret"))).alias("next")).alias("paging"))
+    body = F.when((F.col("o_custkey") % 10 == 0) & (k == 2), NO_EDGE).when(feed & (k == 0), F.to_json(F.struct(page.alias("feed")))).otherwise(F.to_json(page))
+    pages = pages.select(url(k).alias("url"), body.alias("body"))
+    return pages.union(orders.where(feed).select(F.concat(own, F.lit("/posts")).alias("url"), F.lit(NO_EDGE).alias("body")).distinct())
+
+
+def graph_chains(spark, sf_dir):
+    """The posts of every profile by its chain of pages, by whichever edge it has."""
+    starts = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key")).distinct()
+    starts = starts.select("key", F.concat("key", F.lit("/posts?access_token=x")).alias("posts_url"), F.concat("key", F.lit("?fields=feed")).alias("feed_url"))
+    found = paging.posts(paging.pages(customers_pages(spark, sf_dir)), starts)
+    return found.select(F.col("key").cast("long").alias("customer"), "place", F.col("pos").cast("long").alias("pos"), F.get_json_object("item", "$.id").cast("long").alias("post"), F.get_json_object("item", "$.message").alias("message"))
+
+
+def graph_comments(spark, sf_dir):
+    """The comments of conversations' first turns: all pages after the post's own, else those of its edge, unless the post says 0 or the edge breaks off."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    rows = turns.withColumn("n", number).groupBy("conv_id", F.floor(F.col("n") / COMMENTS_PAGE).alias("k")).agg(F.sort_array(F.collect_list(F.struct("n", F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("n").cast("string")).alias("id"), F.col("text").alias("message")).alias("said")))).alias("l"))
+    rows = rows.withColumn("last", F.max("k").over(Window.partitionBy("conv_id")))
+    kind, own, k = F.col("conv_id") % 4, F.col("conv_id").cast("string"), F.col("k")
+    url = lambda k: F.concat(own, F.lit("/comments"), F.when(k > 0, F.concat(F.lit("?after="), k.cast("string"))).otherwise(""))
+    page = F.struct(F.transform("l", lambda x: x["said"]).alias("data"), F.struct(F.when(k < F.col("last"), url(k + 1)).alias("next")).alias("paging"))
+    saved = rows.select(url(k).alias("url"), F.when((kind == 3) & (k == 1), F.lit('{"error": {"message": "gone"}}')).otherwise(F.to_json(page)).alias("body"))
+    none = F.from_json(F.lit('{"data": []}'), "data array<struct<id:string,message:string>>, paging struct<next:string>, summary struct<total_count:bigint>")
+    full = F.struct(page["data"].alias("data"), page["paging"].alias("paging"), F.lit(None).cast("struct<total_count:bigint>").alias("summary"))
+    block = F.when(kind == 0, full).when(kind == 2, none.withField("summary", F.struct(F.lit(0).cast("long").alias("total_count")))).otherwise(none)
+    found = rows.where("k = 0").select(own.alias("key"), F.to_json(F.struct(own.alias("id"), block.alias("comments"))).alias("item"))
+    said = paging.comments(paging.pages(saved), found)
+    said = said.select(F.col("post").cast("long").alias("conv_id"), F.posexplode("comments").alias("n", "said"))
+    return said.select("conv_id", F.col("n").cast("long").alias("n"), F.sha2(F.get_json_object("said", "$.message"), 256).alias("text_sha"))
+
+
+QUERIES = {"graph_chains": graph_chains, "graph_comments": graph_comments, "binpb_round_trip": round_trip, "import_rows": import_rows, "import_counters": import_counters}
 ORACLE_SQL = {
+    "graph_chains": f"""with n as (select o_custkey as customer, o_orderkey as post, o_orderpriority as message, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders)
+        select customer, n // {POSTS_PAGE} as place, n % {POSTS_PAGE} as pos, post, message from n where customer % 10 <> 0 or n < 2 * {POSTS_PAGE}""",
+    "graph_comments": f"""with n as (select conv_id, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as n, count(*) over (partition by conv_id) as all_ from conversations where conv_id is not null and turn is not null)
+        select conv_id, n, sha256(text) as text_sha from n where conv_id % 4 in (0, 1) or conv_id % 4 = 3 and all_ <= {COMMENTS_PAGE}""",
     "binpb_round_trip": f"""with {POSTS} select source, id::varchar as source_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created, visibility, sha256(content_text) as text_sha, lang || ',' || source_name as tags, reshared_from_author as author,
         (id in (select conv_id from conversations))::bigint as comments from posts""",
     "import_rows": f"""with {POSTS} select 4 as source, id::varchar as source_id, visibility, reshared_from_author, id % 9 as reactions, (id in (select conv_id from conversations))::bigint as comments from posts""",

@@ -13,7 +13,8 @@ from lodestone.sources.schema import COMMENTS, FACEBOOK, FRIENDS, IMAGE, LINK, M
 # Who sees a post.
 PRIVACY = {"EVERYONE": PUBLIC, "ALL_FRIENDS": FRIENDS, "FRIENDS_OF_FRIENDS": FRIENDS, "SELF": PRIVATE, "CUSTOM": PRIVATE}
 PART = "type:string,url:string,title:string,description:string,media:struct<image:struct<src:string>,source:string>,target:struct<id:string>"
-SAID = "struct<data:array<struct<id:string,message:string,from:struct<name:string>,created_time:string,parent:struct<id:string>>>,summary:struct<total_count:bigint>>"
+COMMENT = "struct<id:string,message:string,from:struct<name:string>,created_time:string,parent:struct<id:string>>"
+SAID = f"struct<data:array<{COMMENT}>,summary:struct<total_count:bigint>>"
 POST = f"""struct<id:string,message:string,story:string,created_time:string,updated_time:string,permalink_url:string,privacy:struct<value:string>,
   place:struct<name:string,location:struct<latitude:double,longitude:double>>,attachments:struct<data:array<struct<{PART},subattachments:struct<data:array<struct<{PART}>>>>>>,
   comments:{SAID},reactions:struct<data:array<struct<type:string,name:string>>,summary:struct<total_count:bigint>>>"""
