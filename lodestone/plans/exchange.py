@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.views import POSTS, posts
 from lodestone.session import shared_dir, table
-from lodestone.sources import binpb, paging, schema
+from lodestone.sources import binpb, binpb_source, paging, schema
 
 
 def as_records(spark, sf_dir):
@@ -27,10 +27,21 @@ def round_trip(spark, sf_dir):
     """All posts as records in the wire format, read again."""
     path = f"{shared_dir(spark)}/records-{uuid4().hex}"
     binpb.write(as_records(spark, sf_dir), path)
-    back = binpb.read_written(spark, path)
+    return compared(binpb.read_written(spark, path))
+
+
+def compared(back):
     return back.select("source", "source_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "visibility", F.sha2("content_text", 256).alias("text_sha"), F.array_join("tags", ",").alias("tags"), F.coalesce("reshared_from.author", F.lit("")).alias("author"), F.size("comments").cast("long").alias("comments"))
 
 
+def source_round_trip(spark, sf_dir):
+    """The same by the data source: many tasks for each file, and files that are there once all tasks are done."""
+    spark.dataSource.register(binpb_source.BinpbSource)
+    path = f"{shared_dir(spark)}/records-{uuid4().hex}"
+    as_records(spark, sf_dir).write.format("binpb").mode("append").save(path)
+    return compared(spark.read.format("binpb").option("rangeBytes", 1 << 20).load(path))
+
+
 def import_rows(spark, sf_dir):
     rows = schema.serving_rows(as_records(spark, sf_dir), 4)
     return rows.select("source", "source_id", "visibility", "reshared_from_author", F.col("reaction_count").cast("long").alias("reactions"), F.col("comment_count").cast("long").alias("comments"))
@@ -87,14 +98,16 @@ def graph_comments(spark, sf_dir):
     return said.select("conv_id", F.col("n").cast("long").alias("n"), F.sha2(F.get_json_object("said", "$.message"), 256).alias("text_sha"))
 
 
-QUERIES = {"graph_chains": graph_chains, "graph_comments": graph_comments, "binpb_round_trip": round_trip, "import_rows": import_rows, "import_counters": import_counters}
+QUERIES = {"graph_chains": graph_chains, "graph_comments": graph_comments, "binpb_round_trip": round_trip, "binpb_source_round_trip": source_round_trip, "import_rows": import_rows, "import_counters": import_counters}
+_ROUND_TRIP = f"""with {POSTS} select source, id::varchar as source_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created, visibility, sha256(content_text) as text_sha, lang || ',' || source_name as tags, reshared_from_author as author,
+        (id in (select conv_id from conversations))::bigint as comments from posts"""
 ORACLE_SQL = {
+    "binpb_source_round_trip": _ROUND_TRIP,
     "graph_chains": f"""with n as (select o_custkey as customer, o_orderkey as post, o_orderpriority as message, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders)
         select customer, n // {POSTS_PAGE} as place, n % {POSTS_PAGE} as pos, post, message from n where customer % 10 <> 0 or n < 2 * {POSTS_PAGE}""",
     "graph_comments": f"""with n as (select conv_id, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as n, count(*) over (partition by conv_id) as all_ from conversations where conv_id is not null and turn is not null)
         select conv_id, n, sha256(text) as text_sha from n where conv_id % 4 in (0, 1) or conv_id % 4 = 3 and all_ <= {COMMENTS_PAGE}""",
-    "binpb_round_trip": f"""with {POSTS} select source, id::varchar as source_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created, visibility, sha256(content_text) as text_sha, lang || ',' || source_name as tags, reshared_from_author as author,
-        (id in (select conv_id from conversations))::bigint as comments from posts""",
+    "binpb_round_trip": _ROUND_TRIP,
     "import_rows": f"""with {POSTS} select 4 as source, id::varchar as source_id, visibility, reshared_from_author, id % 9 as reactions, (id in (select conv_id from conversations))::bigint as comments from posts""",
     "import_counters": f"with {POSTS} select count(*) as records, count(*) filter (content_text = '') as empty, count(*) filter (created_at is null) as undated, count(*) filter (id in (select conv_id from conversations)) as discussed from posts",
 }
