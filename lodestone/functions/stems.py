@@ -14,12 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Step = Callable[[Column], Column]
-
+from lodestone.functions.text import let
 
-def let(value: Column, body: Step) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+Step = Callable[[Column], Column]
 
 
 def chained(word: Column, steps: list[Step]) -> Column:

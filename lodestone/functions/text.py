@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ URL = r"(?i)https?://\S+|www\.\S+"
 WORD = "[а-яёa-z]{3,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -141,10 +148,17 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
 
 
+def titled(c: Column) -> Column:
+    """Each run of letters with a capital at its start."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+
+
 def humanise(c: Column) -> Column:
-    """A profile's slug as a name: dots are blanks, digits at the end go, CamelCase is split."""
-    c = F.regexp_replace(F.regexp_replace(c, r"\.", " "), r"\d+$", "")
-    return F.initcap(F.trim(F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")))
+    """A profile's slug as a name: parts between dots are words, and those of digits at the end go; without a dot CamelCase is split."""
+    dotted = F.regexp_replace(c, r"^\d+(?:\.\d+)*$|(?:\.\d+)+$", "")
+    words = F.when(~c.contains("."), F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")).when(dotted == "", c).otherwise(F.replace(dotted, F.lit("."), F.lit(" ")))
+    return titled(words)
 
 
 def any_of(c: Column, parts: tuple[str, ...]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
+
 # Query parameters that don't change which post a URL names.
 COMMENT_PARAMS = ("comment_id", "reply_comment_id")
 TRACKING_PARAMS = ("__cft__", "__tn__", "eid", "refid", "refsrc")
@@ -25,6 +27,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
+def netloc(url: Column) -> Column:
+    """The host with what stands beside it, in lower case; also of URLs that a strict reading refuses."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+
+
+def site(url: Column) -> Column:
+    return F.regexp_replace(netloc(url), r"^www\.", "")
+
+
+def loose_path(url: Column) -> Column:
+    """The path, without parameters of its last part; also of URLs that a strict reading refuses."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), ";[^/]*$", "")
+
+
 def first_segment(url: Column) -> Column:
     return F.regexp_extract(path(url), r"^/+([^/]+)", 1)
 
@@ -40,6 +56,11 @@ def quote(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def percent(c: Column) -> Column:
+    """As a part of a URL: blanks are %20."""
+    return F.replace(quote(c), F.lit("+"), F.lit("%20"))
+
+
 def without_params(url: Column, names: tuple[str, ...]) -> Column:
     """The URL without its fragment and these parameters; of a parameter that repeats the first stays."""
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
@@ -110,10 +131,18 @@ def video_link(url: Column) -> Column:
     return F.when(wraps & param(inner, "v").isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), param(inner, "v"))).otherwise(url)
 
 
+# Hosts of watch pages, and of short links.
+WATCH_HOSTS, SHORT_HOST = ("youtube.com", "youtube-nocookie.com"), "youtu.be"
+
+
 def video_id(url: Column) -> Column:
-    """The id of a video by watch page, short link, embed or shorts."""
-    found = lambda pattern: F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
-    return F.when(domain(url).isin("youtube.com", "m.youtube.com"), F.coalesce(param(url, "v"), found(r"/(?:embed|shorts)/([\w-]+)"))).when(domain(url) == "youtu.be", found(r"youtu\.be/([\w-]+)"))
+    """The id of a video by watch page, attribution link or short link, else an empty text."""
+
+    def found(inner: Column) -> Column:
+        watched, short = F.coalesce(param(inner, "v"), F.lit("")), F.regexp_replace(loose_path(inner), "^/+", "")
+        return let(site(inner), lambda host: F.when(host.isin(*WATCH_HOSTS), watched).when(host == SHORT_HOST, short).otherwise(""))
+
+    return let(video_link(url), found)
 
 
 def unwrapped(url: Column) -> Column:

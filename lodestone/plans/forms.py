@@ -111,7 +111,7 @@ ORACLE_SQL = {
             case page_id % 3 when 0 then 'https://s.example/' || page_id || '.jpg' when 1 then 's.example' else 'https://s.example/plain.jpg' end as target from pages)
         select page_id, case page_id % 5 when 0 then 'https://www.youtube.com/watch?v=V' || page_id when 1 then 'https://youtu.be/V' || page_id || '?t=3' when 2 then 'https://youtube.com/embed/V' || page_id
             when 3 then 'https://m.youtube.com/watch?list=L&v=V' || page_id else 'https://v.example/watch?v=1' end as video,
-        case when page_id % 5 in (1, 2, 3) then 'V' || page_id end as video_id, target, [2, 3, 1, 2][(page_id % 4 + 1)::int]::bigint as kind, case when page_id % 3 = 2 then 2 else 1 end::bigint as file_kind, page_id % 4 = 0 as audio,
+        case when page_id % 5 in (0, 1) then 'V' || page_id else '' end as video_id, target, [2, 3, 1, 2][(page_id % 4 + 1)::int]::bigint as kind, case when page_id % 3 = 2 then 2 else 1 end::bigint as file_kind, page_id % 4 = 0 as audio,
         'media/' || case when page_id % 2 = 0 then '2019/07' else 'unknown' end || '/' || case when page_id % 3 = 1 then substr(sha256(n), 1, 16) || '.png' else n end as path,
         case page_id % 3 when 0 then 'photo_' || page_id || '_1_.jpg' when 1 then repeat('n', 120) else n end as safe,
         case page_id % 3 when 0 then n when 1 then 'c1' else 'alc_' || substr(sha256('https://s.example/plain.jpg'), 1, 16) end as comment from n""",

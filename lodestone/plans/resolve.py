@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import rules
 from lodestone.functions import urls as U
 from lodestone.functions.text import humanise
 from lodestone.operators import asof, keep, links, merge, threads
@@ -255,16 +254,8 @@ def network_threads(spark, sf_dir):
     return threads.across_networks(rows, 48 * 3600, 0.75)
 
 
-def url_rules(spark, sf_dir):
-    """What the rules say of captured URLs, made in several forms from pages."""
-    k = F.col("page_id")
-    forms = F.array(*[F.concat(F.lit(a), k.cast("string"), F.lit(b)) for a, b in (("https://f.example/Me/posts/", ""), ("https://f.example/settings/posts/", ""), ("https://pbs.twimg.com/media/", ".jpg"), ("https://pbs.twimg.com/profile_images/", ".png"), ("https://bit.ly/", ""))])
-    rows = table(spark, sf_dir, "pages").select("page_id", F.get(forms, (k % 5).cast("int")).alias("u"))
-    return rows.select("page_id", rules.is_content(F.col("u")).alias("content"), rules.keeps_image(F.col("u")).alias("image"), rules.is_shortened(F.col("u")).alias("short"), rules.on_own_profile(F.col("u"), F.lit("me")).alias("own"), rules.reclassified(F.lit(4), F.col("u")).alias("kind"), rules.safe_extension(F.col("u")).alias("ext"))
-
-
 QUERIES = {
-    "network_threads": network_threads, "url_rules": url_rules,
+    "network_threads": network_threads,
     "dedup_longest": dedup_longest, "dedup_newest": dedup_newest, "dedup_first": dedup_edge(keep.first), "dedup_last": dedup_edge(keep.last), "id_suffixes": id_suffixes, "slug_collisions": slug_collisions,
     "owner_mode": owner_mode, "segment_mode": segment_mode, "crosspost_antijoin": crosspost_antijoin, "whitelist_semijoin_guarded": whitelist, "reshare_pairs": reshare_pairs, "reshare_text_pairs": reshare_text_pairs,
     "asof_thread_anchor": asof_thread, "asof_comment_to_post": asof_comment, "comment_parent_match": comment_parents, "comment_external_antijoin": external_comments, "caps_per_kind": caps_per_kind,
@@ -287,7 +278,6 @@ ORACLE_SQL = {
     "network_threads": """with p as (select vec_id as id, vec_id % 4 as source, (vec_id * 7919) % 100003 * 600 as at, embedding::double[] as v from embeddings),
         d as (select a.id as a, b.id as b, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) + 0.0 as distance from p a, p b
             where a.source <> b.source and b.at - a.at <= 172800 and (a.at < b.at or (a.at = b.at and a.id < b.id))) select a, b, distance from d where distance <= 0.75""",
-    "url_rules": "select page_id, page_id % 5 = 0 as content, page_id % 5 = 2 as image, page_id % 5 = 4 as short, page_id % 5 = 0 as own, case when page_id % 5 in (2, 3) then 1 else 4 end as kind, case when page_id % 5 = 3 then 'png' else 'jpg' end as ext from pages",
     "dedup_longest": "select conv_id, turn, text from conversations qualify row_number() over (partition by conv_id order by length(text) desc, turn) = 1",
     "dedup_newest": "select user_id, event_id, epoch_us(ts) as at, value from events qualify row_number() over (partition by user_id order by ts desc, event_id) = 1",
     "dedup_first": f"with {_E} select user_id, event_type, event_id, e.at as \"at\" from e qualify row_number() over (partition by user_id, event_type order by e.at, event_id) = 1",
@@ -321,7 +311,7 @@ ORACLE_SQL = {
     "reaction_counts_two_keys": f"""with p as (select page_id, url, {_SAME} as key from pages), u as (select url, max(page_id % 7) as n from p where page_id % 2 = 0 group by 1), k as (select key, max(page_id % 11) as k from p where page_id % 5 <> 0 group by 1)
         select page_id, coalesce(nullif(n, 0), nullif(k, 0), 0) as reactions from p left join u on u.url = p.url left join k on k.key = p.key""",
     "first_attachment": "select l_orderkey, l_partkey from lineitem where l_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R') qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) = 1",
-    "display_names": "select c_custkey, coalesce(n_name, 'Max Muster') as name from customer left join nation on n_nationkey = c_custkey % 50",
+    "display_names": "select c_custkey, coalesce(n_name, 'Max Muster' || c_custkey % 50) as name from customer left join nation on n_nationkey = c_custkey % 50",
     "prefix_names": """with n as (select regexp_extract(url, '^([a-z]+://[^/]+/[a-z]+)', 1) as prefix, 'name' || page_id as name from pages where page_id % 4 = 0)
         select page_id, arg_min(name, (-length(prefix), name)) as name from pages join n on starts_with(url, prefix) and (length(url) = length(prefix) or substr(url, length(prefix) + 1, 1) in ('/', '?', '#')) where prefix <> '' group by 1""",
     "original_posts": """with r as (select doc_id as id, doc_id // 2 as target, doc_id % 4 < 2 as direct from documents where doc_id % 3 = 0)

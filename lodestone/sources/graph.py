@@ -84,11 +84,6 @@ def with_edge_comments(records: DataFrame, edge: DataFrame, empty: DataFrame | N
     return joined.withColumn("comments", F.when(wanted, F.col("more")).otherwise(F.col("comments"))).drop("more").select(*records.columns)
 
 
-def embed_url(url) -> F.Column:
-    """A URL as the network's player takes it."""
-    return F.concat(F.lit("https://www.facebook.com/plugins/post.php?href="), F.replace(F.url_encode(url), F.lit("+"), F.lit("%20")))
-
-
 def video_id(url) -> F.Column:
     found = lambda pattern: F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
     return F.coalesce(U.param(url, "v"), found(r"/videos/(?:[^/]+/)?(\d+)"), found(r"/reel/(\d+)"))

@@ -154,5 +154,46 @@ def test_audio_stream(spark):
 
 def test_slug_and_names(spark):
     assert one(spark, T.slug(F.col("c")), c="Été à la Mer, 2024!") == "ete-a-la-mer-2024"
-    assert one(spark, T.humanise(F.col("c")), c="max.musterMann12") == "Max Muster Mann"
+    for slug, name in {"john.doe.42": "John Doe", "FeldmanEvgeny": "Feldman Evgeny", "mike99": "Mike99", "mike.tamm.9": "Mike Tamm", "42.7": "42.7", "max.musterMann12": "Max Mustermann12", "o'neil": "O'Neil", "": ""}.items():
+        assert one(spark, T.humanise(F.col("c")), c=slug) == name
     assert one(spark, T.question_key(F.col("c")), c="  What\n IS ") == one(spark, T.question_key(F.col("c")), c="what is")
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://www.facebook.com/me/posts/pfbid0", True),
+        ("https://m.facebook.com/story.php?story_fbid=1&id=2", True),
+        ("https://www.facebook.com/photo/?fbid=1", True),
+        ("https://www.facebook.com/reel/123/?s=tab", True),
+        ("https://www.facebook.com/reel/?s=tab", False),
+        ("https://www.facebook.com/x?fbid=1", False),
+        ("https://www.facebook.com/groups/1/permalink/2", False),
+        ("https://l.facebook.com/posts/1", False),
+        ("https://f.example/posts/1", False),
+        (None, False),
+    ],
+)
+def test_content_urls(spark, url, want):
+    from lodestone.functions import rules
+
+    assert one(spark, rules.is_content(F.col("c")), c=url) is want
+
+
+def test_embeds(spark):
+    from lodestone.functions import rules
+
+    for url, want in {"https://x.com/a/status/12/#x": "https://twitter.com/a/status/12", "http://www.twitter.com/A_b/statuses/7?s=1": "https://twitter.com/A_b/status/7", "https://mobile.twitter.com/a/status/1": "", "https://x.com/a": "", None: ""}.items():
+        assert one(spark, rules.tweet_embed(F.col("c")), c=url) == want
+    play = "https://www.facebook.com/plugins/"
+    assert one(spark, rules.video_embed(F.col("c")), c="https://www.facebook.com/a/videos/1/?x=a b") == f"{play}video.php?height=314&href=https%3A%2F%2Fwww.facebook.com%2Fa%2Fvideos%2F1%2F%3Fx%3Da%20b&show_text=false&width=560"
+    assert one(spark, rules.post_embed(F.col("c")), c="https://fb.com/a/posts/1") == f"{play}post.php?height=600&href=https%3A%2F%2Ffb.com%2Fa%2Fposts%2F1&show_text=true&width=500"
+    assert one(spark, rules.video_embed(F.col("c")), c="https://f.example/reel/1") == "" == one(spark, rules.post_embed(F.col("c")), c="https://f.example/x")
+    for source, theirs, own, want in [(4, "", "u", True), (3, "", "u", False), (3, "u", None, True), (3, "https://facebook.com/a/1/", "https://www.facebook.com/a/1#x", False), (3, "https://facebook.com/a/1", "https://facebook.com/A/2", False), (3, "https://facebook.com/b/1", "https://facebook.com/a/2", True)]:
+        frame = spark.createDataFrame([(source, theirs, own)], "s int, t string, o string")
+        assert frame.select(rules.shows_frame(F.col("s"), F.col("t"), F.col("o")).alias("x")).first().x is want
+
+
+def test_video_ids(spark):
+    for url, want in {"https://www.youtube.com/watch?a=1&v=AbC": "AbC", "https://youtu.be/AbC?t=1": "AbC", "https://youtube-nocookie.com/x?v=1": "1", "https://youtube.com/attribution_link?u=/watch%3Fv%3DAbC": "AbC", "https://m.youtube.com/watch?v=1": "", "https://youtube.com/embed/1": "", None: ""}.items():
+        assert one(spark, urls.video_id(F.col("c")), c=url) == want

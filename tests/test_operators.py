@@ -139,10 +139,23 @@ def test_tree_survives_bad_markup():
     assert htmltags.page_card("<title>T</title><meta property='og:title' content='O'><meta name=description content=D>")["title"] == "O"
 
 
+OUT = 'target="_blank" rel="noopener noreferrer"'
+
+
 def test_linkify():
-    names = {"Max": "/max", "Max Muster": "/mm"}
-    got = linkify.linked("Max Muster & <b> https://x.example/a?b=1&c=2. @you #Tag", names, linkify.pattern(names))
-    assert got == '<a href="/mm">Max Muster</a> &amp; &lt;b&gt; <a href="https://x.example/a?b=1&amp;c=2" rel="nofollow">https://x.example/a?b=1&amp;c=2</a>. <a href="https://x.com/you">@you</a> <a href="/tag/tag/">#Tag</a>'
+    names = {"Max": "/max", "Max Muster": "/mm", "Nobody": ""}
+    got = linkify.linked("Max Muster & <b> https://x.example/a?b=1&c=2. Maximal @you Nobody", names, linkify.pattern(names))
+    assert got == f'<a href="/mm" {OUT}>Max Muster</a> &amp; &lt;b&gt; <a href="https://x.example/a?b=1&amp;c=2" {OUT}>https://x.example/a?b=1&amp;c=2</a> <a href="/max" {OUT}>Max</a>imal @you Nobody'
+    assert linkify.linked("'https://x.example/a(b)!?'\">, <i>", {}, linkify.pattern({})) == f'&#x27;<a href="https://x.example/a(b" {OUT}>https://x.example/a(b</a> &lt;i&gt;'
+    assert linkify.linked(None, {}, linkify.pattern({})) == ""
+
+
+def test_linkify_messages():
+    assert linkify.linked_message("@you_1 #Tag #тег_2, ünd@x\nhttps://x.example/\n\nlong/path, end") == (
+        f'<a href="https://x.com/you_1" {OUT}>@you_1</a> <a href="https://x.com/search?q=%23Tag" {OUT}>#Tag</a> <a href="https://x.com/search?q=%23%D1%82%D0%B5%D0%B3_2" {OUT}>#тег_2</a>, ünd<a href="https://x.com/x" {OUT}>@x</a>\n'
+        f'<a href="https://x.example/long/path" {OUT}>https://x.example/long/path</a> end'
+    )
+    assert linkify.linked_message("#é @é <3") == "#é @é &lt;3" and linkify.linked_message(None) == ""
 
 
 def test_caps(spark):
