@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import rolling
 from lodestone.plans.views import ATTEMPTS, attempts, micros
-from lodestone.session import table
+from lodestone.session import shared_dir, table
 from lodestone.streaming import events as S
+from lodestone.streaming import snapshots, stateful
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 LIMIT = 3
@@ -84,16 +87,50 @@ def stream_dedup(spark, sf_dir):
 
 
 def stream_longest(spark, sf_dir):
-    return S.drained(S.longest_of_key(stream(spark, sf_dir), ["user_id", "event_type"], "props", "event_id"), "complete")
+    return S.drained(S.longest_of_key(stream(spark, sf_dir), ["user_id", "event_type"], "props", "event_id"), "update", ["user_id", "event_type"])
 
 
 def stream_admitted(spark, sf_dir):
     return S.drained(S.admitted(stream(spark, sf_dir), LIMIT), "append", S.CALL).select("event_id", "user_id", "admitted")
 
 
+#: A question's model; premium answers are rare, so that others are left after the last of them.
+MODELS = ("base", "base-3", "base-3-2025", "other", "base-4")
+
+
+def cache_writes(events):
+    model = F.get(F.array(*map(F.lit, MODELS)), (F.col("event_id") % 5).cast("int"))
+    model = F.when(F.col("event_id") % 29 == 0, "premium").otherwise(model)
+    return events.select((F.col("user_id") % 60).alias("question"), model.alias("model"), "event_id", "ts").where("question % 4 <> 1 or model <> 'base-3'")
+
+
+def stream_cache(spark, sf_dir):
+    """What each question's cache gives to one who asks for base-3, after all writes."""
+    sent = S.drained(stateful.cache(cache_writes(stream(spark, sf_dir)), "base-3"), "update", ["question"], rocks=True)
+    return sent.where("model is not null")
+
+
+def stream_harvest(spark, sf_dir):
+    """Each key with its longest text, as stream_longest, from state that holds no texts."""
+    items = stream(spark, sf_dir).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("event_id").alias("seq"), F.col("props").alias("body"), "ts")
+    return S.drained(stateful.harvest(items), "update", ["key"], rocks=True)
+
+
+def keyed_snapshots(spark, sf_dir):
+    """The last snapshot of a stream that ends after the files that are there, and goes on from its checkpoint when more have come."""
+    folder = f"{shared_dir(spark)}/snapshots-{uuid4().hex}"
+    keys, events = ["user_id", "event_type"], table(spark, sf_dir, "events")
+    for some in ("event_id % 3 = 0", "event_id % 3 <> 0 or event_id is null"):
+        events.where(some).repartition(4).write.mode("append").parquet(f"{folder}/in")
+        rows = S.longest_of_key(S.event_stream(spark, f"{folder}/in", files=1), keys, "props", "event_id")
+        S.run(rows, "update", folder, snapshots.sink(f"{folder}/out", keys, fold=3))
+    return snapshots.read(spark, f"{folder}/out", keys)
+
+
 QUERIES = {
     "tumbling_counts": tumbling_counts, "sliding_counts": sliding_counts, "session_counts": session_counts, "late_filtered": late_filtered, "ip_window_count": ip_window, "site_window_count": site_window,
     "premium_quota": premium_quota, "admitted_attempts": admitted, "stream_tumbling": stream_tumbling, "stream_sessions": stream_sessions, "stream_dedup": stream_dedup, "stream_longest": stream_longest, "stream_admitted": stream_admitted,
+    "stream_cache": stream_cache, "stream_harvest": stream_harvest, "keyed_snapshots": keyed_snapshots,
 }
 
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -122,3 +159,10 @@ ORACLE_SQL = {
     "stream_dedup": "select distinct user_id, event_type from events",
 }
 ORACLE_SQL["stream_longest"] = "select user_id, event_type, event_id, props from events qualify row_number() over (partition by user_id, event_type order by length(coalesce(props, '')) desc, event_id) = 1"
+ORACLE_SQL["keyed_snapshots"] = ORACLE_SQL["stream_longest"]
+ORACLE_SQL["stream_harvest"] = "select user_id || '/' || event_type as key, event_id as seq, props as body from events qualify row_number() over (partition by user_id, event_type order by length(coalesce(props, '')) desc, event_id) = 1"
+ORACLE_SQL["stream_cache"] = f"""with w as (select user_id % 60 as question, case when event_id % 29 = 0 then 'premium' else {list(MODELS)}[(event_id % 5 + 1)::int] end as model, ts, event_id from events),
+    l as (select question, model, max((ts, event_id)) as last from w where question % 4 <> 1 or model <> 'base-3' group by 1, 2),
+    s as (select a.question, a.model, a.last from l a left join l p on p.question = a.question and p.model = 'premium' where a.model = 'premium' or p.last is null or a.last > p.last),
+    r as (select *, case when model = 'base-3' then 1 when starts_with(model, 'base-3') or starts_with('base-3', model) then 2 when model = 'premium' then 3 end as rank from s)
+    select question, model, last[2] as event_id from r where rank is not null qualify row_number() over (partition by question order by rank, last desc) = 1"""

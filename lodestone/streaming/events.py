@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.session import shared_dir
+from lodestone.streaming.stateful import PROVIDER, ROCKS
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -109,7 +110,23 @@ def admitted(events: DataFrame, limit: int = 3, span_s: int = 86_400, late: str
 CALL = ["user_id", "event_id", "at", "copy"]
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def run(stream: DataFrame, mode: str, folder: str, write: Callable[[DataFrame, int], None], rocks: bool = False) -> None:
+    """Run over all that is there, from where the checkpoint in `folder` stands; `rocks` for state with maps and timers, which needs that store."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    if rocks:
+        conf.set(PROVIDER, ROCKS)
+    try:
+        started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        if rocks and before is not None:
+            conf.set(PROVIDER, before)
+        elif rocks:
+            conf.unset(PROVIDER)
+    started.awaitTermination()
+
+
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None, rocks: bool = False) -> DataFrame:
     """Run over all that is there, then read the sink: with `complete` the last state, with `append` and `update` all that was sent, or of `keys` the last."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
@@ -117,7 +134,7 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    run(stream, mode, folder, write, rocks)
     sent = spark.read.parquet(f"{folder}/out")
     if keys:
         rest = [c for c in stream.columns if c not in keys]
