@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,7 +70,9 @@ class Page:
 def read(source: str | None) -> Page:
     page, source = Page(), source or ""
     stack, names, pieces = [0], ["#root"], []
+    opened: Counter[str] = Counter()  # how often each name is among the open ones, so that an end tag costs a look-up
     muted: list[str] = []  # the element that hides its text and what is open inside it
+    hidden: Counter[str] = Counter()  # the same for these
     last_end: dict[str, int] = {}
     links = linked = 0
 
@@ -89,6 +92,14 @@ def read(source: str | None) -> Page:
             if links:
                 linked += len(raw)
 
+    def hide(name: str) -> None:
+        muted.append(name)
+        hidden[name] += 1
+
+    def show() -> None:
+        muted.clear()
+        hidden.clear()
+
     def ends_later(name: str) -> bool:
         if name not in last_end:
             last_end[name] = max((m.start() for m in END[name].finditer(source)), default=-1)
@@ -106,23 +117,24 @@ def read(source: str | None) -> Page:
         name, closing = m[2].lower(), bool(m[1])
         if muted:
             if closing:
-                if name in muted:
-                    while muted.pop() != name:
-                        pass
+                if hidden[name]:
+                    while (gone := muted.pop()) != name:
+                        hidden[gone] -= 1
+                    hidden[name] -= 1
                     continue
-                if name not in names[1:] or name in INLINE:
+                if not opened[name] or name in INLINE:
                     continue
-                muted.clear()  # the element around it ends
+                show()  # the element around it ends
             elif name in RAW:
                 end = SKIP[name].search(source, at)
                 at = end.end() if end else len(source)
                 continue
             elif muted[0] not in PHRASES_ONLY or name in INLINE or name in VOID or name in ("option", "optgroup", *MUTE):
                 if name not in VOID and name not in INLINE and not m[3].endswith("/"):
-                    muted.append(name)
+                    hide(name)
                 continue
             else:
-                muted.clear()  # no list of options holds a block
+                show()  # no list of options holds a block
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
@@ -137,19 +149,21 @@ def read(source: str | None) -> Page:
                 at = end.end() if end else len(source)
         elif name in MUTE:
             if not closing and not m[3].endswith("/") and (name in PHRASES_ONLY or ends_later(name)):
-                muted.append(name)
+                hide(name)
         elif closing:
-            if name in names[1:]:
+            if opened[name]:
                 flush()
-                while names.pop() != name:
+                while (gone := names.pop()) != name:
+                    opened[gone] -= 1
                     stack.pop()
+                opened[name] -= 1
                 stack.pop()
                 links = 0
         else:
             flush()
             # a block ends an open paragraph; items, rows and cells end their like
             while len(stack) > 1 and (names[-1] == "p" or names[-1] in (CLOSED_BY.get(name) or ()) and not (name in ("td", "th") and names[-1] == "tr")):
-                names.pop()
+                opened[names.pop()] -= 1
                 stack.pop()
             page.parent.append(stack[-1])
             page.depth.append(page.depth[stack[-1]] + 1)
@@ -161,8 +175,9 @@ def read(source: str | None) -> Page:
             page.clues.append(clues)
             stack.append(len(page.parent) - 1)
             names.append(name)
+            opened[name] += 1
             links = 0
-    muted.clear()
+    show()
     if at < len(source):
         say(source[at:].partition("<!--")[0])
     flush()

@@ -81,6 +81,16 @@ def test_odd_pages(spark, model):
     assert html_text.extract(df.limit(0), model).count() == 0
 
 
+def test_deep_nesting_takes_linear_time():
+    """Hundred thousand open elements, as many end tags of others, and the same inside of what is hidden."""
+    import time
+
+    n, began = 100_000, time.perf_counter()
+    for source in ("<div>" * n + "</xyz>" * n + "end", "<svg>" + "<g>" * n + "</xyz>" * n + "</svg>end", "<div><p>" * n + "</p></div>" * n + "end"):
+        assert html_text.read(source).blocks[-1][1] == "end"
+    assert time.perf_counter() - began < 30
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in range(9):
