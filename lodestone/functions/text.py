@@ -136,6 +136,17 @@ def question_key(c: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"(?U)\s+", " "), 256)
 
 
+def address_digest(address: Column, salt: str) -> Column:
+    """What stands for a caller's address, which is itself never kept; callers without one are one caller."""
+    return F.when(F.coalesce(address, F.lit("")) == "", "").otherwise(F.sha2(F.concat(F.lit(f"{salt}|"), address), 256))
+
+
+def caller_address(real: Column, forwarded: Column, remote: Column) -> Column:
+    """The address that a proxy names, else the first of those it was forwarded for, else that of the connection."""
+    some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    return F.coalesce(strip(some(real)), strip(F.split(some(forwarded), ",")[0]), remote)
+
+
 def embed_input(title: Column, body: Column, most: int = 32_000) -> Column:
     parts = F.array(strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(body, F.lit(""))))
     return F.substring(collapse(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")), 1, most)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lodestone.sources.schema import LINK
 
@@ -40,6 +41,20 @@ def hinted_first(rows: DataFrame, hinted: Column, seq: str) -> DataFrame:
     return rows.orderBy(F.when(hinted, 0).otherwise(1), seq)
 
 
+#: The order in which a reader expects words: that of Unicode's root locale, accents and case after letters.
+LOCALE = "UNICODE"
+
+
+def collated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in a locale's order of a text, equal ones by bytes; a sort over all tasks."""
+    return rows.orderBy(F.collate(key, LOCALE), key)
+
+
+def in_order(key: str, groups: list) -> WindowSpec:
+    """The same order within groups."""
+    return Window.partitionBy(*groups).orderBy(F.collate(key, LOCALE), key)
+
+
 def by_time(rows: DataFrame, at: str, key: str) -> DataFrame:
     """The order of an export: by time, undated rows first."""
     return rows.orderBy(F.asc_nulls_first(at), key)

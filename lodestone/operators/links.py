@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import apart
+
 #: A reshare without its original.
 MISSING = "(original post not available)"
 
@@ -18,7 +20,7 @@ def by_first_key(rows: DataFrame, row_id: str, candidates: list[Column], found:
 
 def seen_once(entries: DataFrame, owner: str, path: str) -> DataFrame:
     """Entries whose path no other owner has. Owners are compared by least and largest, so a path of all owners costs no more."""
-    shared = entries.groupBy(path).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi")).where("_lo < _hi").select(path)
+    shared = entries.groupBy(path).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi")).where("_lo < _hi").select(apart(path))
     return entries.join(shared, path, "left_anti")
 
 
@@ -41,6 +43,7 @@ def reshare_states(rows: DataFrame) -> DataFrame:
     flagged = flagged.withColumn("_other_flag", F.col("reshare") & ~F.col("own")).withColumn("_text", F.sha2("text", 256))
     by_text = flagged.where("_own_flag or _other_flag").groupBy("_text").agg(
         F.min(F.when(F.col("_own_flag"), F.col("seq"))).alias("_first_own"), F.max(F.when(F.col("_other_flag"), F.struct("seq", "id"))).alias("_last_other"))
+    by_text = by_text.select(apart("_text"), "_first_own", "_last_other")
     joined = flagged.join(by_text, "_text", "left")
     other = F.col("_last_other.id")
     paired = F.col("_first_own").isNotNull() & other.isNotNull()

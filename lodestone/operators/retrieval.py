@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +109,27 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def by_size(vectors: pa.Array) -> dict[int, np.ndarray]:
+    """A batch of vectors, all of one size, as a matrix under that size; nothing for an empty batch."""
+    sizes = {len(v) for v in vectors}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sorted(sizes)} numbers")
+    return {n: vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for n in sizes}
+
+
+def first_of(ids: np.ndarray, found: np.ndarray, distance: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, distance): each query's first `most` of the rows `found`, by `distance` (rows by queries) and id, itself left out."""
+    for k, query in enumerate(ids):
+        near = distance[:, k]
+        if len(near) > most + 1:  # the query itself may be among the first; all that tie with the last stay until ids decide
+            at = np.flatnonzero(near <= np.partition(near, most)[most])
+        else:
+            at = np.arange(len(near))
+        at = at[found[at] != query]
+        at = at[np.lexsort((found[at], near[at]))[:most]]
+        yield pa.record_batch({"query_id": np.full(len(at), query), "vec_id": found[at], "distance": near[at]})
+
+
 def nearest_batch(queries: DataFrame, vectors: DataFrame, most: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, distance, rank): each query's nearest vectors, itself left out.
 
@@ -127,21 +148,16 @@ def nearest_batch(queries: DataFrame, vectors: DataFrame, most: int, block: int
         ids = np.array([r.query_id for r in rows])
         shared = spark.sparkContext.broadcast((ids, unit(np.array([r.embedding for r in rows], dtype=np.float64))))
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, asked = shared.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                found = batch.vec_id.to_numpy()
-                distance = np.round(1 - unit(np.stack(batch.embedding).astype(np.float64)) @ asked.T, 9) + 0.0
-                parts = []
-                for k, query in enumerate(ids):
-                    at = np.flatnonzero(found != query)
-                    at = at[np.lexsort((found[at], distance[at, k]))[:most]]
-                    parts.append(pd.DataFrame({"query_id": query, "vec_id": found[at], "distance": distance[at, k]}))
-                yield pd.concat(parts)
-
-        part = vectors.select("vec_id", "embedding").mapInPandas(search, "query_id bigint, vec_id bigint, distance double")
+                found = batch.column(0).to_numpy(zero_copy_only=False)
+                for size, rows in by_size(batch.column(1)).items():
+                    if size != asked.shape[1]:
+                        raise ValueError(f"vectors of {size} and of {asked.shape[1]} numbers")
+                    yield from first_of(ids, found, np.round(1 - unit(rows) @ asked.T, 9) + 0.0, most)
+
+        part = vectors.select("vec_id", "embedding").mapInArrow(search, "query_id bigint, vec_id bigint, distance double")
         out = part if out is None else out.unionByName(part)
         if len(rows) < block:
             break

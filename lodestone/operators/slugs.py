@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import apart
+
 
 def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (family, seq). What is kept from row to row are the slugs of the family at hand."""
@@ -34,7 +36,7 @@ def unique(df: DataFrame, base: str, seq: list[str], stem: int = 0) -> DataFrame
     """
     rest = F.expr(f"substring({base}, {stem + 1})")
     df = df.withColumn("family", F.concat(F.substring(base, 1, stem), F.regexp_replace(rest, r"(-\d+)+$", "")))
-    counts = df.groupBy("family").agg(F.count("*").alias("_n"))
+    counts = df.groupBy("family").agg(F.count("*").alias("_n")).select(apart("family"), "_n")
     df = df.join(counts, "family")
     many = df.where("_n > 1").select("family", "id", F.col(base).alias("base"), *[c for c in seq if c != "id"]).repartition("family").sortWithinPartitions("family", *seq)
     slugs = many.mapInPandas(assign, "id bigint, slug string")

@@ -7,9 +7,10 @@ from uuid import uuid4
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.plans.views import POSTS, posts
-from lodestone.session import shared_dir, table
-from lodestone.sources import binpb, binpb_source, paging, schema
+from lodestone.session import cut, shared_dir, table
+from lodestone.sources import binpb, binpb_source, paging, schema, sinks, web_archive
 
 
 def as_records(spark, sf_dir):
@@ -98,10 +99,65 @@ def graph_comments(spark, sf_dir):
     return said.select("conv_id", F.col("n").cast("long").alias("n"), F.sha2(F.get_json_object("said", "$.message"), 256).alias("text_sha"))
 
 
-QUERIES = {"graph_chains": graph_chains, "graph_comments": graph_comments, "binpb_round_trip": round_trip, "binpb_source_round_trip": source_round_trip, "import_rows": import_rows, "import_counters": import_counters}
+def address_digests(spark, sf_dir):
+    """Callers by address: a proxy's header, else the first of a chain, else the connection's own; only salted digests are given out."""
+    k = F.col("c_custkey")
+    real = F.when(k % 3 == 0, F.concat(F.lit(" 10.0.0."), (k % 250).cast("string"))).when(k % 3 == 1, "")
+    forwarded = F.when(k % 2 == 0, F.concat(F.lit("10.1."), (k % 90).cast("string"), F.lit(".1 , 10.9.9.9")))
+    remote = F.when(k % 7 != 0, F.concat(F.lit("10.2.0."), (k % 200).cast("string")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", T.address_digest(T.caller_address(real, forwarded, remote), "salt").alias("digest"))
+    return rows.groupBy("digest").agg(F.count("*").alias("calls"), F.min("c_custkey").alias("first"))
+
+
+def profile_link_file(spark, sf_dir):
+    """Names and URLs of suppliers and customers written as one JSON object, and read again."""
+    path = f"{shared_dir(spark)}/profiles-{uuid4().hex}"
+    people = [table(spark, sf_dir, t).select(F.col(f"{c}_name").alias("name"), F.concat(F.lit('https://f.example/"'), F.col(f"{c}_{k}").cast("string")).alias("url")) for t, c, k in (("customer", "c", "custkey"), ("supplier", "s", "suppkey"))]
+    sinks.write_profile_links(people[0].union(people[1]).union(people[0].withColumn("url", F.concat("url", F.lit("x")))), path)
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "url"))
+
+
+def media_copies(spark, sf_dir):
+    """Pages as media files, put into folders by month; a name that is there already is left as it is."""
+    folder = f"{binpb_source.folder_of(shared_dir(spark))}/media-{uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    created = F.when(F.col("page_id") % 5 != 0, F.timestamp_seconds(F.lit(1_500_000_000) + F.col("page_id") * 86_400))
+    files = pages.select(F.concat(F.lit("from/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), created.alias("created_at"))
+    first = cut(sinks.copy_media(files.where("pmod(hash(name), 2) = 0"), folder))
+    again = cut(sinks.copy_media(files, folder))
+    both = again.join(first.select("name", F.col("copied").alias("before")), "name", "left")
+    return both.select("name", "local_path", (F.coalesce("before", F.lit(False)) != F.col("copied")).alias("once"))
+
+
+def found_snapshots(handle):
+    """A search that knows some snapshots of every handle but those that end in 7, and pages that are no messages."""
+    n = int(handle.rsplit("_", 1)[1])
+    if n % 10 == 7:
+        return []
+    return [(f"2019{1 + k:02d}01000000", f"https://twitter.com/{handle}/status/{n * 10 + k}") for k in range(n % 4)] + [("20190101000000", f"https://twitter.com/{handle}")]
+
+
+def snapshot_cache(spark, sf_dir):
+    """The snapshots of all suppliers' handles, half of which a search before has put into the cache."""
+    cache = f"{shared_dir(spark)}/snapshots-{uuid4().hex}"
+    handles = table(spark, sf_dir, "supplier").select(F.concat(F.lit(" @Supplier_"), F.col("s_suppkey").cast("string")).alias("handle"))
+    web_archive.snapshot_lists(handles.where("pmod(hash(handle), 2) = 0"), cache, found_snapshots)
+    return web_archive.snapshot_lists(handles, cache, found_snapshots)
+
+
+QUERIES = {
+    "address_digests": address_digests, "profile_link_file": profile_link_file, "media_copies": media_copies, "snapshot_cache": snapshot_cache,
+    "graph_chains": graph_chains, "graph_comments": graph_comments, "binpb_round_trip": round_trip, "binpb_source_round_trip": source_round_trip, "import_rows": import_rows, "import_counters": import_counters}
 _ROUND_TRIP = f"""with {POSTS} select source, id::varchar as source_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created, visibility, sha256(content_text) as text_sha, lang || ',' || source_name as tags, reshared_from_author as author,
         (id in (select conv_id from conversations))::bigint as comments from posts"""
 ORACLE_SQL = {
+    "address_digests": """with a as (select c_custkey as k, case when c_custkey % 3 = 0 then '10.0.0.' || c_custkey % 250 when c_custkey % 2 = 0 then '10.1.' || c_custkey % 90 || '.1' when c_custkey % 7 <> 0 then '10.2.0.' || c_custkey % 200 end as address from customer)
+        select case when address is null then '' else sha256('salt|' || address) end as digest, count(*) as calls, min(k) as first from a group by 1""",
+    "profile_link_file": """select c_name as name, 'https://f.example/"' || c_custkey as url from customer union all select s_name, 'https://f.example/"' || s_suppkey from supplier""",
+    "media_copies": """select page_id || '.html' as name, 'media/' || case when page_id % 5 <> 0 then strftime(to_timestamp(1500000000 + page_id * 86400) at time zone 'UTC', '%Y/%m') else 'unknown' end || '/' || page_id || '.html' as local_path, true as once from pages where page_id is not null""",
+    "snapshot_cache": """with s as (select s_suppkey as n, unnest(range(0, s_suppkey % 4)) as k from supplier where s_suppkey % 10 <> 7)
+        select 'supplier_' || n as handle, '20190' || (1 + k) || '01000000' as timestamp, 'https://twitter.com/supplier_' || n || '/status/' || (n * 10 + k) as url from s""",
     "binpb_source_round_trip": _ROUND_TRIP,
     "graph_chains": f"""with n as (select o_custkey as customer, o_orderkey as post, o_orderpriority as message, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders)
         select customer, n // {POSTS_PAGE} as place, n % {POSTS_PAGE} as pos, post, message from n where customer % 10 <> 0 or n < 2 * {POSTS_PAGE}""",

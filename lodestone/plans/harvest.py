@@ -67,13 +67,19 @@ def harvested_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url").distinct().orderBy("url").limit(PAGE)
 
 
+def collated_keys(spark, sf_dir):
+    """Every word of the documents in the order of a locale: its place among those of its language and length. By bytes é follows z, here e."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).distinct()
+    return words.withColumn("place", F.row_number().over(H.in_order("word", ["lang", F.length("word")])).cast("long"))
+
+
 def media_first(spark, sf_dir):
     return H.hinted_first(media(spark, sf_dir), F.col("media_type") == 1, "page_id").select("page_id").limit(PAGE)
 
 
 QUERIES = {
     "answers": answers, "clock_times": clock_times, "link_worklist": link_worklist, "link_worklist_all": link_worklist_all, "harvest_totals": harvest_totals, "harvest_provenance": harvest_provenance,
-    "backfill_totals": backfill_totals, "export_order": export_order, "harvested_keys": harvested_keys, "media_first": media_first,
+    "backfill_totals": backfill_totals, "export_order": export_order, "harvested_keys": harvested_keys, "collated_keys": collated_keys, "media_first": media_first,
 }
 
 _DAY = "epoch(timestamp '2024-03-05')::bigint"
@@ -90,5 +96,6 @@ ORACLE_SQL = {
         select count(*) filter (not empty and not known) as embedded, count(distinct conv_id) filter (not empty and not known) as posts_touched, count(*) filter (known and not empty) as skipped_hash, count(*) filter (empty) as skipped_empty from c""",
     "export_order": f"with {POSTS} select id from posts order by case when id % 40 <> 0 then created_at end nulls first, id limit {PAGE}",
     "harvested_keys": f"select distinct url from pages order by url limit {PAGE}",
+    "collated_keys": "with w as (select distinct lang, unnest(regexp_extract_all(text, '\\p{L}+')) as word from documents) select lang, word, row_number() over (partition by lang, length(word) order by word collate en_us, word) as place from w",
     "media_first": f"select page_id from pages order by page_id % 3 <> 0, page_id limit {PAGE}",
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What every session of our own sets; a cluster's own settings for memory, executors and checkpoints come on top.
 SETTINGS = {
@@ -25,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares. On one machine alone a temporary one does where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def apart(key: str) -> Column:
+    """A text as it is, which Spark doesn't know to be the same: rows that are summed by it and then joined on it are dealt out
+    twice, and the join, having an exchange of its own on both sides, can split a key with most rows."""
+    return F.concat(F.col(key), F.lit("")).alias(key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

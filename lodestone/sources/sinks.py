@@ -1,7 +1,11 @@
-"""What an archive gives out: feeds, sitemap shards and snapshots."""
+"""What an archive gives out: feeds, sitemap shards, snapshots, profile links and media."""
 
 from __future__ import annotations
 
+import os
+from uuid import uuid4
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +44,45 @@ def write_snapshot(rows: DataFrame, path: str, source: str | None = None) -> Non
     """The table by source; with `source` that one's rows alone are replaced."""
     writer = rows.write.partitionBy("source").mode("overwrite").option("partitionOverwriteMode", "dynamic" if source else "static")
     writer.parquet(path)
+
+
+def write_profile_links(names: DataFrame, path: str) -> None:
+    """Names and their URLs (name, url) as one JSON object, in one text file, by name; of a name that repeats the least URL."""
+    rows = names.where("name is not null and url is not null").groupBy("name").agg(F.min("url").alias("url"))
+    text = F.regexp_extract(F.to_json(F.create_map("name", "url")), r"(?s)^\{(.*)\}$", 1)
+    least = F.broadcast(rows.agg(F.min("name").alias("least")))  # one row
+    lines = rows.join(least, F.lit(True)).select(F.lit(1).alias("part"), "name", F.concat(F.when(F.col("name") == F.col("least"), "").otherwise(","), text).alias("value"))
+    spark = names.sparkSession
+    ends = spark.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, name string, value string")
+    # sorted by all tasks, then written by one as it streams by: the format is one file
+    lines.unionByName(ends).orderBy("part", "name").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def copy_media(files: DataFrame, folder: str) -> DataFrame:
+    """(name, local_path, copied) of `files` (name, content, created_at): each is put into media/<year>/<month> below `folder` unless it is there.
+
+    `folder` is mounted on all executors. A file appears under its name only when it is whole, and the first one stays.
+    """
+
+    def put(batches):
+        for batch in batches:
+            done = []
+            for where, name, content in zip(batch["at"], batch["name"], batch["content"]):
+                target = os.path.join(folder, "media", where, name)
+                new = not os.path.exists(target)
+                if new:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    temporary = os.path.join(os.path.dirname(target), f".{uuid4().hex}")
+                    with open(temporary, "wb") as f:
+                        f.write(content)
+                    try:
+                        os.link(temporary, target)
+                    except FileExistsError:
+                        new = False
+                    os.unlink(temporary)
+                done.append((name, f"media/{where}/{name}", new))
+            yield pd.DataFrame(done, columns=["name", "local_path", "copied"])
+
+    base = F.regexp_extract("name", r"([^/\\]+)$", 1)
+    rows = files.where(base != "").select(F.coalesce(F.date_format("created_at", "yyyy/MM"), F.lit("unknown")).alias("at"), base.alias("name"), "content")
+    return rows.mapInPandas(put, "name string, local_path string, copied boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,12 +13,38 @@ from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import keep
 from lodestone.operators.htmltags import Node, tree
+from lodestone.session import exists
 from lodestone.sources.schema import IMAGE, MEDIA, PUBLIC, TWITTER, record
 
 SNAPSHOTS = "array<struct<timestamp:string,url:string,original:string>>"
 PARSED = "status string, text string, iso string, utime bigint, author string, images array<string>, quote_url string, reply_url string, reply_author string"
 
 
+def snapshot_lists(handles: DataFrame, cache: str, search: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
+    """(handle, timestamp, url) of the snapshots of all `handles`: from the cache, or searched for and added to it.
+
+    search() takes a handle without @ in lower case and returns stamps and URLs; it runs in the tasks, once for each handle that the cache doesn't have.
+    A handle without snapshots is remembered too, one whose search fails is not. Only URLs of messages are kept.
+    """
+    spark = handles.sparkSession
+    asked = handles.select(F.lower(F.regexp_replace(T.strip(F.col("handle")), "^@", "")).alias("handle")).where("handle <> ''").distinct()
+    schema = "handle string, found boolean, timestamp string, url string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for handle in batch.handle:
+                try:
+                    hits = [h for h in search(handle) if "/status/" in h[1]]
+                except OSError:  # what a network does; asked again next time
+                    continue
+                yield pd.DataFrame([(handle, True, *h) for h in hits] or [(handle, False, None, None)], columns=["handle", "found", "timestamp", "url"])
+
+    known = spark.read.schema(schema).parquet(cache) if exists(spark, cache) else spark.createDataFrame([], schema)
+    new = asked.join(known.select("handle").distinct(), "handle", "left_anti").repartition("handle")
+    new.mapInPandas(run, schema).write.mode("append").parquet(cache)
+    return spark.read.schema(schema).parquet(cache).join(asked, "handle", "left_semi").where("found").select("handle", "timestamp", "url")
+
+
 def best_snapshots(snapshots: DataFrame) -> DataFrame:
     """(status, timestamp, url): of each message's snapshots (seq, timestamp, url) the newest, by its stamp as text; of equal ones the first."""
     rows = snapshots.where(F.col("url").contains("/status/")).withColumn("status", U.status_id(F.col("url"))).where("status is not null")
