@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import urls as U
 from lodestone.functions.text import humanise
-from lodestone.operators import asof, keep, links, merge, threads
+from lodestone.operators import asof, filetable, keep, links, merge, threads
 from lodestone.operators import slugs as S
 from lodestone.operators.pages import capped
 from lodestone.plans.views import POSTS, micros, post_slug, posts
-from lodestone.session import table
+from lodestone.session import shared_dir, table
 
 HOUR = 3_600_000_000
 REPLY_GAP, COMMENT_GAP = 72 * HOUR, 7 * 24 * HOUR
@@ -149,6 +151,28 @@ def merge_update(spark, sf_dir):
     return merge.update_fields(old, new, ["key"], "seq", ["status"], ["note"], ["count"])
 
 
+#: Rows of a file of the tables that merges by files change, and the share of keys that they change: those at the end.
+FILE_ROWS, CHANGED_FROM = 500, 0.8
+
+
+def by_files(spark, sf_dir, apply):
+    """A merge of the rows with the largest keys into a table of files; the rows of the version that it makes."""
+    old, new = merge_inputs(spark, sf_dir)
+    old, folder = old.withColumn("id", F.col("key").cast("string")), f"{shared_dir(spark)}/table-{uuid4().hex}"
+    filetable.create(old, folder, "key", FILE_ROWS)
+    most = new.agg(F.max("key")).first()[0] or 0
+    filetable.merge(spark, folder, "key", new.where(F.col("key") > int(most * CHANGED_FROM)), apply, FILE_ROWS)
+    return filetable.read(spark, folder).drop("id")
+
+
+def merge_files_update(spark, sf_dir):
+    return by_files(spark, sf_dir, lambda old, new: merge.update_fields(old, new, ["key"], "seq", ["status"], ["note"], ["count"]))
+
+
+def merge_files_upsert(spark, sf_dir):
+    return by_files(spark, sf_dir, lambda old, new: merge.upsert(old, new, ["key"], "seq"))
+
+
 def merge_actions(spark, sf_dir):
     old, new = merge_inputs(spark, sf_dir)
     return merge.actions(old, keep.first(new, ["key"], "seq"), ["key"])
@@ -259,7 +283,7 @@ QUERIES = {
     "dedup_longest": dedup_longest, "dedup_newest": dedup_newest, "dedup_first": dedup_edge(keep.first), "dedup_last": dedup_edge(keep.last), "id_suffixes": id_suffixes, "slug_collisions": slug_collisions,
     "owner_mode": owner_mode, "segment_mode": segment_mode, "crosspost_antijoin": crosspost_antijoin, "whitelist_semijoin_guarded": whitelist, "reshare_pairs": reshare_pairs, "reshare_text_pairs": reshare_text_pairs,
     "asof_thread_anchor": asof_thread, "asof_comment_to_post": asof_comment, "comment_parent_match": comment_parents, "comment_external_antijoin": external_comments, "caps_per_kind": caps_per_kind,
-    "counts_with_hints": counts_with_hints, "merge_insert_only": merge_insert, "merge_update_fieldwise": merge_update, "merge_dry_run": merge_actions, "profile_link_merge": profile_links, "tag_get_or_create": tags_once,
+    "counts_with_hints": counts_with_hints, "merge_insert_only": merge_insert, "merge_update_fieldwise": merge_update, "merge_files_update": merge_files_update, "merge_files_upsert": merge_files_upsert, "merge_dry_run": merge_actions, "profile_link_merge": profile_links, "tag_get_or_create": tags_once,
     "cascade_delete": cascade_delete, "chunk_replace": replace_chunks, "reaction_counts_two_keys": reaction_counts, "first_attachment": first_attachment, "display_names": display_names, "prefix_names": prefix_names,
     "original_posts": original_posts, "cache_key_probe": key_probe, "archive_file_by_stem": archive_files, "cited_titles": titles_or_slugs, "cache_preference": cache_preference,
 }
@@ -302,6 +326,10 @@ ORACLE_SQL = {
         select * from old union all select key, 'N1', case when empty then '' else nn end, 5 from n where key % 30 <> 0 and key not in (select key from old)
         union all select key, 'N' || k, case when empty then '' else nn end, 5 from n, (select unnest([1, 2]) as k) where key % 30 = 0""",
     "merge_update_fieldwise": f"with {_OLD} select key, case when key % 3 = 0 then 'N2' else status end as status, case when key % 3 = 0 and key % 4 <> 0 then note || '!' else note end as note, case when key % 3 = 0 then greatest(count, 5) else count end as count from old",
+    "merge_files_update": f"""with {_OLD}, m as (select *, key % 3 = 0 and key > (select floor(max(key) * {CHANGED_FROM}) from o where key % 3 = 0) as hit from old)
+        select key, case when hit then 'N2' else status end as status, case when hit and key % 4 <> 0 then note || '!' else note end as note, case when hit then greatest(count, 5) else count end as count from m""",
+    "merge_files_upsert": f"""with {_OLD}, n as (select * from o where key % 3 = 0 and key > (select floor(max(key) * {CHANGED_FROM}) from o where key % 3 = 0))
+        select * from old where key not in (select key from n) union all select key, 'N2', case when key % 4 = 0 then '' else note || '!' end, 5 from n""",
     "merge_dry_run": f"with {_OLD} select case when key % 2 = 0 then 'updated' else 'created' end as action, count(*) as n from o where key % 3 = 0 group by 1",
     "profile_link_merge": """with c as (select c_custkey, 'Name ' || (c_custkey % 400) as name from customer), a as (select name, r, c_custkey from c, (select unnest([0, 1, 2]) as r) where (r = 0 and c_custkey % 2 = 0) or (r = 1 and c_custkey % 3 = 0) or (r = 2 and c_custkey % 5 = 0))
         select name, 'https://p' || r || '.example/' || c_custkey as url from a qualify row_number() over (partition by name order by r desc, c_custkey desc) = 1""",
