@@ -20,7 +20,7 @@ PATHS = (
 ).split()
 QUERIES_OF = ("", "?fbid=1", "?story_fbid=pfbid0A&id=2", "?comment_id=3", "?s=tab", "?fbid=7&set=a.1", "?v=AbC_1", "?list=L&v=XyZ", "#frag", "?a=b c&d=é*~", "/", "?s=table", "?w=1.png")
 NAMES = (
-    "john.doe.42", "FeldmanEvgeny", "mike99", "mike.tamm.9", "42.7", "ann", "ANN.LEE", "max.musterMann12", "a.b.c.1.2", "éva.Ürge", "x", "o'neil.kim", "1234", "jean-Luc", "A1B2", "three.4.five",
+    "jane.roe.42", "MusterMarta", "mike99", "max.lang.9", "42.7", "ann", "ANN.LEE", "max.musterMann12", "a.b.c.1.2", "éva.Ürge", "x", "o'neil.kim", "1234", "jean-Luc", "A1B2", "three.4.five",
 )
 
 
