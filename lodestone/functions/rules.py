@@ -106,8 +106,8 @@ def post_embed(url: Column) -> Column:
     return F.when(U.site(url).isin(*PLAYER_HOSTS, "l.facebook.com"), _played(url, "post", 600, "true", 500)).otherwise("")
 
 
-def _page(url: Column) -> Column:
-    """Host, path and query, for comparison: www., m., the fragment and slashes at the path's end don't count."""
+def feed_item(url: Column) -> Column:
+    """By what two URLs are the same item of a feed: host, path and query; www., m., the fragment and slashes at the path's end don't count."""
     path = F.regexp_replace(U.loose_path(url), "/+$", "")
     return F.concat(F.regexp_replace(U.site(url), r"^m\.", ""), F.when(path == "", "/").otherwise(path), F.lit("?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
 
@@ -118,7 +118,7 @@ def shows_frame(source: Column, reshared_url: Column, source_url: Column) -> Col
 
     def differ(urls: Column) -> Column:
         theirs, own = urls["theirs"], urls["own"]
-        same = (theirs == own) | (_page(theirs) == _page(own))
+        same = (theirs == own) | (feed_item(theirs) == feed_item(own))
         alike = let(F.struct(profile(theirs).alias("a"), profile(own).alias("b")), lambda p: (p["a"] != "") & (p["a"] == p["b"]))
         return F.when(theirs == "", False).when(own == "", True).otherwise(~same & ~alike)
 

@@ -9,6 +9,7 @@ from lodestone.functions import rules
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.session import table
+from lodestone.sources.graph import video_id
 
 HOSTS = (
     "www.facebook.com M.Facebook.com facebook.com l.facebook.com fb.com fb.watch f.example pbs.twimg.com PBS.twimg.com video.twimg.com abs.twimg.com scontent.xx.fbcdn.net external-cph2-1.xx.fbcdn.net video-ber1-1.xx.fbcdn.net "
@@ -59,7 +60,29 @@ def profile_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")).select("p_partkey", "slug", T.humanise(F.col("slug")).alias("name"))
 
 
-QUERIES = {"url_rules": url_rules, "embeds": embeds, "profile_names": profile_names}
+ACTORS, ACTS, OBJECTS = ("Ann Lee", "BO", "Éva commented"), (
+    "shared a memory", "Shared a PRODUCT for sale", "shared a fundraiser", "commented on", "replied to", "Commented On", "added a photo", "is at", "replied", "likes", "shared a link",
+), ("his own post", "her own photo.", "HIS own reel", "his own comment", "her own comment.", "Max's post", "Max's comment", "", "their own post", "a video", "his own video", "her own story", "the post")
+
+
+def title_kinds(spark, sf_dir):
+    """What titles of an archive's entries say of them."""
+    k = F.col("event_id")
+    part = lambda options: F.get(F.array(*map(F.lit, options)), F.pmod(k, F.lit(len(options))).cast("int"))
+    title = F.concat_ws(" ", part(ACTORS), part(ACTS), part(OBJECTS))
+    return table(spark, sf_dir, "events").select("event_id", F.when(k % 50 != 7, title).alias("title")).select("event_id", "title", T.title_kind(F.col("title")).alias("kind"))
+
+
+def feed_items(spark, sf_dir):
+    """URLs as items of a feed, and whether they are the same one; the numbers of videos."""
+    rows, u = captured(spark, sf_dir), F.col("u")
+    form = lambda k, c: F.when(F.col("event_id") % 6 == k, c)
+    other = F.coalesce(form(0, F.concat(u, F.lit("#x"))), form(1, F.replace(u, F.lit("https://www."), F.lit("https://m."))), form(2, F.concat(u, F.lit("/"))), form(3, F.upper(u)), form(4, F.replace(u, F.lit("https:"), F.lit("http:"))), F.col("other"))
+    number = F.when(F.col("event_id") % 3 == 0, F.replace(u, F.lit("v=AbC_1"), F.concat(F.lit("v="), F.col("event_id").cast("string")))).otherwise(F.upper(u))
+    return rows.select("event_id", rules.feed_item(u).alias("item"), (rules.feed_item(u) == rules.feed_item(other)).alias("same"), video_id(number).alias("video"))
+
+
+QUERIES = {"title_kinds": title_kinds, "feed_items": feed_items, "url_rules": url_rules, "embeds": embeds, "profile_names": profile_names}
 
 
 def _built(k: str) -> str:
@@ -69,8 +92,8 @@ def _built(k: str) -> str:
 
 _HAS = lambda c, *parts: "(" + " or ".join(f"contains({c}, '{p}')" for p in parts) + ")"
 _URLS = f"c as (select event_id, {_built('event_id')} as u, {_built('event_id + event_id // 3')} as other from events), l as (select *, lower(u) as h from c)"
-_NETLOC = lambda c: f"regexp_replace(lower(regexp_extract({c}, '^https?://([^/?#]*)', 1)), '^www\\.', '')"
-_PATH = lambda c: f"regexp_extract({c}, '^https?://[^/?#]*([^?#]*)', 1)"
+_NETLOC = lambda c: f"regexp_replace(lower(regexp_extract({c}, '^(?i:https?)://([^/?#]*)', 1)), '^www\\.', '')"
+_PATH = lambda c: f"regexp_extract({c}, '^(?i:https?)://[^/?#]*([^?#]*)', 1)"
 _CONTENT_URL = " and ".join([
     _HAS("h", "facebook.com"),
     "not " + _HAS("h", "/allactivity", "facebook.com/settings", "/profile.php", "/groups/", "/events/", "/messages/", "/marketplace/", "/pages/", "/about", "l.facebook.com"),
@@ -87,7 +110,17 @@ _FB = "('facebook.com', 'fb.com', 'fb.watch', 'm.facebook.com')"
 _SAME = lambda c: f"regexp_replace({_NETLOC(c)}, '^m\\.', '') || coalesce(nullif(rtrim({_PATH(c)}, '/'), ''), '/') || '?' || regexp_extract({c}, '^[^?#]*\\?([^#]*)', 1)"
 _PROFILE = lambda c: f"lower(string_split(trim({_PATH(c)}, '/'), '/')[1])"
 _TITLE = "list_transform(regexp_extract_all({}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:]))"
+_LIST = lambda options: "[" + ", ".join("'" + o.replace("'", "''") + "'" for o in options) + f"][(event_id % {len(options)} + 1)::int]"
+_SELF = _HAS("t", *[f"{x} own {y}" for y in ("post", "photo", "reel") for x in ("his", "her")])
+_REPLY = _HAS("t", "replied to his own comment", "replied to her own comment")
 ORACLE_SQL = {
+    "title_kinds": f"""with b as (select event_id, case when event_id % 50 <> 7 then {_LIST(ACTORS)} || ' ' || {_LIST(ACTS)} || ' ' || {_LIST(OBJECTS)} end as title from events), l as (select *, lower(coalesce(title, '')) as t from b)
+        select event_id, title, case when {_HAS("t", "shared a memory")} then 'memory' when {_HAS("t", "shared a product")} then 'market' when {_HAS("t", "shared a fundraiser")} then 'fundraiser' when {_REPLY} then 'self_reply' when {_SELF} then 'self_direct'
+            when not {_SELF} and not {_REPLY} and {_HAS("t", "commented on", "replied to")} then 'external' else 'post' end as kind from l""",
+    "feed_items": f"""with {_URLS}, o as (select event_id, u, case event_id % 6 when 0 then u || '#x' when 1 then replace(u, 'https://www.', 'https://m.') when 2 then u || '/' when 3 then upper(u) when 4 then replace(u, 'https:', 'http:') else other end as w,
+            case when event_id % 3 = 0 then replace(u, 'v=AbC_1', 'v=' || event_id) else upper(u) end as n from l)
+        select event_id, {_SAME('u')} as item, ({_SAME('u')}) = ({_SAME('w')}) as same, coalesce(nullif(regexp_extract(n, '(?i)facebook\\.com/reel/([0-9]+)', 1), ''), nullif(regexp_extract(n, '(?i)facebook\\.com/[^/]+/videos/([0-9]+)', 1), ''),
+            regexp_extract(n, '[?&]v=([0-9]+)', 1)) as video from o""",
     "url_rules": f"""with {_URLS} select event_id, {_CONTENT_URL} as content, {_TWITTER_IMAGE} as image, {_HARVESTED} as harvested, {_NETLOC('u')} in ('goo.gl', 'bit.ly', 't.co', 'ow.ly', 'tinyurl.com', 'is.gd', 'buff.ly', 'dlvr.it') as short,
         lower(string_split({_PATH('u')}, '/')[2]) = 'me' as own, case when regexp_matches(h, '\\.(jpe?g|png|gif|webp|bmp)(\\?.*)?$') then 1 else 4 end::bigint as kind,
         case when lower(regexp_extract({_PATH('u')}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) in ('jpg', 'jpeg', 'png', 'gif', 'webp', 'mp4', 'mov', 'webm') then lower(regexp_extract({_PATH('u')}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) else 'jpg' end as ext from l""",

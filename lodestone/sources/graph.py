@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dates
 from lodestone.functions import text as T
-from lodestone.functions import urls as U
 from lodestone.sources.schema import COMMENTS, FACEBOOK, FRIENDS, IMAGE, LINK, MEDIA, PRIVATE, PUBLIC, REACTION, REACTIONS, VIDEO, record
 
 # Who sees a post.
@@ -84,6 +83,10 @@ def with_edge_comments(records: DataFrame, edge: DataFrame, empty: DataFrame | N
     return joined.withColumn("comments", F.when(wanted, F.col("more")).otherwise(F.col("comments"))).drop("more").select(*records.columns)
 
 
+# Where a video's number is in a URL; the first form that is there decides.
+VIDEO_FORMS = (r"(?i)facebook\.com/reel/([0-9]+)", r"(?i)facebook\.com/[^/]+/videos/([0-9]+)", r"[?&]v=([0-9]+)")
+
+
 def video_id(url) -> F.Column:
-    found = lambda pattern: F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
-    return F.coalesce(U.param(url, "v"), found(r"/videos/(?:[^/]+/)?(\d+)"), found(r"/reel/(\d+)"))
+    """The number of a video, empty if the URL is that of none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(url, form, 1), F.lit("")) for form in VIDEO_FORMS], F.lit(""))
