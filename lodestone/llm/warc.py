@@ -3,8 +3,8 @@
 Records are written as text rows whose line separator is the blank line that ends a WARC record, compressed by file, so any file
 system that Spark writes to holds them. Archives are cut by records and by mean bytes. Reading inflates and parses record by record, by
 Content-Length; a revisit's header has the full payload's length. Each archive gives a run of captures sorted by URL key and
-timestamp; runs are cut at the bounds of ranges of (key, timestamp, page), which hold about RANGE captures each whatever the
-input, and each range is merged from its runs by a loser tree, which gives the captures of the whole collection in global order.
+timestamp; runs are cut at the bounds of ranges of (key, timestamp, page, run, place), which hold about RANGE captures each whatever the
+input, equal captures included, and each range is merged from its runs by a loser tree, which gives the captures of the whole collection in global order.
 
 Cases: null html is an empty payload; a null url is an empty URL key; rows without a page_id get a record each, which revisits the page
 with the largest id of an equal payload if there is one and is a response if not; rows that repeat a page_id with an equal payload
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shared_dir, table
+from lodestone.llm.common import apart, cut, shared_dir, table
 
 CRLF = "\r\n"
 #: Records of an archive file at most, and bytes of pages it holds on average at most; captures of a range that is merged by one task.
@@ -46,7 +46,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), digest(html.cast("binary")).alias("payload_digest"))
     payload = ["payload_digest", "payload_bytes"]
-    owner = pages.groupBy(*payload).agg(F.max("page_id").alias("refers_to"))
+    owner = pages.groupBy(*payload).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    owner = owner.select("payload_digest", apart("payload_bytes"), "refers_to")
     # identities first, so that the payloads themselves aren't shuffled twice
     other = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     repeat = pages.select("page_id", *payload).join(owner, payload).where(other & (F.col("payload_bytes") >= least)).distinct()
@@ -180,7 +181,7 @@ def merged_index(spark: SparkSession, path: str, per_range: int = RANGE) -> Data
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = cut(found.mapInPandas(runs, CAPTURE))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // per_range + 1)
-    ranged = found.repartitionByRange(ranges, "url_key", "stamp", "page_id").sortWithinPartitions("run", "seq")
+    ranged = found.repartitionByRange(ranges, "url_key", "stamp", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
     return ranged.mapInPandas(merge_range, CAPTURE)
 
 
