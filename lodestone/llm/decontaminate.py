@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bits_at, bitmap, cut, maybe_in, table
+from lodestone.llm.common import apart, bits_at, bitmap, cut, maybe_in, table
 from lodestone.llm.wordhash import grams, word_hashes
 
 TILE, COVER = 5, 0.5
@@ -143,8 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, cover: float
                 yield pd.DataFrame({"key": np.concatenate(keys), "seed": np.concatenate(found)})
 
     docs = docs.select("doc_id", "text").where("text is not null").withColumn("key", key("doc_id", "text"))
-    got = cut(docs.select("key", "text").mapInPandas(met, "key bigint, seed bigint"))
-    got = got.join(seeds.select("seed").distinct(), "seed", "left_semi")
+    got = docs.select("key", "text").mapInPandas(met, "key bigint, seed bigint")
+    # a seed may be in most documents: it is dealt out anew for each join and sum, so that the skew join can split it
+    got = cut(got.join(seeds.select("seed").distinct().select(apart("seed")), "seed", "left_semi")).select("key", apart("seed"))
     spread = got.groupBy("seed").agg(F.count("*").alias("spread"))
     # of each item the most spread seeds are passed over, as many places as it can spare
     order = Window.partitionBy("item").orderBy(F.desc("spread"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -152,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, cover: float
     asked = asked.where("passed > spare and spread > 0").select("item", "seed")
     pairs = cut(got.join(asked, "seed").select("key", "item").distinct())
     groups = pairs.join(items, "item").withColumn("part", F.col("item"))
-    many = pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("parts"))
+    many = pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("parts")).select(apart("key"), "parts")
     groups = groups.join(many, "key").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
     groups = groups.groupBy("key", "part").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "copies")).alias("items"))
 
