@@ -177,7 +177,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     out = cut(copies.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("text_hash", "first"))
     # copies share their hash, so a fingerprint recurs if texts with different hashes have it
     prints = known.where("doc_id is not null").select(*row, "text_hash", F.explode("prints").alias("print"))
-    shared = prints.groupBy("print").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("print")
+    shared = prints.groupBy("print").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select(apart("print"))
     prints = prints.drop("text_hash").join(shared, "print").groupBy(*row).agg(F.collect_set("print").alias("prints"))
     prints = prints.join(out.where("copy").select(*row).distinct(), row, "left_anti")
     # only these documents can lose a word or take one from another; all further steps read them from here
