@@ -139,6 +139,12 @@ def test_tree_survives_bad_markup():
     assert htmltags.page_card("<title>T</title><meta property='og:title' content='O'><meta name=description content=D>")["title"] == "O"
 
 
+def test_titles_keep_references_that_are_cut_off(spark):
+    pages = ["<TITLE> a &amp; b &amp</title>", "<title>&amp;lt; &lt;i&gt;\n&quot;&#39;&eacute;</title><title>2</title>", "<title></title>", "<p>none", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", htmltags.page_title(F.col("html")).alias("t"))
+    assert [r.t for r in df.orderBy("k").collect()] == ["a & b &amp", "&lt; <i>\n\"'&eacute;", "", "", None]
+
+
 OUT = 'target="_blank" rel="noopener noreferrer"'
 
 
