@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
+from lodestone.session import cut
 
 #: Words that a cloud leaves out; a caller gives its own list, and lemmas by a map.
 STOP = (
@@ -50,18 +51,29 @@ def bigrams(texts: DataFrame, text: str = "content_text", stop=STOP, lemma=None)
     return counted(texts.select(lemmas(F.col(text), lemma).alias("w")), pairs(F.col("w"), stop))
 
 
-def stemmed(terms: DataFrame, stem: Callable[[Column], Column], stop=STOP) -> DataFrame:
-    """`terms` (term, n) by the stems of their words: each word is stemmed once, not once for each occurrence. Terms with a stem that is a stop word go."""
-    parts = F.transform(F.split("term", " "), stem)
-    found = terms.select(parts.alias("parts"), "n").where(~F.exists("parts", lambda w: w.isin(*stop)))
-    return found.groupBy(F.array_join("parts", " ").alias("term")).agg(F.sum("n").alias("n"))
+def stems_of(words: DataFrame, stem: Callable[[Column], Column], stop=STOP) -> DataFrame:
+    """(word, stem) of the distinct rows of `words` (word), each stemmed once. Words whose stem is a stop word are left out."""
+    tasks = words.sparkSession.sparkContext.defaultParallelism  # few bytes and much work: by its size Spark would make few tasks of it
+    return cut(words.distinct().repartition(tasks, "word").select("word", F.explode(F.filter(F.array(stem(F.col("word"))), plain(stop))).alias("stem")))
+
+
+def stemmed(terms: DataFrame, stem: Callable[[Column], Column], stop=STOP, words: DataFrame | None = None) -> DataFrame:
+    """`terms` (term, n), words and pairs, by the stems of their words, which `words` (word) has if given. Terms with a stem that is a stop word go.
+
+    Stems are joined to the terms: a word stands in many pairs, but is stemmed once.
+    """
+    known = stems_of(terms.select(F.explode(F.split("term", " ")).alias("word")) if words is None else words, stem, stop)
+    parts = F.split("term", " ")
+    rows = terms.select(F.get(parts, F.lit(0)).alias("a"), F.get(parts, F.size(parts) - 1).alias("b"), (F.size(parts) > 1).alias("pair"), "n")
+    rows = rows.join(known.select(F.col("word").alias("a"), F.col("stem").alias("first")), "a").join(known.select(F.col("word").alias("b"), F.col("stem").alias("second")), "b")
+    return rows.groupBy(F.when(F.col("pair"), F.concat_ws(" ", "first", "second")).otherwise(F.col("first")).alias("term")).agg(F.sum("n").alias("n"))
 
 
 def cloud(texts: DataFrame, text: str = "content_text", most: int = TERMS, stop=STOP, lemma=None, stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """(term, n, size, opacity). Of the first 3 * `most` terms rare pairs go, then the first `most` stay; sizes are 14 to 48."""
     found = texts.select(lemmas(F.col(text), lemma).alias("w"))
     every = counted(found, F.concat(F.filter("w", plain(stop)), pairs(F.col("w"), stop)))  # words and pairs in one pass
-    every = stemmed(every, stem, stop) if stem else every
+    every = stemmed(every, stem, stop, found.select(F.explode(F.filter("w", plain(stop))).alias("word"))) if stem else every
     order = [F.desc("n"), F.asc("term")]
     top = every.orderBy(*order).limit(LOOKED_AT * most).where(~F.col("term").contains(" ") | (F.col("n") >= PAIR)).orderBy(*order).limit(most)
     w = Window.partitionBy(F.lit(1))  # over `most` rows
