@@ -170,8 +170,8 @@ def test_each_word_of_many_pairs_is_stemmed_once(spark):
         calls.add(1)
         return w.rstrip("s")
 
-    names = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
-    terms = [(x, 1) for x in names] + [(f"{x} {y}s", 2) for x in names for y in names] + [("thes waa", 9), ("waa thes", 9), ("thes", 9)]
+    names = [f"w{k}x" for k in range(30)]
+    terms = [(x, 1) for x in names] + [(f"{x} {y}s", 2) for x in names for y in names] + [("thes w1x", 9), ("w1x thes", 9), ("thes", 9)]
     got = {r.term: r.n for r in wordcloud.stemmed(spark.createDataFrame(terms, "term string, n long"), stem).collect()}
     assert got == {x: 1 for x in names} | {f"{x} {y}": 2 for x in names for y in names}, "terms with a stem that is a stop word go"
     assert calls.value == 2 * len(names) + 1
