@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import holds, holds_any, query_tokens, tokens
+from lodestone.functions.text import holds, holds_any, let, query_tokens, tokens
 from lodestone.operators.pages import ranked
 from lodestone.session import cut
 
@@ -42,16 +42,26 @@ def lowered(length: Column) -> Column:
     return 1 + F.log(F.greatest(length, F.lit(1)))
 
 
+def counts(words: Column) -> Column:
+    """(token, times) of each distinct word of an array, from runs of equal words in its sorted form."""
+
+    def runs(w: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~F.get(w, i - 1).eqNullSafe(F.get(w, i)))
+        return let(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.get(w, i - 1).alias("token"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).cast("long").alias("times"))))
+
+    return let(F.array_sort(words), runs)
+
+
 def build(posts: DataFrame, folder: str | None = None, stem: Callable[[Column], Column] | None = None) -> InvertedIndex:
     """The index of `posts` (id, content_text), of their tokens or of these tokens' stems, written to `folder` or else kept in the shared one.
 
-    Tokens are stemmed once each, not once for each occurrence.
+    Tokens are stemmed once each, not once for each occurrence. A text's tokens are counted in its row, and texts are dealt out by blocks, as many
+    parts as blocks: what a task holds are the postings of a few blocks, however many texts there are.
     """
     blocks = max(1, -(-posts.count() // BLOCK))
-    words = posts.select("id", tokens(F.col("content_text")).alias("words"))
-    found = words.select("id", F.size("words").alias("length"), F.explode("words").alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("times"))
-    found = found.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = found.groupBy("token", "block").agg(F.collect_list(F.struct("id", "times", "length")).alias("posts"))
+    words = posts.select("id", tokens(F.col("content_text")).alias("words"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    found = words.repartition(blocks, "block").select("id", "block", F.size("words").alias("length"), F.explode(counts(F.col("words"))).alias("c"))
+    rows = found.select("id", "block", "length", "c.token", "c.times").groupBy("token", "block").agg(F.collect_list(F.struct("id", "times", "length")).alias("posts"))
     if stem:
         # forms of one stem in one block are put together: their counts in a text are added
         rows = rows.join(stems(rows.select("token").distinct(), stem), "token").select(F.col("stem").alias("token"), "block", F.explode("posts").alias("p"))

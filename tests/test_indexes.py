@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -108,6 +109,17 @@ def test_keyword_hits(spark, monkeypatch, question):
         assert sorted(map(tuple, inverted.keyword(index, posts, question, most).collect())) == sorted(map(tuple, want))
 
 
+def test_tasks_hold_blocks_not_shares_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK", 16)
+    rows = texts()
+    index = inverted.build(spark.createDataFrame(rows, POSTS))
+    got = {(r.token, p.id): (p.times, p.length) for r in index.postings.collect() for p in r.posts}
+    words = {k: re.findall(r"word\d+", text or "") for k, text, _, _ in rows}
+    assert {k: n for k, (n, _) in got.items() if k[0].startswith("word")} == {(w, k): x.count(w) for k, x in words.items() for w in set(x)}
+    assert got["word1", 403] == (500, 500)
+    assert index.postings.rdd.getNumPartitions() == -(-len(rows) // 16), "as many parts as blocks"
+
+
 def test_only_asked_postings_are_read(spark, tmp_path):
     posts = spark.createDataFrame(texts(), POSTS)
     index = inverted.build(posts, str(tmp_path / "index"))
