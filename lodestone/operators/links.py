@@ -75,8 +75,10 @@ def originals(reshares: DataFrame, posts: DataFrame) -> DataFrame:
 def named_by_prefix(rows: DataFrame, url: str, names: DataFrame, prefix: str, name: str, row_id: str) -> DataFrame:
     """(row_id, name) of the profile whose URL `url` starts with; the longest one, then the least name.
 
-    An equi-join: a URL's prefixes that end before /, ? or # or at its end are its candidate keys.
+    An equi-join: a URL's prefixes that end before /, ? or # or at its end are its candidate keys. Of a prefix's names the least is joined
+    alone, so a prefix of many names and many URLs makes a row for each URL, not for each pair.
     """
+    names = names.groupBy(prefix).agg(F.min(F.struct(name)).getField(name).alias(name)).select(apart(prefix), name)
     ends = F.concat(F.filter(F.sequence(F.lit(1), F.length(url)), lambda i: F.substring(F.concat(F.col(url), F.lit("/")), i + 1, F.lit(1)).isin("/", "?", "#")), F.array(F.length(url)))
     keys = rows.select(row_id, F.explode(F.array_distinct(F.transform(ends, lambda i: F.substring(F.col(url), F.lit(1), i)))).alias(prefix))
     return keys.join(names, prefix).groupBy(row_id).agg(F.min_by(name, F.struct(-F.length(prefix), F.col(name))).alias(name))

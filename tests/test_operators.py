@@ -145,6 +145,16 @@ def test_titles_keep_references_that_are_cut_off(spark):
     assert [r.t for r in df.orderBy("k").collect()] == ["a & b &amp", "&lt; <i>\n\"'&eacute;", "", "", None]
 
 
+def test_a_prefix_of_many_names_makes_no_pairs(spark):
+    urls = spark.createDataFrame([(k, f"https://h.example/u/{k}") for k in range(2000)], "k int, url string").repartition(4)
+    names = spark.createDataFrame([("https://h.example/u", f"n{k:04d}") for k in range(2000)] + [("https://h.example/u/7", "own")], "p string, name string")
+    found = links.named_by_prefix(urls, "url", names, "p", "name", "k")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.name for r in found.collect()} == {k: "own" if k == 7 else "n0000" for k in range(2000)}
+    join = plan[plan.index("Join") :]
+    assert "min(struct(name" in join, "names are cut down to one of each prefix below the join"
+
+
 OUT = 'target="_blank" rel="noopener noreferrer"'
 
 
