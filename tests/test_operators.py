@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import asof, chunks, htmltags, keep, linkify, links, merge, retrieval, rolling, slugs, wordcloud
+from lodestone.operators import asof, chunks, htmltags, keep, linkify, links, merge, retrieval, rolling, slugs, threads, wordcloud
 from lodestone.operators.pages import capped
 from lodestone.plans import resolve
 
@@ -155,6 +155,26 @@ def test_a_prefix_of_many_names_makes_no_pairs(spark):
     assert "min(struct(name" in join, "names are cut down to one of each prefix below the join"
 
 
+def test_networks_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(threads, "BLOCK", 16)
+    r = random.Random(6)
+    rows = [(k, k % 3 if k % 17 else None, r.choice([1000, 1000, r.randrange(5000)]) if k % 19 else None, [r.gauss(0, 1) for _ in range(5)]) for k in range(200)]
+    rows += [(k, k % 3, 1000, v) for k, v in enumerate([None, [], [0.0] * 5, [1.0, None, 1.0, 1.0, 1.0], [float("nan")] * 5, [1.0, 2.0], [2.0, 4.1], [3.0, 6.0], [-1.0, 1.0]], 900)]
+    found = threads.across_networks(spark.createDataFrame(rows, "id long, source int, at long, embedding array<double>"), 900, 0.4)
+    got = {(x.a, x.b): x.distance for x in found.collect()}
+    ok = [x for x in rows if x[1] is not None and x[2] is not None and x[3] and None not in x[3] and any(x[3]) and x[3][0] == x[3][0]]
+    dot = lambda v, w: sum(x * y for x, y in zip(v, w))
+    want = {}
+    for a, s, t, v in ok:
+        for b, o, u, w in ok:
+            if s != o and (t, a) < (u, b) and u - t <= 900 and len(v) == len(w):
+                distance = round(1 - dot(v, w) / (dot(v, v) ** 0.5 * dot(w, w) ** 0.5), 9)
+                if distance <= 0.4:
+                    want[a, b] = pytest.approx(distance, abs=2e-9)
+    assert got == want and len(want) > 50
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString(), "pairs of blocks are joined, not pairs of posts"
+
+
 OUT = 'target="_blank" rel="noopener noreferrer"'
 
 
