@@ -5,7 +5,9 @@ with the largest start that isn't above it, so slots never overlap, whatever is
 them under new names, and its manifest last; readers of earlier versions keep their files. A slot that grows is cut into more files, whose
 starts are slots from then on.
 
-Cases: rows without a key are in the first slot; keys that repeat stay together in a slot; a merge without changes adds a version of the
+A task writes A_TASK files in the order of keys, so what the driver hears of tasks and samples of keys doesn't grow with every file.
+
+Cases: rows without a key are in the first slot; a key that repeats may be in the last rows of one file and the first ones of the next, which are then read together; a merge without changes adds a version of the
 same files; a table may be empty. A manifest has at most FILES files; larger tables need fewer, larger files.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.session import cut, exists
 from lodestone.streaming.snapshots import versions
 
-#: Rows of a file; files of a table, whose starts go with the tasks.
-PER_FILE, FILES = 1_000_000, 100_000
+#: Rows of a file; files of a table, whose starts go with the tasks; files that a task writes.
+PER_FILE, FILES, A_TASK = 1_000_000, 100_000, 32
 
 
 @dataclass
@@ -62,11 +64,11 @@ def _of_files(spark: SparkSession, folder: str, files: list) -> DataFrame:
 
 
 def _put(rows: DataFrame, folder: str, version: int, slot: Column, key: str, per_file: int) -> DataFrame:
-    """(file, low, high, rows) of the files that `rows` are written to; no file has rows of two slots."""
+    """(file, low, high, rows) of the files that `rows` are written to, each of `per_file` rows at most; no file has rows of two slots."""
     path = f"{folder}/files/version={version}"
     rows = cut(rows.withColumn("__slot", slot))
-    parts = max(1, -(-rows.count() // per_file))
-    rows.repartitionByRange(parts, "__slot", key).sortWithinPartitions("__slot", key).write.partitionBy("__slot").mode("overwrite").parquet(path)
+    tasks = max(1, -(-rows.count() // (per_file * A_TASK)))
+    rows.repartitionByRange(tasks, "__slot", key).sortWithinPartitions("__slot", key).write.partitionBy("__slot").option("maxRecordsPerFile", per_file).mode("overwrite").parquet(path)
     if not exists(rows.sparkSession, path):
         return rows.limit(0).select(F.lit("").alias("file"), F.col(key).alias("low"), F.col(key).alias("high"), F.lit(0).cast("long").alias("rows"))
     back = rows.sparkSession.read.schema(rows.drop("__slot").schema).parquet(path)
@@ -106,9 +108,10 @@ def merge(spark: SparkSession, folder: str, key: str, changes: DataFrame, apply:
     changes = cut(changes)
     touched = {r.slot for r in changes.select(slot(F.col(key)).alias("slot")).distinct().collect()}  # at most a row for each file
     number = {start: k for k, start in enumerate(starts)}
-    # keys that repeat over the files of a slot share its start
-    hit = [r for r in files if number.get(r.low, 0) in touched]
-    rest = [r for r in files if number.get(r.low, 0) not in touched]
+    # a key that repeats over files is the start of its slot, whose files share that start; the file before them may end with it
+    changed = lambda r: number.get(r.low, 0) in touched or number.get(r.high, 0) in touched and r.high in number
+    hit = [r for r in files if changed(r)]
+    rest = [r for r in files if not changed(r)]
     new = cut(_put(apply(_of_files(spark, folder, hit), changes), folder, version + 1, slot(F.col(key)), key, per_file))
     kept = spark.createDataFrame([tuple(r) for r in rest], new.schema)
     _commit(kept.unionByName(new), folder, version + 1)

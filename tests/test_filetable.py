@@ -79,3 +79,20 @@ def test_null_and_repeated_keys_and_nothing(spark, tmp_path):
     assert state(filetable.read(spark, empty)) == [(1, "a")]
     with pytest.raises(ValueError, match="no version"):
         filetable.read(spark, empty, 9)
+
+
+def test_a_task_writes_many_files(spark, tmp_path, monkeypatch):
+    tasks, ranged = [], type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, n, *cols: tasks.append(n) or ranged(self, n, *cols))
+    folder, rows = str(tmp_path / "t"), [(k // 7, f"child {k}", k) for k in range(2000)]
+    filetable.create(frame(spark, rows), folder, "k", 10)
+    files = filetable.files_of(filetable.manifest(spark, folder))
+    assert len(files) >= 200 and tasks[0] <= 10 and max(r.rows for r in files) == 10, "keys of seven rows don't fit into ten evenly"
+    assert any(a.high == b.low for a, b in zip(files, files[1:]))
+    want = [(k, v) for k, v, _ in rows if k not in (1, 20, 21, 100, 285)] + [(k, "only") for k in (1, 20, 21, 100, 285)]
+    new = frame(spark, [(k, "only", 0) for k in (1, 20, 21, 100, 285)])
+    done = filetable.merge(spark, folder, "k", new, lambda old, x: merge.replace_children(old, x, "k"), 10)
+    assert state(filetable.read(spark, folder)) == sorted(want, key=repr) and done.read <= 15
+    again = filetable.merge(spark, folder, "k", frame(spark, [(20, "again", 0), (50, "again", 0)]), lambda old, x: merge.replace_children(old, x, "k"), 10)
+    want = [(k, v) for k, v in want if k not in (20, 50)] + [(20, "again"), (50, "again")]
+    assert state(filetable.read(spark, folder)) == sorted(want, key=repr) and again.read <= 6
