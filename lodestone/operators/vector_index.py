@@ -29,6 +29,8 @@ from lodestone.session import cut
 CELLS, PACK, BLOCK, SAMPLE_BYTES, ROUNDS = 4096, 4096, 1024, 64 << 20, 12
 #: Share of the nearest neighbours that the number of probes is chosen for, how many neighbours, and vectors of the sample that choose it.
 RECALL, NEAREST, JUDGES = 0.95, 10, 256
+#: Bytes of a matrix of products in a task, and of a batch that it gives out.
+MATRIX_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 #: What rounding may change an angle by.
 SLACK = 1e-6
 
@@ -66,8 +68,14 @@ def fitted(sample: np.ndarray, cells: int, seed: int = 17) -> np.ndarray:
     return centroids
 
 
+def slices(n: int, width: int) -> list[slice]:
+    """`n` rows in pieces whose products with `width` others are MATRIX_BYTES at most."""
+    step = max(1, MATRIX_BYTES // (8 * max(1, width)))
+    return [slice(k, k + step) for k in range(0, n, step)]
+
+
 def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.concatenate([(rows[k : k + 4096] @ centroids.T).argmax(1) for k in range(0, len(rows), 4096)]) if len(rows) else np.zeros(0, dtype=np.int64)
+    return np.concatenate([(rows[s] @ centroids.T).argmax(1) for s in slices(len(rows), len(centroids))]) if len(rows) else np.zeros(0, dtype=np.int64)
 
 
 def probes_for(sample: np.ndarray, centroids: np.ndarray, recall: float) -> int:
@@ -132,9 +140,8 @@ def probed(index: VectorIndex, queries: DataFrame, exact: bool) -> DataFrame:
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids, reach, sizes, probes = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        given = max(1, BATCH_BYTES // (8 * centroids.shape[1]))  # a query goes out with its vector for each cell
+        for batch in (whole.iloc[s] for whole in batches for s in slices(len(whole), len(centroids))):
             close = unit(np.stack(batch.embedding)) @ centroids.T
             order = np.argsort(-close, axis=1, kind="stable")
             asked = np.zeros(close.shape, dtype=bool)
@@ -143,7 +150,9 @@ def probed(index: VectorIndex, queries: DataFrame, exact: bool) -> DataFrame:
                 radius = np.arccos(np.clip(1 - batch.worst.to_numpy(dtype=np.float64), -1, 1))[:, None]
                 asked = ~asked & (np.arccos(np.clip(close, -1, 1)) - reach[None, :] <= radius + SLACK)
             row, cell = np.nonzero(asked & (sizes > 0)[None, :])
-            yield pd.DataFrame({"query_id": batch.query_id.to_numpy()[row], "cell": cell.astype(np.int32), "embedding": batch.embedding.to_numpy()[row]})
+            for k in range(0, len(row), given):
+                at = row[k : k + given]
+                yield pd.DataFrame({"query_id": batch.query_id.to_numpy()[at], "cell": cell[k : k + given].astype(np.int32), "embedding": batch.embedding.to_numpy()[at]})
 
     return queries.mapInPandas(choose, "query_id bigint, cell int, embedding array<double>")
 
@@ -160,14 +169,16 @@ def answered(index: VectorIndex, asked: DataFrame, most: int, blocks: int, itsel
                 rows = unit(batch["values"][i].values.to_numpy(zero_copy_only=False).reshape(-1, size))
                 queries = batch["asked"][i].values
                 names = queries.field("query_id").to_numpy(zero_copy_only=False)
-                distance = np.round(1 - unit(queries.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)) @ rows.T, 9) + 0.0
-                for k, name in enumerate(names):
-                    at = np.arange(len(ids)) if itself else np.flatnonzero(ids != name)
-                    near = distance[k, at]
-                    if len(at) > most:  # all that tie with the last one stay until ids decide
-                        at = at[near <= np.partition(near, most - 1)[most - 1]]
-                    at = at[np.lexsort((ids[at], distance[k, at]))[:most]]
-                    yield pa.record_batch({"query_id": np.full(len(at), name), "vec_id": ids[at], "distance": distance[k, at]})
+                vectors = unit(queries.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+                for s in slices(len(names), len(ids)):
+                    distance = np.round(1 - vectors[s] @ rows.T, 9) + 0.0
+                    for k, name in enumerate(names[s]):
+                        at = np.arange(len(ids)) if itself else np.flatnonzero(ids != name)
+                        near = distance[k, at]
+                        if len(at) > most:  # all that tie with the last one stay until ids decide
+                            at = at[near <= np.partition(near, most - 1)[most - 1]]
+                        at = at[np.lexsort((ids[at], distance[k, at]))[:most]]
+                        yield pa.record_batch({"query_id": np.full(len(at), name), "vec_id": ids[at], "distance": distance[k, at]})
 
     return index.parts.join(groups, "cell").select("ids", "values", "asked").mapInArrow(compare, "query_id bigint, vec_id bigint, distance double")
 

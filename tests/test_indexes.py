@@ -54,6 +54,16 @@ def test_exact_answers(spark, kind, monkeypatch):
         assert [i for _, _, i in got[0]] == [6 * k for k in range(1, 8)], "ties are ordered by id"
 
 
+def test_tasks_work_in_bounded_pieces(spark, monkeypatch):
+    pieces = vector_index.slices(10_000, 2_450)
+    assert sum(len(range(10_000)[p]) for p in pieces) == 10_000 and all(len(range(10_000)[p]) * 2_450 * 8 <= vector_index.MATRIX_BYTES for p in pieces)
+    frame = spark.createDataFrame(clustered(300, 40), VECTORS)
+    index, asked = vector_index.build(frame), frame.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    found = sorted(map(tuple, vector_index.search(index, asked, 3, exact=True).collect()))
+    monkeypatch.setattr(vector_index, "BATCH_BYTES", 1)  # a query's cell is a batch
+    assert sorted(map(tuple, vector_index.search(index, asked, 3, exact=True).collect())) == found and len(found) == 90
+
+
 def test_reads_grow_slower_than_the_table(spark):
     """Sixteen times the vectors: recall stays, and a query reads far less than sixteen times as many."""
     share, recall = {}, {}
