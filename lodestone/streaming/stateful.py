@@ -84,43 +84,67 @@ def cache(writes: DataFrame, asked: str, premium: str = "premium", live_s: int |
 
 
 class Harvest(StatefulProcessor):
-    """A key's longest text so far, of equal lengths the first; it is sent when it changes. A key is forgotten `live_s` after its last row."""
+    """Each key's longest text so far, of equal lengths the first; it is sent when it changes. A key is forgotten `live_s` after its last row.
+
+    A group is a bucket of keys, whose state is maps by key: a call, frames and batches of output for each key would cost far more than its rows.
+    """
 
     def __init__(self, live_s: int | None):
         self.live = live_s and live_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "n bigint, seq bigint")
-        self.last = handle.getValueState("last", "at bigint")
+        self.best = handle.getMapState("best", "key string", "n bigint, seq bigint")
+        self.last = handle.getMapState("last", "key string", "at bigint")
+        self.due = handle.getMapState("due", "ms bigint", "keys array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = best = tuple(self.best.get()) if self.best.exists() else None
-        text, last = None, self.last.get()[0] if self.last.exists() else None
+        tops, lasts, sent, ends = {}, {}, [], {}
         for batch in rows:
-            for n, seq, body, at in zip(batch["n"].tolist(), batch["seq"].tolist(), batch["body"], batch["at"].tolist()):
-                if best is None or (n, -seq) > (best[0], -best[1]):
-                    best, text = (n, seq), body
-                last = at if last is None else max(last, at)
-        if best != before:
-            self.best.update(best)
-            yield pd.DataFrame({"key": [key[0]], "seq": [best[1]], "body": pd.Series([text], dtype="object")})
-        if self.live and (not self.last.exists() or self.last.get()[0] != last):
-            self.last.update((last,))
-            self.handle.registerTimer(last // 1000 + self.live)
+            for item, n, seq, body in zip(batch["key"], batch["n"].tolist(), batch["seq"].tolist(), batch["body"]):
+                if item not in tops or (n, -seq) > tops[item][0]:
+                    tops[item] = (n, -seq), body
+            if self.live:
+                for item, at in zip(batch["key"], batch["at"].tolist()):
+                    lasts[item] = max(lasts.get(item, at), at)
+        for item, (top, body) in tops.items():
+            best = self.best.getValue((item,))
+            if best is None or top > (best[0], -best[1]):
+                self.best.updateValue((item,), (top[0], -top[1]))
+                sent.append((item, -top[1], body))
+        if sent:
+            yield pd.DataFrame(sent, columns=["key", "seq", "body"])
+        for item, at in lasts.items():
+            last = self.last.getValue((item,))
+            if last is None or at > last[0]:
+                self.last.updateValue((item,), (at,))
+                ends.setdefault(at // 1000 + self.live, []).append(item)
+        for end, items in ends.items():
+            known = self.due.getValue((end,))
+            self.due.updateValue((end,), ([*known[0], *items] if known else items,))
+            self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a timer of an earlier row does nothing
-        if self.last.exists() and self.last.get()[0] // 1000 + self.live <= expiredTimerInfo.getExpiryTimeInMs():
-            self.best.clear()
-            self.last.clear()
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        for item in (self.due.getValue((end,)) or ((),))[0]:
+            # a timer of an earlier row does nothing
+            last = self.last.getValue((item,))
+            if last is not None and last[0] // 1000 + self.live <= end:
+                self.best.removeKey((item,))
+                self.last.removeKey((item,))
+        self.due.removeKey((end,))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def harvest(items: DataFrame, live_s: int | None = None, late: str = "1 day") -> DataFrame:
+def keyed(items: DataFrame, buckets: int = 1024) -> DataFrame:
+    """What Harvest reads, by bucket."""
+    return items.select(F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"), "key", "seq", "body", F.length(F.coalesce("body", F.lit(""))).cast("long").alias("n"), "ts", F.unix_micros("ts").alias("at"))
+
+
+def harvest(items: DataFrame, live_s: int | None = None, late: str = "1 day", buckets: int = 1024) -> DataFrame:
     """(key, seq, body) as it improves. `items` has key, seq, body and ts; the state is two numbers a key, not its text."""
-    rows = items.withWatermark("ts", late).select("key", "seq", "body", "ts", F.length(F.coalesce("body", F.lit(""))).cast("long").alias("n"), F.unix_micros("ts").alias("at"))
-    return rows.groupBy("key").transformWithStateInPandas(Harvest(live_s), outputStructType="key string, seq bigint, body string", outputMode="Update", timeMode="EventTime")
+    rows = keyed(items.withWatermark("ts", late), buckets)
+    return rows.groupBy("bucket").transformWithStateInPandas(Harvest(live_s), outputStructType="key string, seq bigint, body string", outputMode="Update", timeMode="EventTime")

@@ -76,6 +76,42 @@ def test_harvest_forgets_keys(spark, tmp_path):
     assert {(r.key, r.seq) for r in forever.collect()} == {("a", 1), ("b", 1), ("c", 4), (None, 9)}
 
 
+class Maps:
+    """A processor's state in dicts, and how often it was asked for or written."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getMapState(self, name, *_):
+        held = {}
+
+        class State:
+            def getValue(_, key):
+                self.calls += 1
+                return held.get(key)
+
+            def updateValue(_, key, value):
+                self.calls += 1
+                held[key] = value
+
+        return State()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_harvest_takes_a_bucket_at_a_time(spark):
+    """500 keys of a bucket in one frame; the state is asked once for a key, however many rows it has, and written if its text is longer."""
+    harvest, state = stateful.Harvest(None), Maps()
+    harvest.init(state)
+    rows = spark.range(2000).selectExpr("concat('k', id % 500) as key", "id as seq", "repeat('x', cast(id div 500 % 3 as int)) as body", "timestamp_seconds(id) as ts")
+    rows = stateful.keyed(rows).toPandas()
+    (sent,) = harvest.handleInputRows((0,), iter([rows[:700], rows[700:]]), None)
+    assert {(k, s, b) for k, s, b in sent[["key", "seq", "body"]].values.tolist()} == {(f"k{k}", 1000 + k, "xx") for k in range(500)}
+    assert state.calls == 1000
+    assert not list(harvest.handleInputRows((0,), iter([rows]), None)) and state.calls == 1500 and not state.timers
+
+
 def batch(spark, **rows):
     return spark.createDataFrame([(k, v) for k, v in rows.items()], "k string, v long")
 
