@@ -78,15 +78,21 @@ class Cache(StatefulProcessor):
 
 
 def cache(writes: DataFrame, asked: str, premium: str = "premium", live_s: int | None = None, late: str = "1 day") -> DataFrame:
-    """(question, model, event_id): the answer to each question as it changes; null if none is left. `writes` has question, model, event_id, ts."""
-    rows = writes.withWatermark("ts", late).where("model is not null and ts is not null").select("question", "model", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("question").transformWithStateInPandas(Cache(asked, premium, live_s), outputStructType="question bigint, model string, event_id bigint", outputMode="Update", timeMode="EventTime")
+    """(question, model, event_id): the answer to each question as it changes; null if none is left. `writes` has question, model, event_id, ts.
+
+    Only where answers end is there a watermark, and are writes dropped that it has passed.
+    """
+    writes = writes.withWatermark("ts", late) if live_s else writes
+    rows = writes.where("model is not null and ts is not null").select("question", "model", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    rows, mode = rows.groupBy("question"), "EventTime" if live_s else "None"
+    return rows.transformWithStateInPandas(Cache(asked, premium, live_s), outputStructType="question bigint, model string, event_id bigint", outputMode="Update", timeMode=mode)
 
 
 class Harvest(StatefulProcessor):
     """Each key's longest text so far, of equal lengths the first; it is sent when it changes. A key is forgotten `live_s` after its last row.
 
     A group is a bucket of keys, whose state is maps by key: a call, frames and batches of output for each key would cost far more than its rows.
+    The longest texts of a batch's rows of a bucket are in memory together. A row without a `seq` comes after those with one.
     """
 
     def __init__(self, live_s: int | None):
@@ -94,26 +100,26 @@ class Harvest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getMapState("best", "key string", "n bigint, seq bigint")
+        self.best = handle.getMapState("best", "key string", "n bigint, known boolean, seq bigint")
         self.last = handle.getMapState("last", "key string", "at bigint")
         self.due = handle.getMapState("due", "ms bigint", "keys array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         tops, lasts, sent, ends = {}, {}, [], {}
         for batch in rows:
-            for item, n, seq, body in zip(batch["key"], batch["n"].tolist(), batch["seq"].tolist(), batch["body"]):
-                if item not in tops or (n, -seq) > tops[item][0]:
-                    tops[item] = (n, -seq), body
+            for item, n, known, seq, body in zip(batch["key"], batch["n"].tolist(), batch["known"].tolist(), batch["seq"].tolist(), batch["body"]):
+                if item not in tops or (n, known, -seq) > tops[item][0]:
+                    tops[item] = (n, known, -seq), body
             if self.live:
                 for item, at in zip(batch["key"], batch["at"].tolist()):
                     lasts[item] = max(lasts.get(item, at), at)
         for item, (top, body) in tops.items():
             best = self.best.getValue((item,))
-            if best is None or top > (best[0], -best[1]):
-                self.best.updateValue((item,), (top[0], -top[1]))
-                sent.append((item, -top[1], body))
+            if best is None or top > (best[0], best[1], -best[2]):
+                self.best.updateValue((item,), (*top[:2], -top[2]))
+                sent.append((item, -top[2] if top[1] else None, body))
         if sent:
-            yield pd.DataFrame(sent, columns=["key", "seq", "body"])
+            yield pd.DataFrame(sent, columns=["key", "seq", "body"], dtype="object")
         for item, at in lasts.items():
             last = self.last.getValue((item,))
             if last is None or at > last[0]:
@@ -140,11 +146,16 @@ class Harvest(StatefulProcessor):
 
 
 def keyed(items: DataFrame, buckets: int = 1024) -> DataFrame:
-    """What Harvest reads, by bucket."""
-    return items.select(F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"), "key", "seq", "body", F.length(F.coalesce("body", F.lit(""))).cast("long").alias("n"), "ts", F.unix_micros("ts").alias("at"))
+    """What Harvest reads, by bucket; `seq` is never null, as pandas would make floats of it."""
+    seq = [F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.col("seq").isNotNull().alias("known")]
+    return items.select(F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"), "key", *seq, "body", F.length(F.coalesce("body", F.lit(""))).cast("long").alias("n"), *[c for c in items.columns if c in ("ts", "at")])
 
 
 def harvest(items: DataFrame, live_s: int | None = None, late: str = "1 day", buckets: int = 1024) -> DataFrame:
-    """(key, seq, body) as it improves. `items` has key, seq, body and ts; the state is two numbers a key, not its text."""
-    rows = keyed(items.withWatermark("ts", late), buckets)
-    return rows.groupBy("bucket").transformWithStateInPandas(Harvest(live_s), outputStructType="key string, seq bigint, body string", outputMode="Update", timeMode="EventTime")
+    """(key, seq, body) as it improves. `items` has key, seq, body and ts; the state is two numbers a key, not its text.
+
+    Only where keys are forgotten is there a watermark, and are rows dropped that it has passed.
+    """
+    items = items.withWatermark("ts", late).withColumn("at", F.unix_micros("ts")) if live_s else items.drop("ts")
+    rows, mode = keyed(items, buckets).groupBy("bucket"), "EventTime" if live_s else "None"
+    return rows.transformWithStateInPandas(Harvest(live_s), outputStructType="key string, seq bigint, body string", outputMode="Update", timeMode=mode)

@@ -76,6 +76,30 @@ def test_harvest_forgets_keys(spark, tmp_path):
     assert {(r.key, r.seq) for r in forever.collect()} == {("a", 1), ("b", 1), ("c", 4), (None, 9)}
 
 
+def test_days_backwards(spark, tmp_path):
+    """Nothing is forgotten, so that nothing is late: not a file of nine days before the first one's rows either."""
+    parts = [[("a", 3, "xx", 9 * DAY)], [("b", 2, "y", 5 * DAY), ("a", 2, "yyy", 5 * DAY)], [("a", 1, "zzz", 0), ("c", 0, "q", 0), ("b", 4, None, 0)]]
+    sent = S.drained(stateful.harvest(put(spark, parts, tmp_path / "items", ITEMS)), "update", ["key"], rocks=True)
+    assert {(r.key, r.seq, r.body) for r in sent.collect()} == {("a", 1, "zzz"), ("b", 2, "y"), ("c", 0, "q")}
+    writes = [[(1, "base-3", 3, 9 * DAY)], [(2, "base", 2, 5 * DAY)], [(3, "base-3", 1, 0), (1, "premium", 4, 0)]]
+    sent = S.drained(stateful.cache(put(spark, writes, tmp_path / "writes", WRITES), "base-3"), "update", ["question"], rocks=True)
+    assert {(r.question, r.model, r.event_id) for r in sent.collect()} == {(1, "base-3", 3), (2, "base", 2), (3, "base-3", 1)}
+
+
+def test_harvest_of_rows_without_seq(spark, tmp_path):
+    parts = [[("a", None, "xx", 0), ("a", 4, "yy", 0), ("b", 5, "z", 0), ("b", None, "zz", 0), ("c", 2**60 + 1, None, 0)], [("c", None, "", 0), ("d", None, None, 0), ("b", 6, "yy", 0)]]
+    sent = S.drained(stateful.harvest(put(spark, parts, tmp_path, ITEMS)), "update", ["key"], rocks=True)
+    assert {(r.key, r.seq, r.body) for r in sent.collect()} == {("a", 4, "yy"), ("b", 6, "yy"), ("c", 2**60 + 1, None), ("d", None, None)}
+
+
+def test_harvest_forgets_keys_of_a_bucket(spark, tmp_path):
+    """All in one bucket: a and b end at once, but a goes on; c comes between."""
+    parts = [[("a", 1, "long", 0), ("b", 2, "long", 0), ("c", 3, "long", 0)], [("a", 4, "x", 2 * DAY)], [("d", 5, "y", 4 * DAY + 1)], [("d", 6, "y", 4 * DAY + 1)], [("a", 7, "new", 4 * DAY), ("b", 8, "new", 4 * DAY), ("c", 9, "new", 4 * DAY)]]
+    stream = stateful.harvest(put(spark, parts, tmp_path, ITEMS), live_s=3 * DAY, buckets=1)
+    got = sorted((r.key, r.seq, r.body) for r in S.drained(stream, "update", rocks=True).collect())
+    assert got == [("a", 1, "long"), ("b", 2, "long"), ("b", 8, "new"), ("c", 3, "long"), ("c", 9, "new"), ("d", 5, "y")]
+
+
 class Maps:
     """A processor's state in dicts, and how often it was asked for or written."""
 
